@@ -23,8 +23,8 @@ from .common import byte_set, crc_of_id, text_pieces
 DIMS, LONGEST, CENTROIDS, STEPS = 8192, 3, 4, 8
 #: Documents a language that centroids are fitted on: that many are expected, FIT_MOST is never passed.
 FIT_EXPECTED, FIT_MOST = 1000, 2000
-#: A text is rejected below this share of the similarity that FLOOR_QUANTILE of a centroid's members stay under.
-FLOOR_SHARE, FLOOR_QUANTILE = 0.5, 0.01
+#: A text is rejected below this share of the similarity that FLOOR_QUANTILE of its language's sample stay under: far off, not merely short.
+FLOOR_SHARE, FLOOR_QUANTILE = 0.25, 0.01
 
 _LETTER = byte_set((0x61, 0x7A), (0x80, 0xFF))
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -132,8 +132,8 @@ def fit(docs: DataFrame) -> Model:
             return pa.table({"lang": pa.array([], pa.string()), "floor": pa.array([], pa.float64()), "centre": pa.array([], pa.binary())})
         centre, own = cluster(x)
         like = (x @ centre.T)[np.arange(len(x)), own]
-        floor = [FLOOR_SHARE * float(np.quantile(like[own == j], FLOOR_QUANTILE)) if (own == j).any() else 1.0 for j in range(len(centre))]
-        return pa.table({"lang": [group["lang"][0].as_py()] * len(centre), "floor": floor, "centre": [c.astype("<f4").tobytes() for c in centre]})
+        floor = FLOOR_SHARE * float(np.quantile(like, FLOOR_QUANTILE))
+        return pa.table({"lang": [group["lang"][0].as_py()] * len(centre), "floor": [floor] * len(centre), "centre": [c.astype("<f4").tobytes() for c in centre]})
 
     share = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, int(1e6 * min(1.0, FIT_EXPECTED / n)))])
     sample = docs.withColumn("order", F.xxhash64("doc_id")).where(F.pmod("order", F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
