@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, knn, langid, licenses, lm, packing, simhash, substrings, token_files
+from . import ann, knn, langid, licenses, lm, mixing, packing, simhash, substrings, token_files
 from .common import table
 
 
@@ -45,6 +45,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "source", "tokens", "pass", "block", "start", F.round("weight", 6).alias("weight"), F.round("exponent", 6).alias("exponent"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, token_files.write(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -60,19 +65,49 @@ def op10_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_top_k, op2_license_scan, op3_best_fit_packing, op4_ppm_scoring, op5_language_id, op6_simhash_near_dedup, op8_token_files, op9_substring_dedup, op10_one_bit_ann)
+    for f in (op1_exact_top_k, op2_license_scan, op3_best_fit_packing, op4_ppm_scoring, op5_language_id, op6_simhash_near_dedup, op7_source_mixing, op8_token_files, op9_substring_dedup, op10_one_bit_ann)
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": """
-WITH flat AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH parts AS (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+usable AS (SELECT vec_id FROM parts GROUP BY vec_id HAVING bool_and(x IS NOT NULL AND isfinite(x))),
+flat AS (SELECT vec_id, i, CAST(floor(64 * x) AS BIGINT) AS x FROM parts WHERE vec_id IN (SELECT vec_id FROM usable)),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS score
-  FROM flat q JOIN flat c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x) AS score
+  FROM flat q JOIN flat c ON q.vec_id % 20 = 0 AND c.i = q.i AND c.vec_id <> q.vec_id GROUP BY q.vec_id, c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 20
+""",
+    "op7_source_mixing": r"""
+WITH RECURSIVE
+docs AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS k, 1 + coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents),
+sizes AS (SELECT k, CAST(sum(tokens) AS BIGINT) AS size FROM docs GROUP BY k),
+logs AS (SELECT k, size, ln(size / (SELECT sum(size) FROM sizes)) AS l FROM sizes),
+ends AS (SELECT max(l) AS most, min(l) AS least, (SELECT sum(size) FROM sizes) AS total FROM logs),
+halving AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high
+  UNION ALL
+  SELECT i + 1, CASE WHEN exp((1 - (low + high) / 2) * (most - least)) <= 2.0 THEN low ELSE (low + high) / 2 END,
+         CASE WHEN exp((1 - (low + high) / 2) * (most - least)) <= 2.0 THEN (low + high) / 2 ELSE high END
+  FROM halving, ends WHERE i < 40),
+found AS (SELECT high AS a FROM halving WHERE i = 40),
+scale AS (SELECT sum(exp(a * l)) AS z FROM logs, found),
+plan AS (
+  SELECT k, size, a AS exponent, exp(a * l) / z AS weight,
+         CAST(round(total * exp((1 - a) * most) * z * (exp(a * l) / z)) AS BIGINT) AS budget,
+         CAST(ceil(size / 250000.0) AS BIGINT) AS blocks
+  FROM logs, found, scale, ends),
+passes AS (
+  SELECT d.*, p.size, p.exponent, p.weight, p.budget, CAST('0x' || substr(md5('mix:' || d.doc_id), 1, 8) AS BIGINT) % p.blocks AS block, g.pass
+  FROM docs d JOIN plan p USING (k), LATERAL (SELECT unnest(range(0, CAST(ceil(p.budget / CAST(p.size AS DOUBLE)) AS BIGINT))) AS pass) g),
+held AS (SELECT k, pass, block, sum(tokens) AS n FROM passes GROUP BY k, pass, block),
+before AS (SELECT k, pass, block, coalesce(sum(n) OVER (PARTITION BY k, pass ORDER BY md5('mix:' || pass || ':' || k || ':' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM held),
+starts AS (
+  SELECT p.*, p.pass * p.size + b.n + coalesce(sum(p.tokens) OVER (PARTITION BY p.k, p.pass, p.block ORDER BY md5('mix:' || p.pass || ':' || p.doc_id), p.doc_id, p.tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM passes p JOIN before b ON b.k = p.k AND b.pass = p.pass AND b.block = p.block)
+SELECT doc_id, source, CAST(tokens AS BIGINT) AS tokens, CAST(pass AS INTEGER) AS pass, CAST(block AS BIGINT) AS block, CAST(start AS BIGINT) AS start, round(weight, 6) AS weight, round(exponent, 6) AS exponent
+FROM starts WHERE start < budget
 """,
 }

@@ -168,3 +168,11 @@ def remove_repeats(docs: DataFrame, prefix: str = "") -> DataFrame:
     joined = keyed.join(marks, F.col("_id").eqNullSafe(F.col("_mark_id")) & (F.col("_copy") == F.col("_mark_copy")), "left").withColumn("_without", without("text", "_spans"))
     more = {f"{prefix}n_sentences": F.col("_without.sentences"), f"{prefix}n_removed": F.col("_without.removed"), f"{prefix}first_ids": F.coalesce("_first_ids", F.array().cast("array<long>"))}
     return joined.withColumns({"text": F.col("_without.text"), **more}).drop("_id", "_copy", "_mark_id", "_mark_copy", "_spans", "_first_ids", "_without")
+
+
+def keep_first_passages(docs: DataFrame) -> DataFrame:
+    """docs with repeated passages cut out, and n_chars as it then is; rows left without a word by the cut go."""
+    cut = remove_repeats(docs, "_cut_")
+    whole = cut.where((F.col("_cut_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(F.col("_cut_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return whole.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
