@@ -92,11 +92,12 @@ def search(vectors: DataFrame, k: int = 20, is_query=None, shard_rows: int = SHA
     vectors has vec_id and embedding; is_query chooses rows (default: vec_id divisible by 20). Vectors that are null,
     empty, zero or hold null or non-finite components take no part, nor do rows without a vec_id; vectors of another
     length than a query's are no candidates of it. Scores are exact, in double precision on the original components.
-    Ties go to the smaller vec_id. Rows that repeat a vec_id are candidates each, but never of a query with it.
+    Ties go to the smaller vec_id. Rows that repeat a vec_id are candidates
+    each, but never of a query with it; as queries they are one, with the smallest vector.
     """
     is_query = F.pmod("vec_id", F.lit(20)) == 0 if is_query is None else is_query
     codes, known = index(vectors, shard_rows)
-    queries = codes.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dims")
+    queries = codes.where(is_query).groupBy(F.col("vec_id").alias("query_id"), "dims").agg(F.min("v").alias("q"))
     blocks = queries.count() // block + 1
     queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     if not known:

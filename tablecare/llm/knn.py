@@ -10,7 +10,7 @@ shard whose cell's bound is not below it, where it prunes nodes from the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from .vectors import BLOCK_QUERIES, HITS, SHARD_ROWS, best, finite, matrix, top
 
 #: Vectors in a leaf, rows that the coarse tree is fitted on, and its cells at most.
 LEAF_ROWS, FIT_ROWS, MOST_CELLS = 64, 20_000, 1024
-#: Components times SCALE are floored; those out of a 32-bit integer's range leave their vector out.
+#: Components times SCALE are floored. Where they are so large that a sum might not fit into 64 bits the vector is left out.
 SCALE = 64
 
 
@@ -54,7 +54,7 @@ class Tree:
     def search(self, query: np.ndarray, own: int, reach: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the k best rows other than `own` that are not below `least`; reach: the nodes' bounds."""
         heap = [(-reach[0], 0)]
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, self.x.dtype)
         while heap:
             bound, node = heappop(heap)
             if -bound < least:
@@ -62,7 +62,7 @@ class Tree:
             if node in self.leaves:
                 rows = self.rows[node]
                 got = self.leaves[node] @ query
-                near = (got >= least) & (self.ids[rows] != own)
+                near = (got >= least).astype(bool) & (self.ids[rows] != own)
                 if near.any():
                     ids, scores = np.concatenate([ids, self.ids[rows[near]]]), np.concatenate([scores, got[near]])
                     at = top(scores, ids, k)
@@ -77,8 +77,9 @@ class Tree:
 
 
 def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Highest inner product of each query with any point of each box."""
-    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+    """Highest inner product of each query with any point of each box, and what doubles may round off."""
+    most = np.maximum(np.abs(low), np.abs(high)).max(initial=0) * np.abs(queries).max(initial=0) * queries.shape[1]
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T + most * 2.0**-50
 
 
 class Cells:
@@ -107,7 +108,7 @@ class Cells:
 def whole_numbers(vectors: DataFrame) -> DataFrame:
     """vec_id, v: floor(64 x) of every component as long, of the vectors that take part."""
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    fits = F.forall("embedding", lambda x: F.abs(x.cast("double") * SCALE) < 2.0**31 - 1)
+    fits = F.forall("embedding", lambda x: F.abs(x.cast("double") * SCALE) + 1 < F.sqrt(F.lit(2.0**62) / F.size("embedding")))
     return vectors.where(F.col("vec_id").isNotNull() & finite()).where(fits).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
 
 
@@ -123,7 +124,7 @@ def search(vectors: DataFrame, k: int = 20, is_query=None, shard_rows: int = SHA
     vectors has vec_id and embedding; is_query chooses rows (default: vec_id divisible by 20). Vectors that are null,
     empty or hold null or non-finite components, or a component out of range, take no part, nor do rows without a
     vec_id. Vectors of another length than a query's are no candidates of it. Rows that repeat a vec_id are candidates
-    each, but never of a query with that vec_id. Fewer candidates than k give all. Ties go to the smaller vec_id.
+    each, but never of a query with that vec_id; as queries they are one, with the smallest vector. Fewer candidates than k give all. Ties go to the smaller vec_id.
     """
     spark = vectors.sparkSession
     is_query = F.pmod("vec_id", F.lit(20)) == 0 if is_query is None else is_query
@@ -162,7 +163,7 @@ def _search(data: DataFrame, is_query, dims: int, n: int, k: int, shard_rows: in
     salts = -(-found["n"].to_numpy().reshape(-1, dims)[:, 0] // shard_rows)
     parts = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(own, salts, strict=True) for x in pair]), F.col("cell"))
     shards = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(1)), parts).cast("int"))
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    queries = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
     blocks = queries.count() // block + 1
     queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(blocks)).cast("int"))
 
@@ -207,7 +208,7 @@ def _search(data: DataFrame, is_query, dims: int, n: int, k: int, shard_rows: in
             x, q = matrix(left["v"], np.int64), matrix(right["q"], np.int64)
             kind = _exact(x, q)
             tree = Tree(x.astype(kind), left["vec_id"].to_numpy())
-            reach = bounds(q.astype(float), tree.low, tree.high) * (1 if kind is np.float64 else 1 + 1e-9)
+            reach = tree.bounds(q.astype(float))
             ids, least = right["query_id"].to_numpy(), right["least"].to_numpy()
             for i in range(len(q)):
                 got, score = tree.search(q[i].astype(kind), ids[i], reach[i], k, least[i])
