@@ -200,7 +200,7 @@ def score(docs: DataFrame, train: object = None, most: int = FREQUENT_KEYS) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", train.alias("_train"), F.xxhash64("text").alias("_copy"))
     totals = materialize(count(docs), "counts")
-    n_train, vocabulary = totals.where("key < 0").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if("n_train > 0")).first()
+    n_train, vocabulary = totals.where("key < 0").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0)).first()
     table = materialize(prices(totals), "prices")
     least = frequent(table, most)
     top = table.where(F.col("n") >= least).select("key", "value").toArrow()  # `most` rows at most
