@@ -1 +1 @@
-"""tablecare.functions"""
+"""Column expressions: cells and their types, statistics, privacy."""

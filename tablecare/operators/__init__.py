@@ -1 +1 @@
-"""tablecare.operators"""
+"""Operators on tables: profiles, quality, issues, cleaning, validation, rules."""

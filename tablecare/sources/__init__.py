@@ -1 +1 @@
-"""tablecare.sources"""
+"""Files in and out."""

@@ -1 +1 @@
-"""tablecare.streaming"""
+"""Event logs as tables and streams."""
