@@ -124,10 +124,6 @@ def _asked(spark, sf_dir):
     return frame(spark, sf_dir, "patients").select(row.alias("finding_id"), category.alias("category"), of_field.alias("of_field"), "age", F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), v)]).alias("facts"))
 
 
-def asked_rules(df):
-    return df.select("id", "category", "topic", "confidence")
-
-
 @query(f"WITH {RULES}, cats AS (SELECT p_size, p_partkey FROM part) SELECT p_partkey, id FROM cats JOIN rules ON category = CASE p_size % 2 WHEN 0 THEN 'vital_signs' ELSE 'missing_data' END AND confidence IN ('high') AND list_has_any(tags, ['vital_signs', 'imputation']) AND contains(lower(topic), 'i')")
 def kb01_search(spark, sf_dir):
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "vital_signs").otherwise("missing_data").alias("category"))
@@ -135,7 +131,7 @@ def kb01_search(spark, sf_dir):
     return parts.join(F.broadcast(found), "category").select("p_partkey", "id")
 
 
-@query(f"WITH {RULES}, b AS (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY {CONF}, ordinal) AS k FROM rules WHERE confidence IN ('high', 'medium')), {{asked}} SELECT finding_id, id FROM asked JOIN b USING (category) WHERE k = 1".replace("{asked}", FACTS.replace("FROM patients", "FROM (" + frame.__globals__["PATIENTS"] + ") p")))
+@query(sql("patients", rest=FACTS + f", {RULES}, b AS (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY {CONF}, ordinal) AS k FROM rules WHERE confidence IN ('high', 'medium')) SELECT finding_id, id FROM asked JOIN b USING (category) WHERE k = 1"))
 def kb02_best(spark, sf_dir):
     table = rules.rules(spark)
     best = None
