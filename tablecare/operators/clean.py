@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -160,6 +162,14 @@ def center(df: DataFrame, column: str, way: str = "median"):
     return wide.agg(F.avg("_n0") if way == "mean" else quantile("_n0", 0.5)).first()[0]
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that spark.checkpoint.dir names; where none is set (tests), in one of our own."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
 def flag_missing(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(f"{column}_missing_flag", missing(df, column))
 
@@ -189,7 +199,7 @@ def handle_missing(df: DataFrame, columns: list[str] | None = None, order_by: st
             df = flag_missing(df, c)
         decided.append((c, r.missing_count, r.missing_rate, r.strategy))
         if n % 10 == 0:
-            df, lineage = df.checkpoint(), lineage.checkpoint()
+            df, lineage = cut_lineage(df), cut_lineage(lineage)
     return df, lineage, decided
 
 

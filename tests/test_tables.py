@@ -185,3 +185,12 @@ def test_required_fields(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "", 3.0)], "row_id long, a string, b double")
     got = {r.row_id: r.missing_fields for r in validate.required(df, ["a", "b", "c"]).collect()}
     assert got == {1: ["b", "c"], 2: ["a", "c"]}
+
+
+def test_many_columns_with_gaps(spark):
+    rng = random.Random(4)
+    rows = [tuple([i, *[None if rng.random() < 0.08 else rng.random() for _ in range(11)]]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, " + ", ".join(f"c{i} double" for i in range(11)))
+    out, lineage, decisions = clean.handle_missing(df)
+    assert len(decisions) >= 10 and out.count() <= 60
+    assert lineage.count() == sum(n for _, n, _, way in decisions if way == "median")
