@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import NON_SPACE, crc_of_id, lower_ascii, materialize, runs, slices, text_pieces
 
 #: Bytes of the longest context; added to every word count; entries broadcast at most; strings priced in a group.
-ORDER, SMOOTHING, FREQUENT_KEYS, GROUP_KEYS = 4, 0.1, 1_000_000, 200_000
+ORDER, SMOOTHING, FREQUENT_KEYS, GROUP_KEYS = 5, 0.1, 1_000_000, 200_000
 #: Bytes that no UTF-8 text holds: what stands before a text, and the symbol that ends it.
 BEFORE, END = 0xFE, 0xFF
 #: Symbols: all bytes but BEFORE.
@@ -58,6 +58,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys.view(np.int64), found.indices.to_numpy().astype(np.int64), row
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, in any order, and each value's place among them."""
+    found = pa.array(values).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
 def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return keys, *(np.bincount(where, weights=np.concatenate([p[i] for p in parts]), minlength=len(keys)).astype(np.int64) for i in (1, 2))
@@ -81,8 +87,9 @@ def count(docs: DataFrame) -> DataFrame:
             for row, to, data, offsets in text_pieces(batch.column("text")):
                 data, own = lower_ascii(data), train[row:to]
                 code, ends = strings(data, offsets)
-                # The lowest bit tells training rows apart, so that one sort counts both.
-                both, n = np.unique(code << 1 | np.repeat(own, np.diff(ends)), return_counts=True)
+                # The lowest bit tells training rows apart, so that one pass counts both.
+                both, at = distinct(code << 1 | np.repeat(own, np.diff(ends)))
+                n = np.bincount(at, minlength=len(both))
                 held.append((both >> 1, n, n * (both & 1)))
                 keys, at, text = words(data, offsets)
                 n = np.bincount(at, minlength=len(keys))
@@ -210,11 +217,14 @@ def score(docs: DataFrame, train: object = None, most: int = FREQUENT_KEYS) -> D
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = shared.value
         low = int(np.searchsorted(keys, 0))  # words come first
-        word_set, gram_set = pa.array(keys[:low]), pa.array(keys[low:])
+        word_set, gram_set = keys[:low], keys[low:]
         word_value, gram_value = np.append(values[:low], 0), np.append(values[low:], 0)
 
-        def find(wanted: np.ndarray, among: pa.Array) -> np.ndarray:
-            return pc.fill_null(pc.index_in(pa.array(wanted), value_set=among), len(among)).to_numpy()
+        def find(wanted: np.ndarray, among: np.ndarray) -> np.ndarray:
+            """Places in a sorted array; its length for what is not there."""
+            some, which = distinct(wanted)
+            at = np.searchsorted(among, some)
+            return np.where(np.append(among, 0)[at] == some, at, len(among))[which] if len(among) else np.zeros(len(wanted), np.int64)
 
         def rare(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Distinct (row, key) with how often."""
