@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import NON_SPACE, byte_set, lower_ascii, materialize, runs, slices, text_pieces
 
 #: Sentences and words of a span at least; words of a sentence before it is cut by content, one cut in CUT_ONE_IN words.
-SENTENCES, WORDS, LONG_WORDS, CUT_ONE_IN = 3, 25, 40, 8
+SENTENCES, WORDS, LONG_WORDS, CUT_ONE_IN = 2, 25, 40, 8
 
 _STOP = byte_set((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F))
 _INNER = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
