@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..operators import clean, pipeline, quality
+from ..sources import files
 from .fixtures import AS_OF, frame, sql
 from .queries_quality import CELLS_OF, KEYS_OF, LEVEL, NUM, V, _mcar, each, fence
 from .registry import query, rounded
@@ -236,3 +237,35 @@ def prv01_hash(spark, sf_dir):
 @query("SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN '********' ELSE '********' || right(c_name, 4) END AS masked, CASE WHEN length(CAST(c_custkey AS VARCHAR)) <= 2 THEN '********' ELSE '********' || right(CAST(c_custkey AS VARCHAR), 2) END AS short FROM customer")
 def prv02_mask(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", C.mask(F.col("c_name")).alias("masked"), C.mask(F.col("c_custkey"), 2).alias("short"))
+
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(sql("visits", rest="SELECT CAST(row_id AS VARCHAR) AS row_id, patient_id, gender, CAST(CAST(age AS BIGINT) AS VARCHAR) AS age, CAST(visit_date AS VARCHAR) AS visit_date FROM visits"))
+def src01_csv_round_trip(spark, sf_dir):
+    """Visits written as delimited files and loaded again, every cell text and null tokens null."""
+    path = _folder(spark, "visits")
+    df = frame(spark, sf_dir, "visits").select("row_id", "patient_id", "gender", F.col("age").cast("long").alias("age"), "visit_date")
+    files.write_csv(df, path)
+    return files.read_table(spark, path, separator=",", row_id=False)
+
+
+@query(sql("visits", rest=dedupe() + f" SELECT field, count(*) AS n FROM (" + each(V, "SELECT '{c}' AS field FROM gone") + ") GROUP BY field"))
+def snk04_lineage_export(spark, sf_dir):
+    """Deleted cells by field, from the exported lineage table."""
+    path = _folder(spark, "lineage")
+    files.export(clean.deletion_lineage(clean.drop_duplicates(frame(spark, sf_dir, "visits"))[1]), path, partition_by="operation")
+    return spark.read.parquet(path).groupBy("field").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'visits' AS dataset_id, 3 AS operation_count")
+def snk02_metadata(spark, sf_dir):
+    """The sidecar of a cleaned table, read back."""
+    path = _folder(spark, "metadata")
+    files.write_metadata(spark, path, "visits", "visits_clean", "tablecare", quality.completeness(frame(spark, sf_dir, "visits")), 3)
+    return spark.read.json(path).select(F.col("source").alias("dataset_id"), F.col("operation_count").cast("int").alias("operation_count"))
