@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is worked on in pieces of about this many bytes, so that memory does not follow the batch.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -26,7 +28,16 @@ def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
 NON_SPACE = ~byte_set((0x20, 0x20), (0x09, 0x0D))
 
 
+def findable(spark: SparkSession) -> None:
+    """Let Python workers find this package where it is installed at the driver's path; else it is shipped by --py-files."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    findable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -82,6 +93,7 @@ def text_pieces(array: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES):
         to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
         yield row, to, data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
         row = to
+    pa.default_memory_pool().release_unused()  # Python workers stay for later stages
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

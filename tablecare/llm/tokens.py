@@ -19,7 +19,7 @@ from .common import ragged
 #: Ends every document.
 END_ID = 0
 #: Pieces kept between batches, and the longest that is kept; the rest is encoded anew. Both bound memory only.
-CACHED_PIECES, CACHED_CHARS = 500_000, 48
+CACHED_PIECES, CACHED_CHARS = 300_000, 48
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09, 0x0A, 0x0D]] = 1
