@@ -32,7 +32,7 @@ BEFORE, END = 0xFE, 0xFF
 #: Symbols: all bytes but BEFORE.
 SYMBOLS = 255
 #: Keys counted in a task before they are given out.
-HELD_KEYS = 1_500_000
+HELD_KEYS = 800_000
 
 _WORD = np.uint64(1 << 63)  # marks a word's key: negative as a signed number
 _END_KEY = np.uint64(xxhash.xxh64_intdigest(b"")) | _WORD
