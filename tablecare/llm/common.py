@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -72,6 +74,13 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, False)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their stage, and each keeps what it once needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def byte_view(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows one after another, and the 64-bit offsets of the rows in them; null counts as empty."""
     if isinstance(array, pa.ChunkedArray):
@@ -93,7 +102,7 @@ def text_pieces(array: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES):
         to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
         yield row, to, data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
         row = to
-    pa.default_memory_pool().release_unused()  # Python workers stay for later stages
+    give_back()
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
