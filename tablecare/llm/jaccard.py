@@ -1,0 +1,161 @@
+"""Near copies by the share of common shingles: exact Jaccard similarity of five-word shingle sets, then components.
+
+Texts with one set of shingles are one node. Min-hash bands propose groups of nodes: BANDS keys of BAND_HASHES least
+hashes each, nodes that share a key linked to the least of them, so that a large group gives keys and links in
+proportion to its size. Within a proposed group the sets themselves are compared, part by part of bounded size, and
+only pairs at or above the threshold link; pairs that are joined already are not compared again.
+
+At similarity 0.8 a pair shares no key with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8, less above that.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import lower_ascii, materialize, text_pieces
+from .simhash import SEED, components, shingles_of, survivors
+
+#: Words of a shingle, similarity of a link, keys of a text and least hashes in a key, texts compared at a time.
+WORDS, THRESHOLD, BANDS, BAND_HASHES, PART_TEXTS = 5, 0.8, 32, 4, 128
+
+_rng = np.random.default_rng(SEED)
+_MULTIPLY = _rng.integers(0, 1 << 63, BANDS * BAND_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def sets_of(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each row, ascending."""
+    hashes, counts = shingles_of(lower_ascii(data), offsets, words)
+    at = 0
+    for n in counts.tolist():
+        yield np.unique(hashes[at : at + n])
+        at += n
+
+
+def node_of(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def keys_of(shingles: np.ndarray) -> np.ndarray:
+    """The band keys of a set."""
+    least = np.full(len(_MULTIPLY), ~np.uint64(0))
+    for a in range(0, len(shingles), 1024):
+        mixed = shingles[a : a + 1024] ^ shingles[a : a + 1024] >> np.uint64(29)
+        # The high half of a product hangs on all bits below it.
+        least = np.minimum(least, ((mixed[None, :] * _MULTIPLY[:, None]) >> np.uint64(16)).min(axis=1))
+    bands = least.reshape(BANDS, BAND_HASHES)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(BAND_HASHES):
+        key = (key ^ bands[:, i]) * _MIX
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
+def node(column):
+    """The node of a text column as a long; null and no words give that of the empty set."""
+
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([node_of(x) for _, _, data, offsets in text_pieces(texts) for x in sets_of(data, offsets)], pa.int64())
+
+    return of(column)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (the node) and keys of every row."""
+
+    @F.arrow_udf("struct<fp: long, keys: array<long>>")
+    def of(texts: pa.Array) -> pa.Array:
+        nodes, keys = [], []
+        for _, _, data, offsets in text_pieces(texts):
+            for x in sets_of(data, offsets):
+                nodes.append(node_of(x))
+                keys.append(keys_of(x))
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(flat))
+        return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), lists], ["fp", "keys"])
+
+    return docs.select("doc_id", of(F.col("text")).alias("s")).select("doc_id", "s.fp", "s.keys")
+
+
+def _proposed(keyed: DataFrame) -> DataFrame:
+    """node, root of the nodes that keys connect with another."""
+    keys = materialize(keyed.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("key")), "keys")
+    shared = keys.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("top")).where("low < top").select("key", "low")
+    return components(keys.join(shared, "key").where("fp > low").select("low", F.col("fp").alias("high")).distinct())
+
+
+def _forest(left: list[tuple[int, frozenset]], right: list[tuple[int, frozenset]] | None, threshold: float) -> list[tuple[int, int]]:
+    """Links (smallest of a part, member) that join what is similar: within left, or across left and right."""
+    nodes = left + (right or [])
+    root = list(range(len(nodes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(left)):
+        a = nodes[i][1]
+        for j in range(len(left) if right else i + 1, len(nodes)):
+            x, y = find(i), find(j)
+            if x == y:
+                continue
+            b = nodes[j][1]
+            if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+                continue
+            common = len(a & b)
+            if common >= threshold * (len(a) + len(b) - common):
+                low, high = (x, y) if nodes[x][0] <= nodes[y][0] else (y, x)
+                root[high] = low
+    return [(nodes[find(i)][0], nodes[i][0]) for i in range(len(nodes)) if find(i) != i]
+
+
+def links(docs: DataFrame, proposed: DataFrame, threshold: float = THRESHOLD, part_texts: int = PART_TEXTS) -> DataFrame:
+    """low, high: links of a spanning forest over the nodes of proposed groups whose sets are similar enough."""
+    texts = docs.select(node(F.col("text")).alias("node"), "text").join(proposed, "node")
+    texts = texts.groupBy("node").agg(F.first("root").alias("root"), F.first("text").alias("text"))
+    parts = proposed.groupBy("root").agg(F.ceil(F.count("*") / part_texts).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")
+    packed = materialize(texts.join(parts, "root").select("root", "parts", part, F.struct("node", "text").alias("m")).groupBy("root", "parts", "part").agg(F.collect_list("m").alias("left")), "parts")
+    many = packed.where("parts > 1").drop("parts")
+    across = many.join(many.select("root", F.col("part").alias("other"), F.col("left").alias("right")), "root").where("part < other").select("left", "right")
+    pairs = packed.select("left", F.lit(None).cast(packed.schema["left"].dataType).alias("right")).union(across)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets(cell) -> list[tuple[int, frozenset]] | None:
+            if not cell.is_valid:
+                return None
+            found = (x for _, _, data, offsets in text_pieces(cell.values.field("text")) for x in sets_of(data, offsets))
+            return [(n, frozenset(x.tolist())) for n, x in zip(cell.values.field("node").to_pylist(), found, strict=True)]
+
+        for batch in batches:
+            out = [x for a, b in zip(batch.column("left"), batch.column("right"), strict=True) for x in _forest(sets(a), sets(b), threshold)]
+            if out:
+                both = np.array(out, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["low", "high"])
+
+    return pairs.mapInArrow(compare, "low long, high long").distinct()
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, part_texts: int = PART_TEXTS) -> DataFrame:
+    """The rows of docs without near copies: of each component the row with the smallest doc_id, with all columns.
+
+    Null and empty texts have the empty set and are copies of one another. Of repeated rows one stays; a null doc_id
+    stays only where its whole component is null. No rows give no rows.
+    """
+    keyed = materialize(_keyed(docs), "shingled")
+    members = keyed.select("doc_id", "fp")
+    roots = components(links(docs, _proposed(keyed), threshold, part_texts))
+    prints = members.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return survivors(docs, members, rooted.join(least, "root").select("fp", "root", "component_id"), node(F.col("text")))

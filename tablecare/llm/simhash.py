@@ -25,12 +25,12 @@ RADIUS, SHINGLE_WORDS, SEED, TILE_ROWS, MAX_ROUNDS = 2, 3, 42, 2048, 60
 LANES, LANE_BITS = 4, 16
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
-    """One unsigned 64-bit fingerprint a row: the majority of its shingles' hash bits."""
+def shingles_of(data: np.ndarray, offsets: np.ndarray, words: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, row after row, and how many each row has; a row with fewer words has one of them all."""
     starts, ends, row = runs(data, offsets, NON_SPACE)
     rows = len(offsets) - 1
     if not len(starts):
-        return np.zeros(rows, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
     # Text with single spaces: a shingle is one slice of it.
     keep = NON_SPACE[data]
     keep[ends[ends < len(data)]] = True
@@ -47,6 +47,13 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_
     stop = np.minimum(begin + words, first[owner] + count[owner]) - 1
     text, digest = flat.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(text[a:b], seed) for a, b in zip(starts[begin].tolist(), ends[stop].tolist(), strict=True)), np.uint64, len(owner))
+    return hashes, shingles
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """One unsigned 64-bit fingerprint a row: the majority of its shingles' hash bits."""
+    hashes, shingles = shingles_of(data, offsets, words, seed)
+    rows = len(shingles)
     out, at = np.zeros(rows, np.uint64), 0
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for r in range(rows):
@@ -178,8 +185,13 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS,
     Of repeated rows one stays. Columns other than doc_id and text may have any names.
     """
     members, classes = groups(docs, radius, words, seed)
+    return survivors(docs, members, classes, fingerprint(F.col("text"), words, seed))
+
+
+def survivors(docs: DataFrame, members: DataFrame, classes: DataFrame, mark) -> DataFrame:
+    """The row of docs that stays of each root: members is doc_id and fp, classes fp, root and component_id, mark a row's fp."""
     keep = members.join(classes, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best"))
     keep = materialize(keep.select(F.col("best.doc_id").alias("_keep_id"), F.col("best.fp").alias("_keep_fp")), "keep")
-    marked = docs.withColumn("_keep_fp", fingerprint(F.col("text"), words, seed)).withColumn("_keep_id", F.col("doc_id"))
+    marked = docs.withColumn("_keep_fp", mark).withColumn("_keep_id", F.col("doc_id"))
     on = marked["_keep_id"].eqNullSafe(keep["_keep_id"]) & (marked["_keep_fp"] == keep["_keep_fp"])
     return marked.join(keep, on, "left_semi").dropDuplicates(["_keep_id", "_keep_fp"]).drop("_keep_id", "_keep_fp")
