@@ -9,8 +9,8 @@ and a footer of fixed size:
   filter  bits, of which each key sets HASHES
   footer  offsets and sizes of index and filter, number of entries and of ids, width of an id, crc32 of the index, magic
 
-A key is the identifier as 8 big-endian bytes with its sign bit flipped, so that byte order is numeric order, and a
-running number of 4 bytes for repeated identifiers. Lookup asks the filter, then searches the index and one block.
+A key is a byte that is 0 for a null identifier and else 1, the identifier as 8 big-endian bytes with its sign bit
+flipped, so that byte order is numeric order with null first, and a running number of 4 bytes for repeated identifiers. Lookup asks the filter, then searches the index and one block.
 """
 
 from __future__ import annotations
@@ -35,18 +35,24 @@ from .tokens import crc_of, encoder, with_end
 BLOCK_BYTES, SHARD_BYTES, FILTER_BITS, HASHES = 64 << 10, 16 << 20, 10, 7
 #: Text bytes that one task's range of identifiers holds, on average.
 RANGE_BYTES = 16 << 20
-MAGIC = b"IDTABLE1"
+MAGIC = b"IDTABLE2"
 #: Table beside the shard files: their names, entries and ids.
 MANIFEST = "manifest.parquet"
 _FOOTER = struct.Struct("<QQQQQQII8s")
 
 
-def key_of(doc_id: int, number: int = 0) -> bytes:
-    return struct.pack(">QI", (doc_id + (1 << 63)) & ((1 << 64) - 1), number)
+#: Bytes of a key that hold the identifier.
+ID_BYTES = 9
 
 
-def id_of(key: bytes) -> int:
-    return struct.unpack_from(">Q", key)[0] - (1 << 63)
+def key_of(doc_id: int | None, number: int = 0) -> bytes:
+    known = doc_id is not None
+    return struct.pack(">BQI", known, (doc_id + (1 << 63)) & ((1 << 64) - 1) if known else 0, number)
+
+
+def id_of(key: bytes) -> int | None:
+    known, doc_id = struct.unpack_from(">BQ", key)
+    return doc_id - (1 << 63) if known else None
 
 
 def _varint(n: int) -> bytes:
@@ -68,7 +74,7 @@ def _read_varint(data, at: int) -> tuple[int, int]:
 
 
 def _bits(key: bytes, size: int) -> list[int]:
-    h = xxhash.xxh3_64_intdigest(key[:8])
+    h = xxhash.xxh3_64_intdigest(key[:ID_BYTES])
     a, b = h & 0xFFFFFFFF, h >> 32 | 1
     return [(a + i * b) % size for i in range(HASHES)]
 
@@ -158,7 +164,7 @@ class Shard:
         for k in range(len(self.index)):
             yield from self.block(k)
 
-    def get(self, doc_id: int) -> list[np.ndarray]:
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every entry of an identifier."""
         start = key_of(doc_id)
         if not all(self.bloom[b >> 3] >> (b & 7) & 1 for b in _bits(start, self.bits)):
@@ -170,9 +176,9 @@ class Shard:
         out = []
         for k in range(low, len(self.index)):
             for key, ids in self.block(k):
-                if key[:8] > start[:8]:
+                if key[:ID_BYTES] > start[:ID_BYTES]:
                     return out
-                if key[:8] == start[:8]:
+                if key[:ID_BYTES] == start[:ID_BYTES]:
                     out.append(ids)
         return out
 
@@ -191,7 +197,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None) -> str:
     """Encode documents (doc_id, text) and write shard files into a folder; returns the folder.
 
     Shards are ranges of identifiers in ascending order. A null or empty text is the end id alone; a repeated
-    identifier gives an entry for each row, ordered by text; a row with a null identifier has no key and raises.
+    identifier gives an entry for each row, ordered by text; null is an identifier like others and comes first.
     No rows give no files.
     """
     spark = docs.sparkSession
@@ -199,13 +205,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None) -> str:
     folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
     ranges = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES + 1
     ranges = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = docs.select(F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("doc_id is null"))).otherwise(F.col("doc_id").cast("long")).alias("doc_id"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode
-        shard, number, last, files = ShardBuilder(), 0, None, 0
+        shard, number, last, files = ShardBuilder(), 0, (), 0
 
         def close() -> pa.RecordBatch:
             nonlocal shard, files
@@ -244,7 +250,7 @@ def read(spark, folder: str) -> DataFrame:
                     sizes_.append(len(ids))
                     crcs.append(crc_of(ids))
                 n = np.array(sizes_, np.int64)
-                yield pa.RecordBatch.from_pydict({"file": [path.rpartition("/")[2]] * len(n), "doc_id": keys, "inside": np.cumsum(n) - n, "n_tokens": n, "ids_crc32": pa.array(crcs, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"file": [path.rpartition("/")[2]] * len(n), "doc_id": pa.array(keys, pa.int64()), "inside": np.cumsum(n) - n, "n_tokens": n, "ids_crc32": pa.array(crcs, pa.int64())})
 
     # One row a file: file names ascend as the identifiers do.
     before = spark.read.schema("file string, entries long, ids long").parquet(f"{folder}/{MANIFEST}").select("file", F.coalesce(F.sum("ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -252,7 +258,7 @@ def read(spark, folder: str) -> DataFrame:
     return found.join(before, "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def lookup(spark, folder: str, doc_ids: list[int]) -> DataFrame:
+def lookup(spark, folder: str, doc_ids: list[int | None]) -> DataFrame:
     """doc_id and ids of the wanted identifiers, by filter and binary search in every shard file."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

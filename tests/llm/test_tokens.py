@@ -115,3 +115,18 @@ def test_shard_binary_search():
     assert len(read.get(1)) == 2 and len(read.get(7)[0]) == 70_000 and not read.get(2)
     with pytest.raises(ValueError):
         token_files.Shard(shard.finish()[:-1] + b"x")
+
+
+def test_files_of_null_identifiers(spark):
+    data = [(None, "b c", None, None, 0), (-(2**63), "x", None, None, 0), (None, "a", None, None, 0), (None, None, None, None, 0), (7, "y", None, None, 0)]
+    folder = token_files.write(frame(spark, data), tokenizer_path())
+    got = token_files.read(spark, folder).orderBy("start").collect()
+    at, want = 0, []
+    for doc_id, text in [(None, None), (None, "a"), (None, "b c"), (-(2**63), "x"), (7, "y")]:
+        ids = [*plain(text), 0]
+        want.append((doc_id, at, len(ids), crc(ids)))
+        at += len(ids)
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == want
+    assert sorted(tuple(r.ids) for r in token_files.lookup(spark, folder, [None]).collect()) == sorted((*plain(t), 0) for t in (None, "a", "b c"))
+    only = token_files.write(frame(spark, data[:1]), tokenizer_path())
+    assert [r.doc_id for r in token_files.read(spark, only).collect()] == [None]
