@@ -1,7 +1,7 @@
 """License scans: ordered signature rules gated by keywords, and phrases whose places are counted.
 
 A rule is a regular expression over lower-cased text with single spaces, a label, a confidence and a priority. A rule
-is only tried on a text that holds its keyword, found by one pass of an Aho-Corasick automaton over all keywords.
+is only tried on a text that holds one of its keywords, of which each of its matches holds one, found by one pass of an Aho-Corasick automaton over all keywords.
 Detections are taken by priority, then length, then place; one whose interval lies inside that of a detection taken
 before it is suppressed, so `gnu lesser general public license v2.1` does not also report a plain gpl.
 """
@@ -35,14 +35,14 @@ _CC = r"(?:creative commons|cc)[ -]"
 _BY = r"(?:attribution|by)"
 _NC, _ND, _SA = r"(?:non-?commercial|nc)", r"(?:no-?deriv(?:ative|s|atives)?(?: works)?|nd)", r"(?:share-?alike|sa)"
 
-# Signatures by license. Each line: label; words that a text must hold; what the license is called; a sentence of its
+# Signatures by license. Each line: label; words of which a text must hold one; what the license is called; a sentence of its
 # text, of its notice or of its address, if it has a telling one. Versions stand with the license they belong to.
 _FAMILIES = [
-    ("mit", "mit", r"(?:the )?(?:mit|expat)(?: \(expat\))? licen[cs]e(?: \(mit\))?", "permission is hereby granted|permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "mit|expat", r"(?:the )?(?:mit|expat)(?: \(expat\))? licen[cs]e(?: \(mit\))?", "permission is hereby granted|permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?|mit-0", ""),
     ("apache-1.0", "apache", rf"apache (?:software )?licen[cs]e{_V}1\.0|apache-1\.0", ""),
     ("apache-1.1", "apache", rf"apache (?:software )?licen[cs]e{_V}1\.1|apache-1\.1", ""),
-    ("apache-2.0", "apache", rf"apache (?:software )?licen[cs]e{_V}2(?:\.0)?|apache-?2(?:\.0)?|asl ?2(?:\.0)?", "apache.org|https?://(?:www\\.)?apache\\.org/licenses/license-2\\.0"),
+    ("apache-2.0", "apache|asl2|asl 2", rf"apache (?:software )?licen[cs]e{_V}2(?:\.0)?|apache-?2(?:\.0)?|asl ?2(?:\.0)?", "apache.org|https?://(?:www\\.)?apache\\.org/licenses/license-2\\.0"),
     ("apache", "apache", r"apache (?:software )?licen[cs]e", "apache.org|https?://(?:www\\.)?apache\\.org/licenses"),
     ("gpl-1.0", "general public", rf"(?:gnu )?general public licen[cs]e{_V}1(?:\.0)?{_LATER}", ""),
     ("gpl-2.0", "general public", rf"(?:gnu )?general public licen[cs]e{_V}2(?:\.0)?{_LATER}", "gnu.org|https?://(?:www\\.)?gnu\\.org/licenses/(?:old-licenses/)?gpl-2\\.0"),
@@ -84,7 +84,7 @@ _FAMILIES = [
     ("ipl-1.0", "ibm", rf"ibm public licen[cs]e(?:{_V}1(?:\.0)?)?", ""),
     ("artistic-1.0", "artistic", rf"artistic licen[cs]e{_V}1(?:\.0)?", ""),
     ("artistic-2.0", "artistic", rf"artistic licen[cs]e{_V}2(?:\.0)?", ""),
-    ("artistic", "artistic", r"artistic licen[cs]e|same terms as perl(?: itself)?", ""),
+    ("artistic", "artistic|same terms as perl", r"artistic licen[cs]e|same terms as perl(?: itself)?", ""),
     ("bsl-1.0", "boost", rf"boost software licen[cs]e(?:{_V}1(?:\.0)?)?", "boost.org|https?://(?:www\\.)?boost\\.org/license_1_0"),
     ("busl-1.1", "business source", rf"business source licen[cs]e(?:{_V}1\.1)?", ""),
     ("sspl-1.0", "server side", rf"server side public licen[cs]e(?:{_V}1(?:\.0)?)?", ""),
@@ -93,9 +93,9 @@ _FAMILIES = [
     ("wtfpl", "want to public", r"do what the f[\w*]+ you want to public licen[cs]e", ""),
     ("wtfpl", "wtfpl", r"wtfpl", ""),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[cs]e", "this software is provided 'as-is'|this software is provided 'as-is', without any express or implied warranty"),
-    ("libpng", "libpng", r"(?:png reference library|libpng) licen[cs]e", ""),
+    ("libpng", "libpng|png reference", r"(?:png reference library|libpng) licen[cs]e", ""),
     ("openssl", "openssl", r"openssl(?:[ /-]ssleay)? licen[cs]e", ""),
-    ("python-2.0", "python", rf"python(?: software foundation)? licen[cs]e(?:{_V}2(?:\.0)?)?|psf licen[cs]e", ""),
+    ("python-2.0", "python|psf", rf"python(?: software foundation)? licen[cs]e(?:{_V}2(?:\.0)?)?|psf licen[cs]e", ""),
     ("php-3.0", "php", rf"php licen[cs]e(?:{_V}3(?:\.0)?)?", ""),
     ("php-3.01", "php", rf"php licen[cs]e{_V}3\.01", ""),
     ("ruby", "ruby", r"ruby(?:'s)? licen[cs]e", ""),
@@ -109,15 +109,15 @@ _FAMILIES = [
     ("eupl-1.2", "european union", rf"european union public licen[cs]e(?:{_V}1\.2)?", ""),
     ("osl-3.0", "open software", rf"open software licen[cs]e(?:{_V}3(?:\.0)?)?", ""),
     ("afl-3.0", "academic free", rf"academic free licen[cs]e(?:{_V}3(?:\.0)?)?", ""),
-    ("ms-pl", "microsoft", r"microsoft public licen[cs]e|ms-pl", ""),
-    ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e|ms-rl", ""),
+    ("ms-pl", "microsoft|ms-pl", r"microsoft public licen[cs]e|ms-pl", ""),
+    ("ms-rl", "microsoft|ms-rl", r"microsoft reciprocal licen[cs]e|ms-rl", ""),
     ("ofl-1.1", "font", rf"(?:sil )?open font licen[cs]e(?:{_V}1\.1)?", ""),
     ("lppl-1.3", "latex", rf"latex project public licen[cs]e(?:{_V}1\.3[abc]?)?", ""),
-    ("odbl-1.0", "open database", rf"open database licen[cs]e(?:{_V}1(?:\.0)?)?|odbl", ""),
+    ("odbl-1.0", "open database|odbl", rf"open database licen[cs]e(?:{_V}1(?:\.0)?)?|odbl", ""),
     ("odc-by-1.0", "open data commons", rf"open data commons attribution licen[cs]e(?:{_V}1(?:\.0)?)?", ""),
     ("pddl-1.0", "public domain dedication", rf"public domain dedication and licen[cs]e(?:{_V}1(?:\.0)?)?", ""),
     ("cc0-1.0", "cc0", r"cc0(?:[ -]1(?:\.0)?)?(?: universal)?", "creativecommons.org|https?://(?:www\\.)?creativecommons\\.org/publicdomain/zero"),
-    ("openrail", "openrail", r"(?:creativeml |bigscience |bigcode )?open ?rail(?:\+\+)?(?:-m)?(?: licen[cs]e)?", ""),
+    ("openrail", "openrail|open rail", r"(?:creativeml |bigscience |bigcode )?open ?rail(?:\+\+)?(?:-m)?(?: licen[cs]e)?", ""),
     ("qpl-1.0", "q public", rf"q public licen[cs]e(?:{_V}1(?:\.0)?)?", ""),
     ("ncgl", "open government", rf"open government licen[cs]e(?:{_V}[123](?:\.0)?)?", ""),
     ("public-domain", "public domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain", ""),
@@ -128,10 +128,14 @@ _CC_KINDS = {"by": "", "by-sa": _SA, "by-nd": _ND, "by-nc": _NC, "by-nc-sa": rf"
 _CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
 
+#: A run of what Python takes as white space, for RE2.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\pZ]+"
+
+
 class Rule(NamedTuple):
     priority: int  # lower goes first
     label: str
-    keyword: str
+    keyword: str  # or several, parted by |: each match of the pattern holds one of them
     pattern: re.Pattern
     confidence: float
 
@@ -160,13 +164,11 @@ def rules() -> list[Rule]:
         for version in _CC_VERSIONS:
             add(0, f"cc-{kind}-{version}", "spdx", rf"spdx-license-identifier: ?cc-{kind}-{re.escape(version)}", 1.0)
             wanted = rf"{_CC}{_BY}{tail}[ -]{re.escape(version)}(?: (?:international|unported|generic|license))*"
-            add(1, f"cc-{kind}-{version}", "licensed under", rf"licen[cs]ed under (?:a |the )?{wanted}", 0.95)
-            add(3, f"cc-{kind}-{version}", "cc", wanted, 0.85)
-            add(3, f"cc-{kind}-{version}", "creative commons", wanted, 0.85)
+            add(1, f"cc-{kind}-{version}", "licensed under|licenced under", rf"licen[cs]ed under (?:a |the )?{wanted}", 0.95)
+            add(3, f"cc-{kind}-{version}", "cc|creative commons", wanted, 0.85)
             add(2, f"cc-{kind}-{version}", "creativecommons.org", rf"https?://(?:www\.)?creativecommons\.org/licenses/{kind}/{re.escape(version)}", 0.95)
-        add(4, f"cc-{kind}", "cc", rf"{_CC}{_BY}{tail}(?: licen[cs]e)?", 0.7)
-        add(4, f"cc-{kind}", "creative commons", rf"{_CC}{_BY}{tail}(?: licen[cs]e)?", 0.7)
-    for keyword, pattern in (("license", r"see (?:the )?licen[cs]e (?:file )?for (?:more )?details"), ("licensed", r"licen[cs]ed under"), ("license", r"end[ -]user licen[cs]e agreement"), ("copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d")):
+        add(4, f"cc-{kind}", "cc|creative commons", rf"{_CC}{_BY}{tail}(?: licen[cs]e)?", 0.7)
+    for keyword, pattern in (("license|licence", r"see (?:the )?licen[cs]e (?:file )?for (?:more )?details"), ("licensed|licenced", r"licen[cs]ed under"), ("license|licence", r"end[ -]user licen[cs]e agreement"), ("copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d")):
         add(5, "unclassified", keyword, pattern, 0.3)
     return sorted(out, key=lambda r: r.priority)
 
@@ -175,12 +177,13 @@ def rules() -> list[Rule]:
 def _gates() -> tuple[ahocorasick.Automaton, dict[str, list[int]], str]:
     by_keyword = defaultdict(list)
     for i, rule in enumerate(rules()):
-        by_keyword[rule.keyword].append(i)
+        for keyword in rule.keyword.split("|"):
+            by_keyword[keyword].append(i)
     automaton = ahocorasick.Automaton()
     for keyword in by_keyword:
         automaton.add_word(keyword, keyword)
     automaton.make_automaton()
-    return automaton, dict(by_keyword), "|".join(map(re.escape, sorted(by_keyword)))
+    return automaton, dict(by_keyword), "|".join(_SPACE.join(map(re.escape, k.split(" "))) for k in sorted(by_keyword))
 
 
 class Detection(NamedTuple):
@@ -191,11 +194,14 @@ class Detection(NamedTuple):
     priority: int
 
 
-def detect(text: str) -> list[Detection]:
-    """Detections in a lower-cased text, offsets in it with its white space as single spaces; suppression applied."""
+def detect(text: str, gated: bool = True) -> list[Detection]:
+    """Detections in a lower-cased text, offsets in it with its white space as single spaces; suppression applied.
+
+    Without the gate all rules are tried, with the same result.
+    """
     text = re.sub(r"\s+", " ", text)
     automaton, by_keyword, _ = _gates()
-    tried = sorted({i for k in {k for _, k in automaton.iter(text)} for i in by_keyword[k]})
+    tried = sorted({i for k in {k for _, k in automaton.iter(text)} for i in by_keyword[k]}) if gated else range(len(rules()))
     found = [Detection(r.label, m.start(), m.end(), r.confidence, r.priority) for i in tried for r in [rules()[i]] for m in r.pattern.finditer(text)]
     kept: list[Detection] = []
     for d in sorted(set(found), key=lambda d: (d.priority, d.start - d.end, d.start, d.label)):

@@ -123,6 +123,24 @@ def test_license_rules_and_suppression():
         assert not any(a is not b and b.start <= a.start and a.end <= b.end for b in found)
 
 
+#: A text for each alternative of a rule that its family's first keyword does not stand in, and hard-wrapped notices.
+GATED = [
+    "Expat License", "ASL 2.0", "ASL2", "PSF license", "PSF\nlicence", "MS-PL", "MS-RL", "ODbL", "same terms\nas Perl itself", "open rail", "Open RAIL-M licence",
+    "png reference\nlibrary license", "licenced under CC BY 4.0", "licenced under a Creative Commons Attribution-ShareAlike 3.0", "see the licence file for details", "end-user licence agreement",
+    "All rights\nreserved", "Permission to use,\ncopy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted", "general\npublic licence",
+    "Redistributions of\n  source code must retain the above\ncopyright notice", "Permission is\u00a0hereby\u2003granted, free of charge, to any person obtaining a copy of this software\nand associated documentation files", "free\x1cdocumentation\x85license 1.2", "creative\r\ncommons\tattribution 4.0",
+]
+
+
+def test_license_gate_loses_nothing(spark):
+    texts = GATED + [t.replace(" ", "\n") for t in GATED]
+    got = licenses.scan(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        want = licenses.detect(low(t), gated=False)
+        assert want and [(d.label, d.start, d.end, d.confidence) for d in r.detections] == [d[:4] for d in want], t
+    assert len({(r.priority, r.label, r.pattern) for r in licenses.rules()}) == len(licenses.rules())
+
+
 def passage(rng, n=70):
     return prose(rng, "en", n)
 
