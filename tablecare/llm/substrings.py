@@ -1,12 +1,18 @@
-"""Passages that repeat across documents: sliding spans of sentences, hashed, joined globally, removed but for the first.
+"""Passages that repeat across documents: sliding spans of sentences and windows of words, hashed, joined globally,
+removed but for the first.
 
 A sentence ends after white space that follows `.`, `!` or `?` or holds a line end, and before a capitalised word that
 follows an uncapitalised one, so that a passage pasted into running text starts a sentence of its own. A sentence of
 over LONG_WORDS words is also cut after words that their hash chooses, alike wherever the words stand.
 
 A span is a run of at least SENTENCES sentences and WORDS words with no sentence to spare at its end, or none at its
-start. Its hash is over its words in lower case (A-Z), without white space. Of the places of a hash the first, by
-doc_id and then by place, stays; sentences that any other place covers go.
+start, or a window of WORDS words whose hash is the least, and of equals the last, of WORDS windows that start one after
+another. Of any 2 * WORDS - 1 words the least window hangs on them alone, so all places of a passage of so many words
+share a window wherever its ends fall in sentences, and windows taken leave no gap between them: at most WORDS - 1
+words at either end of a passage stay.
+
+A hash is over a span's words in lower case (A-Z), without white space. Of the places of a hash the first, by doc_id and
+then by place, stays; words that any other place covers go, but for places that overlap the first.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import NON_SPACE, byte_set, lower_ascii, materialize, runs, slices, text_pieces
 
 #: Sentences and words of a span at least; words of a sentence before it is cut by content, one cut in CUT_ONE_IN words.
-SENTENCES, WORDS, LONG_WORDS, CUT_ONE_IN = 2, 25, 40, 8
+SENTENCES, WORDS, LONG_WORDS, CUT_ONE_IN = 1, 25, 40, 8
 
 _STOP = byte_set((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F))
 _INNER = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -74,6 +80,8 @@ class Sentences:
             begins[1:] |= long_[1:] & long_[:-1] & (self.codes[0][:-1] % np.uint64(CUT_ONE_IN) == 0)
         self.first = np.append(np.flatnonzero(begins), n)
         self.row = word_row[self.first[:-1]]
+        #: Words before each text's first, and the words of all.
+        self.words = np.searchsorted(word_row, np.arange(len(offsets)))
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """First sentence and sentence after the last of every span."""
@@ -91,7 +99,11 @@ class Sentences:
 
     def hashes(self, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         """Two 64-bit hashes of each span's words."""
-        out, a, b = [], self.first[begin], self.first[end]
+        return self.word_hashes(self.first[begin], self.first[end])
+
+    def word_hashes(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        """Two 64-bit hashes of the words from a to b."""
+        out = []
         for code, base in zip(self.codes, _BASE, strict=True):
             power, inverse = _power(base, len(code))
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * power[:-1], dtype=np.uint64)])
@@ -101,32 +113,56 @@ class Sentences:
         return out
 
 
+    def windows(self) -> np.ndarray:
+        """First words of the windows taken."""
+        left = np.repeat(self.words[1:], np.diff(self.words)) - np.arange(len(self.starts))
+        count = len(left) - WORDS + 1
+        if count < WORDS:
+            return np.zeros(0, np.int64)
+        at = np.arange(count)
+        least = self.word_hashes(at, at + WORDS)[0]
+
+        def smaller(to: int) -> None:
+            """Each least value and its place also covers what begins `to` later."""
+            nonlocal at, least
+            later = least[to:] <= least[:-to]
+            at, least = np.where(later, at[to:], at[:-to]), np.where(later, least[to:], least[:-to])
+
+        held = 1
+        while held < WORDS:
+            step = min(held, WORDS - held)
+            smaller(step)
+            held += step
+        return np.unique(at[left[: len(at)] >= 2 * WORDS - 1])
+
+
 def _spans(docs: DataFrame) -> DataFrame:
-    """h1, h2, _id, _copy, begin, n for every span; _copy tells apart different texts under one identifier."""
+    """h1, h2, _id, _copy, begin, n (words) for every span; _copy tells apart different texts under one identifier."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, to, data, offsets in text_pieces(batch.column("text")):
                 found = Sentences(data, offsets)
                 begin, end = found.spans()
+                windows = found.windows()
+                begin, end = np.concatenate([found.first[begin], windows]), np.concatenate([found.first[end], windows + WORDS])
                 if not len(begin):
                     continue
-                at = found.row[begin]
-                base = np.searchsorted(found.row, np.arange(to - row))
-                h1, h2 = found.hashes(begin, end)
+                at = np.searchsorted(found.words, begin, "right") - 1
+                h1, h2 = found.word_hashes(begin, end)
                 own = [batch.column(c).slice(row, to - row).take(pa.array(at)) for c in ("_id", "_copy")]
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), *own, pa.array((begin - base[at]).astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["h1", "h2", "_id", "_copy", "begin", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), *own, pa.array((begin - found.words[at]).astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["h1", "h2", "_id", "_copy", "begin", "n"])
 
     return docs.select("_id", "_copy", "text").mapInArrow(work, "h1 long, h2 long, _id long, _copy long, begin int, n int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """_id, _copy and the sentences (begin, n, first_id) that non-first places of repeated spans cover, one row a document."""
+    """_id, _copy and the words (begin, n) that non-first places of repeated spans cover, one row a document."""
     spans = _spans(docs)
     place = F.struct("_id", "_copy", "begin")
     firsts = materialize(spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last"), "repeated")
     firsts = firsts.select("h1", "h2", F.col("first._id").alias("first_id"), F.col("first._copy").alias("first_copy"), F.col("first.begin").alias("first_begin"))
-    hit = spans.join(firsts, ["h1", "h2"]).where(~(F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_copy") == F.col("first_copy")) & (F.col("begin") == F.col("first_begin"))))
+    hit = spans.join(firsts, ["h1", "h2"]).where(~(F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_copy") == F.col("first_copy")) & (F.col("begin") < F.col("first_begin") + F.col("n"))))
     return hit.groupBy("_id", "_copy").agg(F.collect_set(F.struct("begin", "n")).alias("spans"), F.sort_array(F.collect_set("first_id")).alias("first_ids"))
 
 
@@ -134,7 +170,7 @@ def remove_repeats(docs: DataFrame, prefix: str = "") -> DataFrame:
     """docs with repeated passages cut out of text, and <prefix>n_sentences, <prefix>n_removed, <prefix>first_ids.
 
     docs has doc_id (an integer), text and any other columns; new columns replace others of their names. first_ids
-    lists, ascending, the documents where the removed spans stand first. A null text stays null with 0 sentences; a
+    lists, ascending, the documents where the removed spans stand first; n_removed counts the sentences that lose words. A null text stays null with 0 sentences; a
     text that loses nothing stays as it is to the byte; one that loses all becomes empty. Rows with the same
     doc_id and text count as one document, so none of them is another's repeat. No rows give no rows.
     """
@@ -147,10 +183,9 @@ def remove_repeats(docs: DataFrame, prefix: str = "") -> DataFrame:
         for row, to, data, offsets in text_pieces(texts):
             found = Sentences(data, offsets)
             count = np.bincount(found.row, minlength=to - row)
-            base = np.cumsum(count) - count
             total += count.tolist()
             for k in range(row, to):
-                marks, n = spans[k], int(count[k - row])
+                marks, base, n = spans[k], found.words[k - row], int(found.words[k - row + 1] - found.words[k - row])
                 if not marks.is_valid:
                     out.append(texts[k].as_py())
                     gone.append(0)
@@ -158,11 +193,12 @@ def remove_repeats(docs: DataFrame, prefix: str = "") -> DataFrame:
                 covered = np.zeros(n, bool)
                 for m in marks.as_py():
                     covered[m["begin"] : m["begin"] + m["n"]] = True
-                begin = found.starts[found.first[base[k - row] : base[k - row] + n]]
-                end = np.append(begin[1:], offsets[k - row + 1])
+                begin = np.append(found.starts[base : base + n], offsets[k - row + 1])
+                # The first words of runs that stay or go, and the end.
+                turns = np.concatenate([[0], np.flatnonzero(covered[1:] != covered[:-1]) + 1, [n]])
                 head = data[offsets[k - row] : begin[0]].tobytes()
-                out.append((head + b"".join(data[a:b].tobytes() for a, b, c in zip(begin, end, covered, strict=True) if not c)).decode())
-                gone.append(int(covered.sum()))
+                out.append((head + b"".join(data[begin[a] : begin[b]].tobytes() for a, b in zip(turns, turns[1:], strict=False) if not covered[a])).decode())
+                gone.append(len(np.unique(np.searchsorted(found.first, base + np.flatnonzero(covered), "right"))))
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(total, pa.int32()), pa.array(gone, pa.int32())], ["text", "sentences", "removed"])
 
     joined = keyed.join(marks, F.col("_id").eqNullSafe(F.col("_mark_id")) & (F.col("_copy") == F.col("_mark_copy")), "left").withColumn("_without", without("text", "_spans"))

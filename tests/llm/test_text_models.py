@@ -165,6 +165,39 @@ def test_repeated_passages_go_but_for_the_first(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
+def distinct(rng, n):
+    return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+
+def test_passages_pasted_in_mid_sentence(spark):
+    rng, data, want = random.Random(12), [], {}
+    for i in range(60):
+        n = rng.randint(51, 80)
+        words = distinct(rng, n).split()
+        if i % 3:  # one whole sentence inside; the ends run on into other text
+            words[14] += "."
+            words[14 + min(30, n - 20)] += "."
+        text = " ".join(words)
+        for k in (0, 1):
+            before, after = (distinct(rng, rng.randint(0, 60)) for _ in range(2))
+            data.append((1000 * k + i, f"{before} {text} {after}", "en", "s", 1))
+        want[1000 + i] = (before, words, after)
+    got = {r.doc_id: r for r in substrings.remove_repeats(frame(spark, data)).collect()}
+    for i in range(60):
+        assert got[i].text == data[2 * i][1] and got[i].n_removed == 0
+    for i, (before, words, after) in want.items():
+        left = got[i].text.split()
+        kept = [w for w in words if w in set(left)]
+        assert got[i].n_removed > 0 and got[i].first_ids == [i - 1000] and left == [*before.split(), *kept, *after.split()]
+        cut = [w not in set(left) for w in words]
+        assert sum(cut) >= 25 and cut.index(True) < 25 and cut[::-1].index(True) < 25 and all(cut[cut.index(True) : len(cut) - cut[::-1].index(True)])
+
+
+def test_a_text_of_one_period_keeps_its_first_span(spark):
+    got = substrings.remove_repeats(frame(spark, [(1, "x y z " * 300, "en", "s", 1)])).first()
+    assert 25 <= len(got.text.split()) < 900 and got.text.startswith("x y z x y z")
+
+
 def test_spans_equal_brute_force():
     rng = random.Random(2)
     texts = [prose(rng, "en", n) for n in (0, 5, 60, 200)] + ["word " * 100, "a. b! c? d\ne\n\nF g H", None]
