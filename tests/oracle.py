@@ -6,6 +6,7 @@ import os
 from functools import lru_cache
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -21,7 +22,7 @@ def connection(sf: str):
 
 
 def plain(value):
-    if value is None or value != value:
+    if pd.api.types.is_scalar(value) and pd.isna(value):
         return None
     if hasattr(value, "item"):
         value = value.item()
