@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Text is worked on in pieces of about this many bytes, so that memory does not follow the batch.
 CHUNK_BYTES = 1 << 20
+#: Rows of a batch that goes to Python: at a few kB of text a row some MB, on either side of the pipe.
+BATCH_ROWS = 1000
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -30,31 +33,58 @@ def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
 NON_SPACE = ~byte_set((0x20, 0x20), (0x09, 0x0D))
 
 
-def findable(spark: SparkSession) -> None:
-    """Let Python workers find this package where it is installed at the driver's path; else it is shipped by --py-files."""
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers find this package where it is installed at the driver's path; else it is shipped by --py-files.
+
+    Batches that go to Python hold BATCH_ROWS rows, where the session does not say otherwise.
+    """
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    findable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a local session (tests) gets a folder of its own; a cluster must name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not own.isDefined():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = own.get()
     return folder.rstrip("/")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str):
+    """A column by its whole name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -95,12 +125,19 @@ def byte_view(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
 
 
 def text_pieces(array: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES):
-    """(first row, row after the last, bytes, offsets) for runs of whole rows of about limit bytes; a longer row is one run."""
-    data, offsets = byte_view(array)
-    row, rows = 0, len(offsets) - 1
+    """(first row, row after the last, bytes, offsets) for runs of whole rows of about limit bytes; a longer row is one run.
+
+    Only one run at a time is copied.
+    """
+    if isinstance(array, pa.ChunkedArray):
+        array = array.combine_chunks()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    row, rows = 0, len(array)
     while row < rows:
-        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
-        yield row, to, data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
+        before = int(ends[row - 1]) if row else 0
+        to = max(row + 1, int(np.searchsorted(ends, before + limit, "right")))
+        data, offsets = byte_view(array.slice(row, to - row))
+        yield row, to, data, offsets
         row = to
     give_back()
 

@@ -38,7 +38,10 @@ RANGE_BYTES = 16 << 20
 MAGIC = b"IDTABLE2"
 #: Table beside the shard files: their names, entries and ids.
 MANIFEST = "manifest.parquet"
+_MANIFEST_ROW = "file string, part long, number long, entries long, ids long"
 _FOOTER = struct.Struct("<QQQQQQII8s")
+#: Neighbouring ranges of identifiers whose files are counted together: the driver holds a number for each group.
+GROUP_PARTS = 1024
 
 
 #: Bytes of a key that hold the identifier.
@@ -184,20 +187,18 @@ class Shard:
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
-    """Whole files only: a lost or repeated attempt leaves at most a file that no reader lists."""
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    part = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(f"{root}/{name}") as out:
         out.write(data)
-    fs.move(part, f"{root}/{name}")
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None) -> str:
     """Encode documents (doc_id, text) and write shard files into a folder; returns the folder.
 
     Shards are ranges of identifiers in ascending order. A null or empty text is the end id alone; a repeated
-    identifier gives an entry for each row, ordered by text; null is an identifier like others and comes first.
+    identifier gives an entry for each row, ordered by the 64-bit hash of its text, so that a range can end within it;
+    null is an identifier like others and comes first.
     No rows give no files.
     """
     spark = docs.sparkSession
@@ -205,7 +206,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None) -> str:
     folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
     ranges = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES + 1
     ranges = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -215,9 +216,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None) -> str:
 
         def close() -> pa.RecordBatch:
             nonlocal shard, files
-            name = f"shard-{part:08d}-{files:05d}.ids"
+            # A name of this attempt's own: the manifest lists the files of attempts that ended, and only those are read.
+            name = f"shard-{part:08d}-{files:05d}-{uuid.uuid4().hex}.ids"
             _put(folder, name, shard.finish())
-            row = pa.RecordBatch.from_pydict({"file": [name], "entries": [shard.entries], "ids": [shard.ids]})
+            row = pa.RecordBatch.from_pydict({"file": [name], "part": [part], "number": [files], "entries": [shard.entries], "ids": [shard.ids]})
             shard, files = ShardBuilder(), files + 1
             return row
 
@@ -234,7 +236,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None) -> str:
         if shard.entries:
             yield close()
 
-    written = keyed.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(work, "file string, entries long, ids long")
+    written = keyed.repartitionByRange(ranges, "doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "text").mapInArrow(work, _MANIFEST_ROW)
     written.write.parquet(f"{folder}/{MANIFEST}")
     return folder
 
@@ -252,12 +254,28 @@ def read(spark, folder: str) -> DataFrame:
                 n = np.array(sizes_, np.int64)
                 yield pa.RecordBatch.from_pydict({"file": [path.rpartition("/")[2]] * len(n), "doc_id": pa.array(keys, pa.int64()), "inside": np.cumsum(n) - n, "n_tokens": n, "ids_crc32": pa.array(crcs, pa.int64())})
 
-    # One row a file: file names ascend as the identifiers do.
-    before = spark.read.schema("file string, entries long, ids long").parquet(f"{folder}/{MANIFEST}").select("file", F.coalesce(F.sum("ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = _before(_manifest(spark, folder))
     found = _files(spark, folder).select("path", "content").mapInArrow(entries, "file string, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return found.join(before, "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _manifest(spark, folder: str) -> DataFrame:
+    return spark.read.schema(_MANIFEST_ROW).parquet(f"{folder}/{MANIFEST}")
+
+
+def _before(manifest: DataFrame) -> DataFrame:
+    """file, before: the ids of all files before it. Ranges ascend with their numbers, and files within a range with theirs."""
+    group = F.floor(F.col("part") / GROUP_PARTS)
+    totals = dict(manifest.groupBy(group.alias("g")).agg(F.sum("ids").alias("ids")).collect())
+    sums, total = [], 0
+    for g in sorted(totals):
+        sums.append((g, total))
+        total += totals[g]
+    starts = manifest.sparkSession.createDataFrame(sums, "g long, first long")
+    inside = F.sum("ids").over(W.partitionBy("g").orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1))
+    return manifest.withColumn("g", group).withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts), "g").select("file", (F.col("first") + F.col("inside")).alias("before"))
+
+
 def lookup(spark, folder: str, doc_ids: list[int | None]) -> DataFrame:
     """doc_id and ids of the wanted identifiers, by filter and binary search in every shard file."""
 
@@ -269,7 +287,9 @@ def lookup(spark, folder: str, doc_ids: list[int | None]) -> DataFrame:
                     if found := shard.get(doc_id):
                         yield pa.RecordBatch.from_pydict({"doc_id": [doc_id] * len(found), "ids": [x.astype(np.int64).tolist() for x in found]}, schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
-    return _files(spark, folder).select("content").mapInArrow(work, "doc_id long, ids array<long>")
+    known = _manifest(spark, folder).select("file")
+    listed = _files(spark, folder).withColumn("file", F.element_at(F.split("path", "/"), -1)).join(known, "file", "left_semi")
+    return listed.select("content").mapInArrow(work, "doc_id long, ids array<long>")
 
 
 def _files(spark, folder: str) -> DataFrame:

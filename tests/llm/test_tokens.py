@@ -1,12 +1,14 @@
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tablecare.llm import packing, token_files
-from tablecare.llm.common import byte_view
+from tablecare.llm.common import byte_view, text_pieces
 from tablecare.llm.queries import tokenizer_path
 from tablecare.llm.tokens import Encoder
 
@@ -69,7 +71,9 @@ def test_packing_of_nothing(spark):
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), max_size=12))
 def test_solver_holds_the_histogram(histogram):
     seen = {}
-    for column, times in packing.solve(histogram, 64):
+    columns, placed = packing.solve(histogram, 64)
+    assert 0 <= placed <= sum(histogram.values())
+    for column, times in columns:
         assert times > 0 and sum(k * v for k, v in column.items()) <= 64
         for k, v in column.items():
             seen[k] = seen.get(k, 0) + v * times
@@ -82,9 +86,35 @@ def test_knapsack_is_exact():
     assert packing.knapsack(lengths, values, 23) @ values == pytest.approx(best)
 
 
+def sequences(lengths, supply):
+    return sum(n for _, n in packing.best_fit(lengths, supply, 2048))
+
+
 def test_linear_program_beats_best_fit_where_it_matters():
     h = {500: 4000, 600: 4000, 700: 4000, 811: 4000, 905: 4000}
-    assert sum(n for _, n in packing.solve(h)) < sum(n for _, n in packing.solve(h, passes=0))
+    columns, placed = packing.solve(h)
+    assert placed == 20_000 and sum(n for _, n in columns) < sequences(np.array(list(h)), np.array(list(h.values())))
+
+
+def test_program_places_most_pieces_of_the_given_documents():
+    table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].combine_chunks()
+    h = Counter()
+    for _, _, data, offsets in text_pieces(table):
+        for n in (np.diff(OWN.encode(data, offsets)[1]) + 1).tolist():
+            h.update([2048] * (n // 2048) + [n % 2048] * (n % 2048 > 0))
+    columns, placed = packing.solve(h)
+    tokens = sum(k * n for k, n in h.items())
+    assert sum(n for _, n in columns) == -(-tokens // 2048)
+    assert placed > 0.5 * sum(h.values())
+
+
+def test_a_small_table_of_pieces_gives_the_same_ids():
+    small = Encoder(tokenizer_path(), slots=256)
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].combine_chunks()
+    for _, _, data, offsets in text_pieces(table, 1 << 16):
+        for ours, theirs in zip(small.encode(data, offsets), OWN.encode(data, offsets), strict=True):
+            assert np.array_equal(ours, theirs)
+    assert small.pieces <= 256
 
 
 def test_files_read_back(spark):
@@ -122,7 +152,9 @@ def test_files_of_null_identifiers(spark):
     folder = token_files.write(frame(spark, data), tokenizer_path())
     got = token_files.read(spark, folder).orderBy("start").collect()
     at, want = 0, []
-    for doc_id, text in [(None, None), (None, "a"), (None, "b c"), (-(2**63), "x"), (7, "y")]:
+    ordered = frame(spark, data).selectExpr("doc_id", "text", "xxhash64(text) AS h").orderBy("doc_id", "h").collect()
+    assert [r.doc_id for r in ordered] == [None, None, None, -(2**63), 7]
+    for doc_id, text, _ in ordered:
         ids = [*plain(text), 0]
         want.append((doc_id, at, len(ids), crc(ids)))
         at += len(ids)
