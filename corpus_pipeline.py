@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablecare.llm import jaccard, langid, mixing, packing, substrings
-from tablecare.llm.common import findable, materialize, table
+from tablecare.llm.common import materialize, prepare, table
 from tablecare.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; what is far from every language goes."""
-    findable(spark)
+    prepare(spark)
     return langid.keep_identified(docs)
 
 
