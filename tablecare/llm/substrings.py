@@ -1,15 +1,15 @@
 """Passages that repeat across documents: sliding spans of sentences and windows of words, hashed, joined globally,
 removed but for the first.
 
-A sentence ends after white space that follows `.`, `!` or `?` or holds a line end, and before a capitalised word that
-follows an uncapitalised one, so that a passage pasted into running text starts a sentence of its own. A sentence of
-over LONG_WORDS words is also cut after words that their hash chooses, alike wherever the words stand.
+A sentence ends before white space that follows `.`, `!` or `?` (quotes and brackets may stand between) or holds a
+line end.
 
 A span is a run of at least SENTENCES sentences and WORDS words with no sentence to spare at its end, or none at its
-start, or a window of WORDS words whose hash is the least, and of equals the last, of WORDS windows that start one after
-another. Of any 2 * WORDS - 1 words the least window hangs on them alone, so all places of a passage of so many words
-share a window wherever its ends fall in sentences, and windows taken leave no gap between them: at most WORDS - 1
-words at either end of a passage stay.
+start. Sentence spans do not see a passage without so many whole sentences, or pasted into the middle of others, so a
+span is also a window of WORDS words whose hash is the least, and of equals the last, of WORDS windows that start one
+after another. Of any 2 * WORDS - 1 words the least window hangs on them alone, so all places of a passage of so many
+words share a window wherever its ends fall in sentences, and windows taken leave no gap between them: at most
+WORDS - 1 words at either end of a passage stay.
 
 A hash is over a span's words in lower case (A-Z), without white space. Of the places of a hash the first, by doc_id and
 then by place, stays; words that any other place covers go, but for places that overlap the first.
@@ -21,18 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, byte_set, lower_ascii, materialize, runs, slices, text_pieces
+from .common import NON_SPACE, byte_set, column, lower_ascii, materialize, mixed, runs, text_pieces, unused, word_codes
 
-#: Sentences and words of a span at least; words of a sentence before it is cut by content, one cut in CUT_ONE_IN words.
-SENTENCES, WORDS, LONG_WORDS, CUT_ONE_IN = 1, 25, 40, 8
+#: Sentences and words of a span at least.
+SENTENCES, WORDS = 3, 25
 
 _STOP = byte_set((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F))
 _INNER = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
-_CAPITAL = byte_set((0x41, 0x5A))
 _LINE = byte_set((0x0A, 0x0D))
 _BASE = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -55,10 +53,8 @@ class Sentences:
         self.offsets = offsets
         self.starts, ends, word_row = runs(data, offsets, NON_SPACE)
         n = len(self.starts)
-        lowered = slices(lower_ascii(data), self.starts, ends).dictionary_encode()
-        texts = lowered.dictionary.to_pylist()
-        index = lowered.indices.to_numpy()
-        self.codes = [np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in texts), np.uint64, len(texts))[index] for seed in (0, 1)]
+        lowered = lower_ascii(data)
+        self.codes = [word_codes(lowered, self.starts, ends, seed) for seed in (0, 1)]
         begins = np.zeros(n, bool)
         if n:
             begins[0] = True
@@ -71,13 +67,6 @@ class Sentences:
             stopped = last(_STOP[data]) > last(_INNER[data])
             lines = np.concatenate([[0], np.cumsum(_LINE[data])])
             begins[1:] |= stopped[:-1] | (lines[self.starts[1:]] > lines[ends[:-1]])
-            two = np.append(data, 0)
-            capital = _CAPITAL[data[self.starts]] | ((data[self.starts] == 0xC3) & (two[self.starts + 1] >= 0x80) & (two[self.starts + 1] <= 0x9E) & (two[self.starts + 1] != 0x97))
-            begins[1:] |= capital[1:] & ~capital[:-1]
-            first = np.flatnonzero(begins)
-            size = np.diff(np.append(first, n))
-            long_ = np.repeat(size > LONG_WORDS, size)
-            begins[1:] |= long_[1:] & long_[:-1] & (self.codes[0][:-1] % np.uint64(CUT_ONE_IN) == 0)
         self.first = np.append(np.flatnonzero(begins), n)
         self.row = word_row[self.first[:-1]]
         #: Words before each text's first, and the words of all.
@@ -107,12 +96,9 @@ class Sentences:
         for code, base in zip(self.codes, _BASE, strict=True):
             power, inverse = _power(base, len(code))
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * power[:-1], dtype=np.uint64)])
-            h = (total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)
-            h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
-            out.append((h ^ h >> np.uint64(29)).view(np.int64))
+            out.append(mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)).view(np.int64))
         return out
 
-
     def windows(self) -> np.ndarray:
         """First words of the windows taken."""
         left = np.repeat(self.words[1:], np.diff(self.words)) - np.arange(len(self.starts))
@@ -137,7 +123,7 @@ class Sentences:
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """h1, h2, _id, _copy, begin, n (words) for every span; _copy tells apart different texts under one identifier."""
+    """h1, h2, id, copy, begin, n (words) for every span of docs (id, copy, text); copy tells apart texts under one identifier."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,45 +136,54 @@ def _spans(docs: DataFrame) -> DataFrame:
                     continue
                 at = np.searchsorted(found.words, begin, "right") - 1
                 h1, h2 = found.word_hashes(begin, end)
-                own = [batch.column(c).slice(row, to - row).take(pa.array(at)) for c in ("_id", "_copy")]
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), *own, pa.array((begin - found.words[at]).astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["h1", "h2", "_id", "_copy", "begin", "n"])
+                own = [batch.column(c).slice(row, to - row).take(pa.array(at)) for c in ("id", "copy")]
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), *own, pa.array((begin - found.words[at]).astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["h1", "h2", "id", "copy", "begin", "n"])
 
-    return docs.select("_id", "_copy", "text").mapInArrow(work, "h1 long, h2 long, _id long, _copy long, begin int, n int")
+    return docs.mapInArrow(work, "h1 long, h2 long, id long, copy long, begin int, n int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """_id, _copy and the words (begin, n) that non-first places of repeated spans cover, one row a document."""
-    spans = _spans(docs)
-    place = F.struct("_id", "_copy", "begin")
-    firsts = materialize(spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last"), "repeated")
-    firsts = firsts.select("h1", "h2", F.col("first._id").alias("first_id"), F.col("first._copy").alias("first_copy"), F.col("first.begin").alias("first_begin"))
-    hit = spans.join(firsts, ["h1", "h2"]).where(~(F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_copy") == F.col("first_copy")) & (F.col("begin") < F.col("first_begin") + F.col("n"))))
-    return hit.groupBy("_id", "_copy").agg(F.collect_set(F.struct("begin", "n")).alias("spans"), F.sort_array(F.collect_set("first_id")).alias("first_ids"))
+    """id, copy, spans (begin, n in words) that non-first places of repeated spans cover, and first_ids, one row a document."""
+    spans = materialize(_spans(docs), "spans")
+    often = spans.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
+    hits = materialize(spans.join(often, ["h1", "h2"], "left_semi"), "repeated")  # few of all
+    place = F.struct("id", "copy", "begin")
+    firsts = hits.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h1", "h2", "first")
+    first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.copy") == F.col("copy"))
+    hit = hits.join(firsts, ["h1", "h2"]).where(~(first & (F.col("begin") < F.col("first.begin") + F.col("n"))))
+    return hit.groupBy("id", "copy").agg(F.collect_set(F.struct("begin", "n")).alias("spans"), F.sort_array(F.collect_set("first.id")).alias("first_ids"))
 
 
 def remove_repeats(docs: DataFrame, prefix: str = "") -> DataFrame:
-    """docs with repeated passages cut out of text, and <prefix>n_sentences, <prefix>n_removed, <prefix>first_ids.
+    """docs with repeated passages cut out of text, and <prefix>n_removed, <prefix>removed, <prefix>first_ids.
 
-    docs has doc_id (an integer), text and any other columns; new columns replace others of their names. first_ids
-    lists, ascending, the documents where the removed spans stand first; n_removed counts the sentences that lose words. A null text stays null with 0 sentences; a
-    text that loses nothing stays as it is to the byte; one that loses all becomes empty. Rows with the same
-    doc_id and text count as one document, so none of them is another's repeat. No rows give no rows.
+    docs has doc_id (an integer), text and any other columns; new columns replace others of their names. removed lists
+    the (begin, n) of the runs of words that went, n_removed counts the sentences that lose words, and first_ids lists,
+    ascending, the documents where the removed spans stand first. A null text stays null; a text that loses nothing
+    stays as it is to the byte; one that loses all becomes empty. Rows with the same doc_id and text count as one
+    document, so none of them is another's repeat. No rows give no rows.
     """
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_copy": F.xxhash64("text")})
-    marks = materialize(repeated(keyed.select("_id", "_copy", "text")), "marks").withColumnsRenamed({"_id": "_mark_id", "_copy": "_mark_copy", "spans": "_spans", "first_ids": "_first_ids"})
+    id_, copy, mark_id, mark_copy, spans, first, cut = unused(docs, "id", "copy", "mark_id", "mark_copy", "spans", "first", "cut")
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), copy: F.xxhash64("text")})
+    marks = repeated(docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("copy"), "text"))
+    marks = materialize(marks, "marks").select(F.col("id").alias(mark_id), F.col("copy").alias(mark_copy), F.col("spans").alias(spans), F.col("first_ids").alias(first))
 
-    @F.arrow_udf("struct<text: string, sentences: int, removed: int>")
+    @F.arrow_udf("struct<text: string, n_removed: int, removed: array<struct<begin: int, n: int>>>")
     def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out, total, gone = [], [], []
+        out, gone, removed = [], [], []
         for row, to, data, offsets in text_pieces(texts):
+            if not len(data):
+                out += [None] * (to - row)
+                gone += [0] * (to - row)
+                removed += [[]] * (to - row)
+                continue
             found = Sentences(data, offsets)
-            count = np.bincount(found.row, minlength=to - row)
-            total += count.tolist()
             for k in range(row, to):
                 marks, base, n = spans[k], found.words[k - row], int(found.words[k - row + 1] - found.words[k - row])
                 if not marks.is_valid:
-                    out.append(texts[k].as_py())
+                    out.append(None)
                     gone.append(0)
+                    removed.append([])
                     continue
                 covered = np.zeros(n, bool)
                 for m in marks.as_py():
@@ -199,16 +194,24 @@ def remove_repeats(docs: DataFrame, prefix: str = "") -> DataFrame:
                 head = data[offsets[k - row] : begin[0]].tobytes()
                 out.append((head + b"".join(data[begin[a] : begin[b]].tobytes() for a, b in zip(turns, turns[1:], strict=False) if not covered[a])).decode())
                 gone.append(len(np.unique(np.searchsorted(found.first, base + np.flatnonzero(covered), "right"))))
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(total, pa.int32()), pa.array(gone, pa.int32())], ["text", "sentences", "removed"])
+                removed.append([{"begin": int(a), "n": int(b - a)} for a, b in zip(turns, turns[1:], strict=False) if covered[a]])
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.struct([("begin", pa.int32()), ("n", pa.int32())]))]
+        return pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip((out, gone, removed), kinds, strict=True)], ["text", "n_removed", "removed"])
 
-    joined = keyed.join(marks, F.col("_id").eqNullSafe(F.col("_mark_id")) & (F.col("_copy") == F.col("_mark_copy")), "left").withColumn("_without", without("text", "_spans"))
-    more = {f"{prefix}n_sentences": F.col("_without.sentences"), f"{prefix}n_removed": F.col("_without.removed"), f"{prefix}first_ids": F.coalesce("_first_ids", F.array().cast("array<long>"))}
-    return joined.withColumns({"text": F.col("_without.text"), **more}).drop("_id", "_copy", "_mark_id", "_mark_copy", "_spans", "_first_ids", "_without")
+    # Only marked texts go to Python.
+    marked = F.when(F.col(spans).isNotNull(), F.col("text"))
+    joined = keyed.join(marks, F.col(id_).eqNullSafe(F.col(mark_id)) & (F.col(copy) == F.col(mark_copy)), "left").withColumn(cut, without(marked, F.col(spans)))
+    more = {f"{prefix}n_removed": F.col(f"{cut}.n_removed"), f"{prefix}removed": F.col(f"{cut}.removed"), f"{prefix}first_ids": F.coalesce(F.col(first), F.array().cast("array<long>"))}
+    return joined.withColumns({"text": F.coalesce(f"{cut}.text", "text"), **more}).drop(id_, copy, mark_id, mark_copy, spans, first, cut)
 
 
 def keep_first_passages(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut out, and n_chars as it then is; rows left without a word by the cut go."""
-    cut = remove_repeats(docs, "_cut_")
-    whole = cut.where((F.col("_cut_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    n_chars = F.when(F.col("_cut_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return whole.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    prefix = "cut_"
+    while {f"{prefix}{n}".lower() for n in ("n_removed", "removed", "first_ids")} & {c.lower() for c in docs.columns}:
+        prefix += "_"
+    cut = remove_repeats(docs, prefix)
+    lost = F.col(f"{prefix}n_removed") > 0
+    whole = cut.where(~lost | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(lost, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return whole.select(*[n_chars.alias(c) if c == "n_chars" else column(c) for c in docs.columns])
