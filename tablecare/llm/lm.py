@@ -8,6 +8,8 @@ suffixes, so what is excluded at a context depends on the next longer one only,
 the symbol and ORDER bytes before it alone. The trie is therefore a table of byte strings of ORDER + 1, counted and
 priced by Spark; a document's score is the sum over its byte strings.
 
+Words are told apart by 63 bits of a hash, so word counts are exact up to its collisions.
+
 Prices of the FREQUENT_KEYS most frequent strings and words at most are broadcast; occurrences of all others are
 joined with theirs.
 """
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, crc_of_id, lower_ascii, materialize, runs, slices, text_pieces
+from .common import NON_SPACE, crc_of_id, lower_ascii, materialize, runs, text_pieces, word_codes
 
 #: Bytes of the longest context; added to every word count; entries broadcast at most; strings priced in a group.
 ORDER, SMOOTHING, FREQUENT_KEYS, GROUP_KEYS = 5, 0.1, 1_000_000, 200_000
@@ -53,9 +55,8 @@ def strings(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the distinct words, the word at each place (its index in them) and the place's text."""
     starts, ends, row = runs(data, offsets, NON_SPACE)
-    found = slices(data, starts, ends).dictionary_encode()
-    keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in found.dictionary.to_pylist()), np.uint64, len(found.dictionary)) | _WORD
-    return keys.view(np.int64), found.indices.to_numpy().astype(np.int64), row
+    keys, at = distinct((word_codes(data, starts, ends) | _WORD).view(np.int64))
+    return keys, at.astype(np.int64), row
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
