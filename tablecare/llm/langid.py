@@ -3,7 +3,7 @@
 A text becomes hashed counts of its letter n-grams of one to three bytes (letters lower-cased, everything else one
 space), dampened, weighted by inverse document frequency over all training documents, and normalised. Each language
 has several centroids, clustered by cosine on a bounded sample of its documents. The nearest centroid names the
-language; a text further from it than its own members reach is rejected.
+language; a text much further from it than the language's own texts of its length is rejected.
 """
 
 from __future__ import annotations
@@ -17,14 +17,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_set, crc_of_id, text_pieces
+from .common import byte_set, column, crc_of_id, text_pieces, unused
 
 #: Hash buckets of n-grams, longest n-gram, centroids a language, steps of clustering.
 DIMS, LONGEST, CENTROIDS, STEPS = 8192, 3, 4, 8
 #: Documents a language that centroids are fitted on: that many are expected, FIT_MOST is never passed.
 FIT_EXPECTED, FIT_MOST = 1000, 2000
-#: A text is rejected below this share of the similarity that FLOOR_QUANTILE of its language's sample stay under: far off, not merely short.
-FLOOR_SHARE, FLOOR_QUANTILE = 0.25, 0.01
+#: Longer texts are nearer to their centroid, so floors go by the binary logarithm of a text's n-grams, from SHORT_CLASS (under
+#: it nothing is rejected: a word or two tell too little) to LONG_CLASS (and all above). A floor is FLOOR_SHARE of the
+#: similarity that FLOOR_QUANTILE of the class's fitted texts stay under; a class of under CLASS_LEAST texts joins the next longer one.
+FLOOR_SHARE, FLOOR_QUANTILE, SHORT_CLASS, LONG_CLASS, CLASS_LEAST = 0.5, 0.01, 5, 12, 30
 
 _LETTER = byte_set((0x61, 0x7A), (0x80, 0xFF))
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -67,6 +69,26 @@ def _pieces(texts: pa.Array, rows: int = 256) -> Iterator[tuple[int, int, np.nda
             yield first + a, first + b, counts(data, offsets)
 
 
+def length_class(count: np.ndarray) -> np.ndarray:
+    """0 for the shortest texts, which are never rejected, then one class for each doubling of n-grams."""
+    n = np.log2(np.maximum(count.sum(axis=1), 1))
+    return np.clip(np.floor(n).astype(np.int64) - SHORT_CLASS + 1, 0, LONG_CLASS - SHORT_CLASS + 1)
+
+
+def floors_of(like: np.ndarray, kind: np.ndarray) -> list[float]:
+    """The floor of every length class from the similarities of a language's fitted texts; never above the next longer class's."""
+    out, held = [], np.zeros(0)
+    above = np.inf
+    for k in range(LONG_CLASS - SHORT_CLASS + 1, 0, -1):
+        held = np.concatenate([held, like[kind == k]]) if len(held) < CLASS_LEAST else like[kind == k]
+        if len(held) >= CLASS_LEAST:
+            above = min(above, FLOOR_SHARE * float(np.quantile(held, FLOOR_QUANTILE)))
+        elif len(held):  # too few to tell: half of what the next longer class asks for
+            above = min(above, FLOOR_SHARE * float(held.min()))
+        out.append(above if np.isfinite(above) else 0.0)
+    return [0.0, *out[::-1]]
+
+
 def cluster(x: np.ndarray, k: int = CENTROIDS, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Unit centroids by cosine and each row's centroid; starts are rows far from one another."""
     picked = [int((x @ x.mean(axis=0)).argmax())]
@@ -88,7 +110,7 @@ class Model:
     idf: np.ndarray
     langs: list[str] = field(default_factory=list)
     centres: np.ndarray = field(default_factory=lambda: np.zeros((0, DIMS), np.float32))
-    floors: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    floors: np.ndarray = field(default_factory=lambda: np.zeros((0, 1)))
 
     def predict(self, count: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Nearest centroid, similarity (0 to 1) and whether the text is near enough to it."""
@@ -97,14 +119,15 @@ class Model:
         like = vectors(count, self.idf) @ self.centres.T
         best = like.argmax(axis=1)
         score = np.clip(like[np.arange(len(like)), best].astype(float), 0, 1)
-        return best.tolist(), score, score >= self.floors[best]
+        return best.tolist(), score, score >= self.floors[best, length_class(count)]
 
 
 def fit(docs: DataFrame) -> Model:
     """Learn from rows of docs (doc_id, text, lang) with a language.
 
-    Document frequencies cover all rows. The driver receives DIMS numbers, and for each language its row count and
-    CENTROIDS vectors of DIMS numbers; languages are few and named by people.
+    Document frequencies cover all rows. Centroids are fitted on the texts whose hash (of identifier and text) falls in a
+    share that makes FIT_EXPECTED different ones of each language expected; copies count once. The driver receives DIMS
+    numbers, and for each language its row count and CENTROIDS vectors of DIMS numbers; languages are few and named by people.
     """
     docs = docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
 
@@ -126,19 +149,22 @@ def fit(docs: DataFrame) -> Model:
 
     def centroids(group: pa.Table) -> pa.Table:
         group = group.sort_by("order").slice(0, FIT_MOST)
-        x = np.concatenate([vectors(count, idf) for _, _, count in _pieces(group.column("text").combine_chunks())])
-        x = x[x.any(axis=1)]
-        if not len(x):
-            return pa.table({"lang": pa.array([], pa.string()), "floor": pa.array([], pa.float64()), "centre": pa.array([], pa.binary())})
+        x, kind = np.zeros((group.num_rows, DIMS), np.float32), np.zeros(group.num_rows, np.int64)
+        for a, b, count in _pieces(group.column("text").combine_chunks(), 64):
+            x[a:b], kind[a:b] = vectors(count, idf), length_class(count)
+        some = np.flatnonzero(x.any(axis=1))
+        if not len(some):
+            return pa.table({"lang": pa.array([], pa.string()), "floors": pa.array([], pa.list_(pa.float64())), "centre": pa.array([], pa.binary())})
+        x, kind = (x, kind) if len(some) == len(x) else (x[some], kind[some])
         centre, own = cluster(x)
-        like = (x @ centre.T)[np.arange(len(x)), own]
-        floor = FLOOR_SHARE * float(np.quantile(like, FLOOR_QUANTILE))
-        return pa.table({"lang": [group["lang"][0].as_py()] * len(centre), "floor": [floor] * len(centre), "centre": [c.astype("<f4").tobytes() for c in centre]})
+        like = np.concatenate([(x[a : a + 256] @ centre.T)[np.arange(len(own[a : a + 256])), own[a : a + 256]] for a in range(0, len(x), 256)])
+        return pa.table({"lang": [group["lang"][0].as_py()] * len(centre), "floors": [floors_of(like, kind)] * len(centre), "centre": [c.astype("<f4").tobytes() for c in centre]})
 
     share = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, int(1e6 * min(1.0, FIT_EXPECTED / n)))])
-    sample = docs.withColumn("order", F.xxhash64("doc_id")).where(F.pmod("order", F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
-    found = sorted(sample.select("lang", "order", "text").groupBy("lang").applyInArrow(centroids, "lang string, floor double, centre binary").collect(), key=lambda r: (r.lang, bytes(r.centre)))
-    return Model(idf, [r.lang for r in found], np.stack([np.frombuffer(r.centre, "<f4") for r in found]), np.array([r.floor for r in found])) if found else Model(idf)
+    sample = docs.withColumn("order", F.xxhash64("doc_id", "text")).where(F.pmod("order", F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
+    sample = sample.groupBy("lang", "order").agg(F.any_value("text").alias("text"))
+    found = sorted(sample.groupBy("lang").applyInArrow(centroids, "lang string, floors array<double>, centre binary").collect(), key=lambda r: (r.lang, bytes(r.centre)))
+    return Model(idf, [r.lang for r in found], np.stack([np.frombuffer(r.centre, "<f4") for r in found]), np.array([r.floors for r in found])) if found else Model(idf)
 
 
 def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
@@ -161,12 +187,10 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(flat(score, float)), pa.array(flat(near, bool))], ["lang", "score", "near"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    known = letters & F.col("_nearest.lang").isNotNull()
-    return (
-        docs.withColumn("_nearest", nearest(F.col("text")))
-        .withColumns({f"{prefix}lang_pred": F.when(known, F.col("_nearest.lang")).otherwise("und"), f"{prefix}score": F.when(known, F.col("_nearest.score")).otherwise(0.0), f"{prefix}rejected": ~(known & F.col("_nearest.near"))})
-        .drop("_nearest")
-    )
+    own = unused(docs, "nearest")[0]
+    known = letters & F.col(f"{own}.lang").isNotNull()
+    new = {f"{prefix}lang_pred": F.when(known, F.col(f"{own}.lang")).otherwise("und"), f"{prefix}score": F.when(known, F.col(f"{own}.score")).otherwise(0.0), f"{prefix}rejected": ~(known & F.col(f"{own}.near"))}
+    return docs.withColumn(own, nearest(F.col("text"))).withColumns(new).drop(own)
 
 
 def held_out(modulus: int = 4, remainder: int = 2):
@@ -175,6 +199,12 @@ def held_out(modulus: int = 4, remainder: int = 2):
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id, text, lang, any others) whose text is not rejected, with the columns of docs."""
+    """Rows of docs (doc_id, text, lang, any others) whose text is not rejected, with the columns of docs.
+
+    A null, an empty and a letterless text are rejected; a text of a word or two is not for its distance.
+    """
     model = fit(docs.where(~held_out()))
-    return identify(docs, model, "_language_").where(~F.col("_language_rejected")).select(*[docs[f"`{c}`"] for c in docs.columns])
+    prefix = "own_"
+    while {f"{prefix}{n}".lower() for n in ("lang_pred", "score", "rejected")} & {c.lower() for c in docs.columns}:
+        prefix += "_"
+    return identify(docs, model, prefix).where(~F.col(f"{prefix}rejected")).select(*[column(c) for c in docs.columns])

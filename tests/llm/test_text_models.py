@@ -90,6 +90,48 @@ def test_languages_held_out(spark):
     assert kept.columns == docs.columns and kept.count() == len(data) - 4
 
 
+def test_what_is_no_known_language_goes_and_the_given_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    odd = ["Это русский текст, который написан кириллицей и не входит в известные языки.", "数据处理系统用于大规模训练语言模型的数据", "xqzv wkjx qqzz vvkx zzqx wwvk jjqx kkzx qvxz", "asdf jkl; qwer uiop zxcv m,./ asdf qwer zxcv"]
+    got = langid.identify(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()
+    assert all(r.rejected for r in got)
+    given = langid.identify(docs.where(langid.held_out()), model).where("text IS NOT NULL")
+    assert given.where("rejected").count() <= 0.005 * given.count()
+    assert given.where("lang_pred = lang").count() >= 0.99 * given.count()
+
+
+def test_predictions_equal_plain_nearest_centroids(spark):
+    """A dictionary version of the n-grams, weights and cosines, with the fitted centroids."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    train = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    model = langid.fit(docs.where(~langid.held_out()))
+
+    def cells(text):
+        letters = re.sub(rb"[^a-z\x80-\xff]+", b" ", (text or "").lower().encode())
+        letters = letters[1:] if letters[:1] == b" " and not (text or " ")[:1].isalpha() else letters
+        out = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(letters) - n + 1):
+                part = letters[i : i + n]
+                if part == b" ":
+                    continue
+                code = 0
+                for k in range(1, n + 1):
+                    code = (code * 0x01000193 + (part[k - 1] + k) * int(langid._MIX[k - 1])) % 2**32
+                out[((code ^ code >> 15) * 0x2C1B3C6D % 2**32 >> 12) % langid.DIMS] += 1
+        return out
+
+    seen = Counter(c for r in train for c in cells(r.text))
+    idf = {c: math.log((1 + len(train)) / (1 + n)) + 1 for c, n in seen.items()}
+    for r in langid.identify(docs, model).collect():
+        weight = {c: math.log1p(n) * idf.get(c, math.log(1 + len(train)) + 1) for c, n in cells(r.text).items()}
+        norm = math.sqrt(sum(w * w for w in weight.values())) or 1.0
+        like = [sum(w * float(centre[c]) for c, w in weight.items()) / norm for centre in model.centres]
+        assert r.score == pytest.approx(max(like), abs=2e-5) and like[model.langs.index(r.lang_pred)] is not None
+        assert max(x for x, lang in zip(like, model.langs, strict=True) if lang == r.lang_pred) == pytest.approx(max(like), abs=2e-5)
+
+
 def test_languages_of_nothing(spark):
     empty = frame(spark, [])
     assert langid.identify(empty, langid.fit(empty)).count() == 0
@@ -156,7 +198,7 @@ def test_repeated_passages_go_but_for_the_first(spark):
     by = {r.doc_id: r for r in got}
     text = {d: t for d, t, *_ in data}
     assert by[3].text == text[3] and by[3].n_removed == 0
-    inner = shared.split()[15:-15]
+    inner = shared.split()[24:-24]
     for i in (7, 9):
         assert by[i].n_removed > 0 and " ".join(inner) not in by[i].text and 3 in by[i].first_ids
         assert by[i].text.startswith(" ".join(text[i].split()[:50])) and by[i].text.endswith(" ".join(text[i].split()[-35:]))
