@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_set, lower_ascii, runs, text_pieces
+from .common import byte_set, lower_ascii, runs, text_pieces, unused
 
 #: Phrases of whole words and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -257,4 +257,5 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, prefix: str = "") -
         return pa.StructArray.from_arrays([words, *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"])
 
     names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
-    return docs.withColumn("_scan", work(F.col("text"))).withColumns({f"{prefix}{n}": F.col(f"_scan.{n}") for n in names}).drop("_scan")
+    own = unused(docs, "scan")[0]
+    return docs.withColumn(own, work(F.col("text"))).withColumns({f"{prefix}{n}": F.col(f"{own}.{n}") for n in names}).drop(own)
