@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecare.llm import jaccard, langid, mixing, packing, substrings
+from tablecare.llm import langid, mixing, packing, simhash, substrings
 from tablecare.llm.common import materialize, prepare, table
 from tablecare.llm.queries import tokenizer_path
 
@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingle sets with a Jaccard similarity of 0.8 or more."""
-    return jaccard.keep_one(docs)
+    """One document of each group of near copies: SimHash candidates, five-word shingle sets with a Jaccard similarity of 0.8 or more."""
+    return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
