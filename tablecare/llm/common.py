@@ -13,13 +13,14 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is worked on in pieces of about this many bytes, so that memory does not follow the batch.
 CHUNK_BYTES = 1 << 20
-#: Rows of a batch that goes to Python: at a few kB of text a row some MB, on either side of the pipe.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch that goes to Python: what either side of the pipe holds, unless a single row is longer.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -36,14 +37,15 @@ NON_SPACE = ~byte_set((0x20, 0x20), (0x09, 0x0D))
 def prepare(spark: SparkSession) -> None:
     """Let Python workers find this package where it is installed at the driver's path; else it is shipped by --py-files.
 
-    Batches that go to Python hold BATCH_ROWS rows, where the session does not say otherwise.
+    Batches that go to Python hold BATCH_ROWS rows or BATCH_BYTES, where the session does not say otherwise.
     """
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,6 +166,36 @@ def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[place]))])
 
 
+#: Masks for the first 0 to 8 bytes of a little-endian number.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 64
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits spread, one to one."""
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end], the same for the same bytes wherever they stand."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    out = mixed(size.astype(np.uint64) + np.uint64((seed * 2 + 1) * 0x9E3779B97F4A7C15 % 2**64))
+    some = np.flatnonzero(size <= _LONG_WORD)
+    for at in range(0, _LONG_WORD, 8):
+        some = some[size[some] > at]
+        if not len(some):
+            break
+        out[some] = mixed(out[some] ^ (eight[starts[some] + at] & _FIRST_BYTES[np.minimum(size[some] - at, 8)]))
+    for i in np.flatnonzero(size > _LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return out
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """A-Z become a-z; every other byte stays."""
     return np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data).astype(np.uint8)

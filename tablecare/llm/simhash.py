@@ -1,10 +1,18 @@
 """Near-duplicate documents by SimHash: tiled exact comparison of fingerprints, then connected components.
 
-A fingerprint of 64 bits is four lanes of 16 bits. Fingerprints are tiled by the lanes' population counts: two that
-differ in at most `radius` bits have lane counts that differ by at most radius in sum, so a tile meets only its
-neighbours in that sense and all other tile pairs are skipped. A tile's members are packed into rows of bounded size;
-two packed rows are compared whole with numpy exclusive-or and bit counts. Only links that join parts (a spanning
-forest of each pair of rows) leave a task, so a large group of near copies gives links in proportion to its size.
+A fingerprint holds, bit by bit, the majority of the hashes of a text's shingles. Fingerprints are tiled, a tile's
+members are packed into rows of bounded size, and two packed rows are compared whole with numpy exclusive-or and bit
+counts. Only links that join parts (a spanning forest of each pair of rows) leave a task, so a large group of near
+copies gives links in proportion to its size.
+
+near_duplicates() links fingerprints of 64 bits that differ in `radius` bits at most. They are tiled by the population
+counts of four lanes of 16 bits: two that are near have lane counts that differ by at most the radius in sum, so a tile
+meets only its neighbours in that sense and all other tile pairs are skipped.
+
+keep_one() wants the Jaccard similarity of shingle sets. Its fingerprints are of FINE_PARTS times 64 bits, enough for a
+radius that reaches every similar pair and next to no other. Tiles are of similar numbers of shingles, as sets of
+similarity t differ in size by a factor of 1 / t at most; packed rows whose population counts differ beyond the radius
+are skipped. What the fingerprints propose is checked on the shingle sets themselves before it links.
 """
 
 from __future__ import annotations
@@ -18,11 +26,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, drop_table, lower_ascii, materialize, runs, text_pieces
+from .common import NON_SPACE, column, drop_table, lower_ascii, materialize, mixed, runs, text_pieces, unused, word_codes
 
 #: Differing bits of a link, words of a shingle, hash seed, fingerprints packed in a row, rounds of components at most.
 RADIUS, SHINGLE_WORDS, SEED, TILE_ROWS, MAX_ROUNDS = 2, 3, 42, 2048, 60
 LANES, LANE_BITS = 4, 16
+#: Near copies: words of a shingle and least Jaccard similarity of a link.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+#: Words of 64 bits in their fingerprints, and bits that candidates differ by at most, in the first word and in all. A pair
+#: at similarity 0.8 differs in 39 of 256 bits on average, with a standard deviation of 6, and in 49 of them where the sets
+#: are very small; unrelated pairs differ in 128, with one of 8.
+FINE_PARTS, FINE_FIRST, FINE_RADIUS = 4, 24, 72
+#: Texts compared at a time, and bytes of their sets on average.
+PART_TEXTS, PART_BYTES = 256, 4 << 20
+#: Shingles hashed at a time.
+HASHED_AT_ONCE = 1 << 16
+_STEPS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
 
 
 def shingles_of(data: np.ndarray, offsets: np.ndarray, words: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -35,38 +54,66 @@ def shingles_of(data: np.ndarray, offsets: np.ndarray, words: int, seed: int = S
     keep = NON_SPACE[data]
     keep[ends[ends < len(data)]] = True
     flat = np.where(NON_SPACE[data], data, 0x20)[keep].astype(np.uint8)
-    moved = np.cumsum(keep) - keep
+    moved = np.cumsum(keep, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
     size = ends - starts
-    starts = moved[starts]
+    starts = moved[starts] - 1
     ends = starts + size
     count = np.bincount(row, minlength=rows)
+    del moved, keep, row, size
     first = np.cumsum(count) - count
     shingles = np.where(count, np.maximum(count - words + 1, 1), 0)
     owner = np.repeat(np.arange(rows), shingles)
     begin = np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + first[owner]
     stop = np.minimum(begin + words, first[owner] + count[owner]) - 1
-    text, digest = flat.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(text[a:b], seed) for a, b in zip(starts[begin].tolist(), ends[stop].tolist(), strict=True)), np.uint64, len(owner))
+    text, digest, hashes = flat.tobytes(), xxhash.xxh64_intdigest, np.zeros(len(owner), np.uint64)
+    for at in range(0, len(owner), HASHED_AT_ONCE):
+        part = slice(at, at + HASHED_AT_ONCE)
+        hashes[part] = np.fromiter((digest(text[a:b], seed) for a, b in zip(starts[begin[part]].tolist(), ends[stop[part]].tolist(), strict=True)), np.uint64, len(owner[part]))
     return hashes, shingles
 
 
+def majority(hashes: np.ndarray, parts: int = 1) -> np.ndarray:
+    """`parts` 64-bit words: the bits set in over half of the hashes, and in over half of what they are mixed to."""
+    ones = np.zeros(64 * parts, np.int64)
+    for at in range(0, len(hashes), 255 * 64):
+        part = hashes[at : at + 255 * 64]
+        if parts > 1:
+            part = np.concatenate([part[:, None], mixed(part[:, None] + _STEPS[None, 1:parts])], axis=1)
+        bits = np.unpackbits(np.ascontiguousarray(part, "<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        full = len(bits) // 255 * 255  # sums of 255 bits fit into a byte
+        ones += bits[:full].reshape(-1, 255, len(ones)).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[full:].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
+
+
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
     """One unsigned 64-bit fingerprint a row: the majority of its shingles' hash bits."""
     hashes, shingles = shingles_of(data, offsets, words, seed)
-    rows = len(shingles)
-    out, at = np.zeros(rows, np.uint64), 0
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for r in range(rows):
-        n, ones = int(shingles[r]), np.zeros(64, np.int64)
-        for a in range(at, at + n, 1 << 16):
-            part = hashes[a : min(a + (1 << 16), at + n)]
-            ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        at += n
-        out[r] = weights[2 * ones > n].sum(dtype=np.uint64)
-    return out
-
-
-def fingerprint(column, words: int = SHINGLE_WORDS, seed: int = SEED):
+    ends = np.cumsum(shingles)
+    return np.array([majority(hashes[b - n : b])[0] for n, b in zip(shingles.tolist(), ends.tolist(), strict=True)], np.uint64)
+
+
+def sets_of(data: np.ndarray, offsets: np.ndarray, words: int = NEAR_WORDS) -> Iterator[np.ndarray]:
+    """The distinct 64-bit shingle hashes of each row, ascending, from the hashes of its words in lower case (A-Z)."""
+    data = lower_ascii(data)
+    starts, ends, row = runs(data, offsets, NON_SPACE)
+    code = word_codes(data, starts, ends)
+    bounds = np.searchsorted(row, np.arange(len(offsets)))
+    whole = np.zeros(max(0, len(code) - words + 1), np.uint64)
+    for k in range(words):
+        whole = mixed(whole ^ code[k : k + len(whole)])
+    for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+        if b - a >= words:
+            yield np.unique(whole[a : b - words + 1])
+        elif b > a:  # the whole text, told apart from a shingle by its number of words
+            one = np.full(1, b - a, np.uint64)
+            for k in range(a, b):
+                one = mixed(one ^ code[k : k + 1])
+            yield one
+        else:
+            yield np.zeros(0, np.uint64)
+
+
+def fingerprint(text, words: int = SHINGLE_WORDS, seed: int = SEED):
     """The fingerprint of a text column as a signed long; null or no words: 0."""
 
     @F.arrow_udf("long")
@@ -74,7 +121,7 @@ def fingerprint(column, words: int = SHINGLE_WORDS, seed: int = SEED):
         parts = [fingerprints_of(lower_ascii(data), offsets, words, seed) for _, _, data, offsets in text_pieces(texts)]
         return pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
 
-    return of(column)
+    return of(text)
 
 
 def _neighbours(radius: int) -> list[tuple[int, ...]]:
@@ -83,32 +130,31 @@ def _neighbours(radius: int) -> list[tuple[int, ...]]:
     return [d for d in near if d >= (0,) * LANES]
 
 
+def _join(label: np.ndarray, i: int, j: int) -> None:
+    label[label == label[j]] = label[i]
+
+
+def _parts(nodes: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """(smallest node of a part, other node of it) for every part of several nodes."""
+    order = np.lexsort((nodes, label))
+    first = np.append(True, label[order[1:]] != label[order[:-1]])
+    least = nodes[order][first][np.cumsum(first) - 1]
+    return [(a, b) for a, b in zip(least.tolist(), nodes[order].tolist(), strict=True) if a != b]
+
+
 def _forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
     """Links between fingerprints (smallest of a part, member) that join what lies within radius in two rows."""
     nodes = left if same else np.concatenate([left, right])
-    root = np.arange(len(nodes))
-    shift = 0 if same else len(left)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    hit = False
+    label, shift = np.arange(len(nodes)), 0 if same else len(left)
     for at in range(0, len(left), 256):
         near = np.bitwise_count(left[at : at + 256, None] ^ right[None, :]) <= radius
         if same:
             near &= np.arange(len(right))[None, :] > np.arange(at, at + len(near))[:, None]
-        for i, j in zip(*np.nonzero(near), strict=True):
-            a, b = find(int(i) + at), find(int(j) + shift)
-            if a != b:
-                hit = True
-                low, high = (a, b) if nodes[a] <= nodes[b] else (b, a)
-                root[high] = low
-    if not hit:
-        return []
-    return [(int(nodes[find(i)]), int(nodes[i])) for i in range(len(nodes)) if nodes[find(i)] != nodes[i]]
+        for i in np.flatnonzero(near.any(axis=1)):
+            for own in np.unique(label[np.flatnonzero(near[i]) + shift]):
+                if own != label[at + i]:
+                    label[label == own] = label[at + i]
+    return _parts(nodes, label)
 
 
 def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -179,19 +225,162 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_
     return members.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """The rows of docs without near copies: of each group the row with the smallest doc_id stays, with all columns.
+def _fine(texts: DataFrame) -> DataFrame:
+    """doc_id, copy, node, size, p0, p1, ... of every row of texts (doc_id, copy, text): its shingle set's hash, size and fingerprint."""
+    names = ["node", "size", *(f"p{i}" for i in range(FINE_PARTS))]
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
-    Of repeated rows one stays. Columns other than doc_id and text may have any names.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, to, data, offsets in text_pieces(batch.column("text")):
+                found = [(xxhash.xxh3_64_intdigest(x.tobytes()), len(x), *majority(x, FINE_PARTS).tolist()) for x in sets_of(data, offsets)]
+                values = np.array(found, np.uint64).view(np.int64)
+                own = [batch.column(c).slice(row, to - row) for c in ("doc_id", "copy")]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.ascontiguousarray(v)) for v in values.T)], ["doc_id", "copy", *names])
+
+    return texts.mapInArrow(work, f"doc_id {kind}, copy long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _wide_forest(left: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Links between nodes (rows of node, p0, p1, ...) that join what is a candidate."""
+    both = left if same else np.concatenate([left, right])
+    label, shift = np.arange(len(both)), 0 if same else len(left)
+    for at in range(0, len(left), 128):
+        i, j = np.nonzero(np.bitwise_count(left[at : at + 128, 1, None] ^ right[None, :, 1]) <= FINE_FIRST)
+        i += at
+        if same:
+            later = j > i
+            i, j = i[later], j[later]
+        bits = np.bitwise_count(left[i, 1:] ^ right[j, 1:]).sum(axis=1, dtype=np.int64)
+        near = bits <= FINE_RADIUS
+        for a, b in zip(i[near].tolist(), (j[near] + shift).tolist(), strict=True):
+            if label[a] != label[b]:
+                _join(label, a, b)
+    return _parts(both[:, 0].view(np.int64), label)
+
+
+def candidates(prints: DataFrame, similarity: float = NEAR_SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """low, high: links of a spanning forest over distinct nodes (a table of node, size, p0, ...) whose sizes and fingerprints are near."""
+    words = [f"p{i}" for i in range(FINE_PARTS)]
+    tile = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / float(-np.log(similarity))).cast("int")
+    ones = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0])).cast("int")
+    tiled = prints.select("node", *words, tile.alias("tile"), ones.alias("ones"))
+    sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / tile_rows).alias("parts"))
+    packed = materialize(
+        tiled.join(F.broadcast(sizes), "tile")  # a row for each power of 1 / similarity
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+        .groupBy("tile", "part").agg(F.flatten(F.collect_list(F.array("node", *words))).alias("members"), F.min("ones").alias("least"), F.max("ones").alias("most")), "tiles"
+    )
+    left = packed.select("tile", "part", F.col("members").alias("left"), "least", "most", F.explode(F.array("tile", F.col("tile") + 1)).alias("meets"))
+    right = packed.select(F.col("tile").alias("meets"), F.col("part").alias("other"), F.col("members").alias("right"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    pairs = left.join(right, "meets").where(((F.col("tile") != F.col("meets")) | (F.col("part") <= F.col("other"))) & (F.col("least") - F.col("most2") <= FINE_RADIUS) & (F.col("least2") - F.col("most") <= FINE_RADIUS))
+    same = (F.col("tile") == F.col("meets")) & (F.col("part") == F.col("other"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a, b, one in zip(batch.column("left"), batch.column("right"), batch.column("same").to_pylist(), strict=True):
+                x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1 + FINE_PARTS) for v in (a, b))
+                found += _wide_forest(x, y, one)
+            if found:
+                both_ = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both_[:, 0]), pa.array(both_[:, 1])], ["low", "high"])
+
+    return pairs.select("left", "right", same.alias("same")).mapInArrow(compare, "low long, high long").distinct()
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(a) + len(b) - common)
+
+
+def _exact_forest(left: list[tuple], right: list[tuple] | None, similarity: float) -> list[tuple[int, int]]:
+    """Links between nodes (node, fingerprint, set) of two parts, or within one, whose sets are similar enough.
+
+    Candidates are compared nearest first; what is joined already is not compared.
     """
-    members, classes = groups(docs, radius, words, seed)
-    return survivors(docs, members, classes, fingerprint(F.col("text"), words, seed))
+    both = left + (right or [])
+    prints, label = np.stack([x[1] for x in both]), np.arange(len(both))
+    other = np.arange(len(left) if right else 0, len(both))
+    for i in range(len(left)):
+        away = np.bitwise_count(prints[i] ^ prints[other]).sum(axis=1, dtype=np.int64)
+        open_ = other[(away <= FINE_RADIUS) & ((other > i) | bool(right))]
+        open_ = open_[np.argsort(away[np.searchsorted(other, open_)], kind="stable")]
+        while len(open_ := open_[label[open_] != label[i]]):
+            if _similar(both[i][2], both[open_[0]][2], similarity):
+                _join(label, i, open_[0])
+            else:
+                open_ = open_[1:]
+    return _parts(np.array([x[0] for x in both], np.int64), label)
+
+
+def similar_links(texts: DataFrame, grouped: DataFrame, similarity: float = NEAR_SIMILARITY, words: int = NEAR_WORDS, part_texts: int = PART_TEXTS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """low, high: links of a spanning forest over nodes whose sets are similar enough, within proposed groups.
+
+    texts has doc_id, copy and text; grouped has doc_id, copy, node, size, root and fingerprint of one row for each node.
+    """
+    names = [f"p{i}" for i in range(FINE_PARTS)]
+    chosen = texts.join(grouped, texts["doc_id"].eqNullSafe(grouped["doc_id"]) & (texts["copy"] == grouped["copy"])).select("node", "root", *names, "text")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, to, data, offsets in text_pieces(batch.column("text")):
+                kept = [batch.column(c).slice(row, to - row) for c in ("node", "root", *names)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([x.tobytes() for x in sets_of(data, offsets, words)], pa.binary())], ["node", "root", *names, "set"])
+
+    sets = chosen.mapInArrow(shingled, "node long, root long, " + ", ".join(f"{n} long" for n in names) + ", set binary")
+    # Copies of one row under one identifier give their node several times: one stays.
+    parts = grouped.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / part_texts), F.ceil(F.sum("size") * 8 / part_bytes)).alias("parts"))
+    member = F.struct("node", F.array(*names).alias("print"), "set")
+    packed = materialize(
+        sets.dropDuplicates(["node"]).join(parts, "root").select("root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), member.alias("m"))
+        .groupBy("root", "parts", "part").agg(F.collect_list("m").alias("left")), "parts"
+    )
+    many = packed.where("parts > 1").drop("parts")
+    across = many.join(many.select("root", F.col("part").alias("other"), F.col("left").alias("right")), "root").where("part < other").select("left", "right")
+    pairs = packed.select("left", F.lit(None).cast(packed.schema["left"].dataType).alias("right")).union(across)
+
+    def members(cell: pa.Scalar) -> list[tuple] | None:
+        if not cell.is_valid:
+            return None
+        value = cell.values
+        prints = value.field("print").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, FINE_PARTS)
+        return list(zip(value.field("node").to_pylist(), prints, (np.frombuffer(x.as_buffer(), np.uint64) for x in value.field("set")), strict=True))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [x for a, b in zip(batch.column("left"), batch.column("right"), strict=True) for x in _exact_forest(members(a), members(b), similarity)]
+            if out:
+                both = np.array(out, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["low", "high"])
+
+    return pairs.mapInArrow(compare, "low long, high long").distinct()
 
 
-def survivors(docs: DataFrame, members: DataFrame, classes: DataFrame, mark) -> DataFrame:
-    """The row of docs that stays of each root: members is doc_id and fp, classes fp, root and component_id, mark a row's fp."""
-    keep = members.join(classes, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best"))
-    keep = materialize(keep.select(F.col("best.doc_id").alias("_keep_id"), F.col("best.fp").alias("_keep_fp")), "keep")
-    marked = docs.withColumn("_keep_fp", mark).withColumn("_keep_id", F.col("doc_id"))
-    on = marked["_keep_id"].eqNullSafe(keep["_keep_id"]) & (marked["_keep_fp"] == keep["_keep_fp"])
-    return marked.join(keep, on, "left_semi").dropDuplicates(["_keep_id", "_keep_fp"]).drop("_keep_id", "_keep_fp")
+def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY, words: int = NEAR_WORDS, part_texts: int = PART_TEXTS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The rows of docs without near copies: of each component the row with the smallest doc_id, with all columns.
+
+    Two texts link where the Jaccard similarity of their sets of shingles (`words` words, A-Z in lower case; fewer words:
+    the whole text) is at least `similarity`. Null and empty texts have the empty set and are copies of one another. Of
+    repeated rows one stays; a null doc_id stays only where its whole component is null. No rows give no rows. Columns
+    other than doc_id and text may have any names.
+    """
+    texts = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("copy"), "text")
+    rows = materialize(_fine(texts), "prints")
+    words_ = [f"p{i}" for i in range(FINE_PARTS)]
+    # The row that stands for a node: smallest identifier, null last.
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "copy")).alias("own")
+    nodes = materialize(rows.groupBy("node").agg(own, *[F.any_value(c).alias(c) for c in ("size", *words_)]).select("node", "own.*", "size", *words_), "nodes")
+    proposed = components(candidates(nodes, similarity, tile_rows))
+    grouped = materialize(nodes.join(proposed, "node"), "grouped")
+    roots = components(similar_links(texts, grouped.drop("unknown"), similarity, words, part_texts))
+    best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("unknown", "doc_id", "copy")).alias("own"))
+    key_id, key_copy, mark = unused(docs, "keep_id", "keep_copy", "copy")
+    best = materialize(best.select(F.col("own.doc_id").alias(key_id), F.col("own.copy").alias(key_copy)), "keep")
+    marked = docs.withColumn(mark, F.coalesce(F.xxhash64("text"), F.lit(0)))
+    stay = marked.join(best, F.col("doc_id").eqNullSafe(best[key_id]) & (marked[mark] == best[key_copy]), "left_semi")
+    return stay.dropDuplicates(["doc_id", mark]).select(*[column(c) for c in docs.columns])

@@ -1,8 +1,7 @@
 import random
 import re
 
-import corpus_pipeline
-from tablecare.llm import jaccard
+from tablecare.llm import simhash
 
 from .support import frame, prose, rows
 from .test_text_models import low
@@ -37,15 +36,27 @@ def edited(n=40):
     return out
 
 
-def test_stage_equals_brute_force(spark, sf):
+def test_near_copies_equal_brute_force(spark, sf):
     docs = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     for data in (rows() + edited(), docs):
-        got = corpus_pipeline.near_dedup(spark, frame(spark, data, clash=True), sf)
+        got = simhash.keep_one(frame(spark, data, clash=True))
         assert sorted(r.doc_id for r in got.collect()) == brute_kept(data)
 
 
-def test_groups_of_many_parts(spark):
-    data = edited(6)
-    got = jaccard.keep_one(frame(spark, data), part_texts=2)
-    assert sorted(r.doc_id for r in got.collect()) == brute_kept(data)
-    assert jaccard.keep_one(frame(spark, [])).count() == 0
+def tiny():
+    """Texts of 5 to 14 words and copies that lack the first or the last: sets of one to ten shingles."""
+    rng, out = random.Random(5), []
+    for i in range(60):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(5, 14))]
+        out += [(5000 + 3 * i, " ".join(words), "en", "s1", 1), (5001 + 3 * i, " ".join(words[1:]), "en", "s1", 1), (5002 + 3 * i, " ".join(words[:-1]), "en", "s1", 1)]
+    return out
+
+
+def test_groups_of_many_parts_and_tiles(spark):
+    data = edited(6) + tiny()
+    for part_texts, tile_rows in ((2, 2048), (256, 5)):
+        got = simhash.keep_one(frame(spark, data), part_texts=part_texts, tile_rows=tile_rows)
+        assert sorted(r.doc_id for r in got.collect()) == brute_kept(data)
+    assert simhash.keep_one(frame(spark, [])).count() == 0
+    lone = simhash.keep_one(frame(spark, [(None, "a b c d e f", None, None, 0), (None, "a b c d e f", None, "x", 0), (3, None, None, None, 0), (None, "", None, None, 0)]))
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in lone.collect()) == [(False, 3, None), (True, None, "a b c d e f")]
