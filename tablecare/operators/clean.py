@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ranges as R
 from ..functions.cells import date_of, first_present, missing, number, parse_date, text
-from ..functions.stats import quantile
+from ..functions.stats import quantiles
+from ..functions.storage import materialize
 from .issues import gap_statistics
 from .profile import data_columns, numeric_columns
 from .quality import fences
 
+#: Columns decided between two writes of a table whose gaps are handled in sequence.
+WRITE_EVERY = 4
 LINEAGE = "record_id string, row_id long, field string, original_value string, new_value string, operation string, evidence_id string"
 
 
@@ -27,35 +29,55 @@ def _keyed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def mark_duplicates(df: DataFrame, columns: list[str], keep: str = "first", order_by: str = "row_id") -> DataFrame:
-    """df with `_place`: 1 for the row of each combination of cells that stays (first, last or most complete)."""
+    """df with `_place`: 1 for the row of each combination of cells that stays (first, last or most complete), else 2.
+
+    order_by tells rows apart. The row that stays is an aggregate with partial results, found again by its number, so a
+    combination that many rows share (missing identifiers above all) never meets in one task.
+    """
     keyed = _keyed(df, columns)
-    order = {"first": [F.asc(order_by)], "last": [F.desc(order_by)], "complete": [F.asc("_gaps"), F.asc(order_by)]}[keep]
+    best = {"first": F.min(order_by), "last": F.max(order_by), "complete": F.min(F.struct("_gaps", order_by))[order_by]}[keep]
     if keep == "complete":
         keyed = keyed.withColumn("_gaps", sum([missing(df, c).cast("int") for c in data_columns(df, order_by)], F.lit(0)))
-    out = keyed.withColumn("_place", F.row_number().over(W.partitionBy(*_names(columns)).orderBy(*order)))
-    return out.drop("_gaps", *[f"_k{i}" for i in range(len(columns))])
+    stay = keyed.groupBy(*_names(columns)).agg(best.alias("_stays")).select("_stays", F.lit(1).alias("_place"))
+    return df.join(stay, F.col(order_by) == F.col("_stays"), "left").withColumn("_place", F.coalesce("_place", F.lit(2))).drop("_stays")
 
 
-def drop_duplicates(df: DataFrame, keys: list[str] = ("patient_id", "visit_date"), keep: str = "first", order_by: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """(rows that stay, rows deleted): first rows alike in all cells, then of those left rows alike in the keys.
+def mark_all_duplicates(df: DataFrame, keys: list[str] = ("patient_id", "visit_date"), keep: str = "first", order_by: str = "row_id") -> DataFrame:
+    """df with `_operation`: exact_duplicate for rows alike in all cells but for the one that stays, then composite_duplicate for rows of those left alike in the keys, else null.
 
-    Cells are compared as text with null as empty. Deleted rows have `_operation`, exact or composite.
+    Cells are compared as text with null as empty.
     """
     columns = data_columns(df, order_by)
     exact = mark_duplicates(df, columns, keep, order_by)
-    left, gone = exact.where("_place = 1").drop("_place"), exact.where("_place > 1").drop("_place").withColumn("_operation", F.lit("exact_duplicate"))
     keys = [k for k in keys if k in columns]
+    twice = F.when(F.col("_place") > 1, "exact_duplicate")
     if not keys:
-        return left, gone
-    composite = mark_duplicates(left, keys, keep, order_by)
-    return composite.where("_place = 1").drop("_place"), gone.unionByName(composite.where("_place > 1").drop("_place").withColumn("_operation", F.lit("composite_duplicate")))
+        return exact.withColumn("_operation", twice).drop("_place")
+    left = exact.where("_place = 1").drop("_place")
+    composite = mark_duplicates(left, keys, keep, order_by).withColumn("_operation", F.when(F.col("_place") > 1, "composite_duplicate")).drop("_place")
+    return composite.unionByName(exact.where("_place > 1").withColumn("_operation", twice).drop("_place"))
+
+
+def split_duplicates(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, rows deleted with `_operation`)."""
+    return marked.where("_operation IS NULL").drop("_operation"), marked.where("_operation IS NOT NULL")
+
+
+def drop_duplicates(df: DataFrame, keys: list[str] = ("patient_id", "visit_date"), keep: str = "first", order_by: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, rows deleted): first rows alike in all cells, then of those left rows alike in the keys."""
+    return split_duplicates(mark_all_duplicates(df, keys, keep, order_by))
 
 
 def flag_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df with `duplicate_flag` for every row of a combination that occurs more than once."""
+    """df with `duplicate_flag` for every row of a combination that occurs more than once.
+
+    Rows meet a table with one row for each repeated combination; a combination that many rows share is a skewed side of
+    that join, which adaptive execution splits.
+    """
     keyed = _keyed(df, keys)
-    out = keyed.withColumn("duplicate_flag", F.count("*").over(W.partitionBy(*_names(keys))) > 1)
-    return out.drop(*[f"_k{i}" for i in range(len(keys))])
+    often = keyed.groupBy(*_names(keys)).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(f"_k{i}").alias(f"_r{i}") for i in range(len(keys))])
+    on = [F.col(f"_k{i}") == F.col(f"_r{i}") for i in range(len(keys))]
+    return keyed.join(often, on, "left").withColumn("duplicate_flag", F.col("_r0").isNotNull()).drop(*[f"{x}{i}" for i in range(len(keys)) for x in ("_k", "_r")])
 
 
 def drop_duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,10 +92,14 @@ def record_id(df: DataFrame, order_by: str = "row_id") -> Column:
 
 
 def deletion_lineage(gone: DataFrame, order_by: str = "row_id", evidence: str = "duplicate_exact_matches") -> DataFrame:
-    """A row for each cell of each deleted row."""
+    """A row for each cell of each deleted row; duplicates by their keys alone have a rule of their own."""
     columns = [c for c in data_columns(gone, order_by) if c != "_operation"]
+    if "_operation" in gone.columns:
+        evidence_id = F.when(F.col("_operation") == "composite_duplicate", "duplicate_partial_matches").otherwise(evidence)
+    else:
+        evidence_id = F.lit(evidence)
     cells = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("original_value")) for c in columns]))
-    return gone.select(record_id(gone, order_by).alias("record_id"), F.col(order_by).alias("row_id"), cells).select("record_id", "row_id", "field", "original_value", F.lit(None).cast("string").alias("new_value"), F.lit("deletion").alias("operation"), F.lit(evidence).alias("evidence_id"))
+    return gone.select(record_id(gone, order_by).alias("record_id"), F.col(order_by).alias("row_id"), evidence_id.alias("evidence_id"), cells).select("record_id", "row_id", "field", "original_value", F.lit(None).cast("string").alias("new_value"), F.lit("deletion").alias("operation"), "evidence_id")
 
 
 def impossible_limits(df: DataFrame) -> dict[str, tuple[float, float]]:
@@ -89,7 +115,7 @@ def fix_outliers(df: DataFrame, order_by: str = "row_id", width: float = R.FENCE
     numeric = numeric_columns(df, columns)
     limits = {c: b for c, b in impossible_limits(df).items() if c in numeric}
     others = [c for c in numeric if c not in limits]
-    caps = {r.column: (r.low, r.high) for r in fences(df, others, width, exact).collect() if r.n >= R.FENCE_VALUES and r.low != r.high} if others else {}
+    caps = {c: (low, high) for c, (n, low, high) in fences(df, others, width, exact).items() if n >= R.FENCE_VALUES and low != high}
     return _corrected(df, {c: ("nullify", *b) for c, b in limits.items()} | {c: ("cap", *b) for c, b in caps.items()}, order_by)
 
 
@@ -123,8 +149,8 @@ def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float
 
 def _quantiles(df: DataFrame, columns: list[str], low: float, high: float) -> dict[str, tuple[float, float]]:
     wide = df.select(*[number(df, c).alias(f"_n{i}") for i, c in enumerate(columns)])
-    row = wide.agg(*[x for i in range(len(columns)) for x in (quantile(f"_n{i}", low).alias(f"l{i}"), quantile(f"_n{i}", high).alias(f"h{i}"))]).first()
-    return {c: (row[f"l{i}"], row[f"h{i}"]) for i, c in enumerate(columns)}
+    found = quantiles(wide, [f"_n{i}" for i in range(len(columns))], (low, high))
+    return {c: tuple(found[f"_n{i}"][1]) for i, c in enumerate(columns)}
 
 
 def drop_outliers(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
@@ -135,9 +161,9 @@ def drop_outliers(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> Data
     return df.where(keep)
 
 
-def missing_decisions(df: DataFrame, columns: list[str], auto: bool = True) -> DataFrame:
+def missing_decisions(df: DataFrame, columns: list[str], auto: bool = True, numbers: list[str] | None = None) -> DataFrame:
     """column, missing_count, missing_rate, mcar, strategy (drop, median, flag or no_action) for the table as it is."""
-    numbers = numeric_columns(df, columns)
+    numbers = numeric_columns(df, columns) if numbers is None else numbers
     found = gap_statistics(df, columns, numbers)
     rate = F.coalesce(F.try_divide(F.col("missing_count"), F.col("rows")), F.lit(0.0))
     has = F.col("column").isin(numbers) if numbers else F.lit(False)
@@ -159,15 +185,7 @@ def center(df: DataFrame, column: str, way: str = "median"):
         rows = df.where(~missing(df, column)).groupBy(F.col(f"`{column}`").alias("v")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(1).collect()
         return rows[0].v if rows else None
     wide = df.select(number(df, column).alias("_n0"))
-    return wide.agg(F.avg("_n0") if way == "mean" else quantile("_n0", 0.5)).first()[0]
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; where none is set (tests), in one of our own."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    return wide.agg(F.avg("_n0")).first()[0] if way == "mean" else quantiles(wide, ["_n0"], (0.5,))["_n0"][1][0]
 
 
 def flag_missing(df: DataFrame, column: str) -> DataFrame:
@@ -181,37 +199,32 @@ def drop_missing(df: DataFrame, column: str) -> DataFrame:
 def handle_missing(df: DataFrame, columns: list[str] | None = None, order_by: str = "row_id", mode: str = "sequential", auto: bool = True) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float, str]]]:
     """(table, lineage, decisions): every column with gaps, in table order, by the share of gaps and their randomness.
 
-    sequential: each column sees what was dropped and filled before it, one small aggregate each. snapshot: all are
-    decided on the table as it was, so decisions can differ.
+    sequential: each column sees what was dropped and filled before it; the table is written once at the start and once
+    every WRITE_EVERY columns, so that a decision reads a table and not the whole clean. snapshot: all are decided on the
+    table as it was, so decisions can differ. Lineage has the cells of dropped rows, as they then were, and of filled ones.
     """
     columns = columns or data_columns(df, order_by)
-    lineage = df.sparkSession.createDataFrame([], LINEAGE)
-    decided = []
-    first = {r.column: r for r in missing_decisions(df, columns, auto).collect()}
-    for n, c in enumerate([c for c in columns if first[c].missing_count], 1):
-        r = first[c] if mode == "snapshot" or not decided else missing_decisions_of(df, c, columns, auto)
+    numbers = numeric_columns(df, columns)
+    lineage, decided = [], []
+    first = {r.column: r for r in missing_decisions(df, columns, auto, numbers).collect()}
+    for c in [c for c in columns if first[c].missing_count]:
+        if mode == "snapshot" or not decided:
+            r = first[c]
+        else:
+            if len(decided) % WRITE_EVERY == 1:
+                df = materialize(df, "clean")
+            r = missing_decisions(df, [c], auto, numbers).first()
         if r.strategy == "drop":
+            lineage.append(deletion_lineage(df.where(missing(df, c)).select(order_by, *columns), order_by, "missing_complete_case_analysis"))
             df = drop_missing(df, c)
         elif r.strategy == "median":
             df, changes = impute(df, c, center(df, c), order_by)
-            lineage = lineage.unionByName(changes)
+            lineage.append(changes)
         elif r.strategy == "flag":
             df = flag_missing(df, c)
         decided.append((c, r.missing_count, r.missing_rate, r.strategy))
-        if n % 10 == 0:
-            df, lineage = cut_lineage(df), cut_lineage(lineage)
-    return df, lineage, decided
-
-
-def missing_decisions_of(df: DataFrame, column: str, columns: list[str], auto: bool = True):
-    numbers = numeric_columns(df, columns)
-    rows = gap_statistics(df, [column], numbers).collect()[0]
-    rate = rows.missing_count / rows.rows if rows.rows else 0.0
-    median = "median" if column in numbers else "flag"
-    strategy = "no_action" if not rows.missing_count else median if not auto else "drop" if rate < R.DROP_BELOW and rows.mcar else median if rate < R.MEDIAN_BELOW else "flag"
-    from pyspark.sql import Row
-
-    return Row(column=column, missing_count=rows.missing_count, missing_rate=rate, mcar=rows.mcar, strategy=strategy)
+    changes = reduce(DataFrame.unionByName, lineage) if lineage else df.sparkSession.createDataFrame([], LINEAGE)
+    return df, changes, decided
 
 
 def flag_dates(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
 from . import clean, quality
 
 
@@ -24,15 +25,19 @@ class Result:
 def run(df: DataFrame, as_of: date, keys: list[str] = ("patient_id", "visit_date"), keep: str = "first", order_by: str = "row_id", mode: str = "sequential") -> Result:
     """Clean a table in order: duplicates, outliers, missing cells, date flags."""
     spark = df.sparkSession
-    kept, gone = clean.drop_duplicates(df, list(keys), keep, order_by)
+    columns = quality.data_columns(df, order_by)
+    # Each table is written once: what follows decides, counts and reports on it many times.
+    marked = materialize(clean.mark_all_duplicates(df, list(keys), keep, order_by), "duplicates")
+    kept, gone = clean.split_duplicates(marked)
     fixed, corrections = clean.fix_outliers(kept, order_by)
-    filled, imputed, decisions = clean.handle_missing(fixed, None, order_by, mode)
-    table = clean.flag_dates(filled)
-    lineage = reduce(DataFrame.unionByName, [clean.deletion_lineage(gone, order_by), corrections, imputed])
+    fixed = materialize(fixed, "fixed")
+    filled, imputed, decisions = clean.handle_missing(fixed, columns, order_by, mode)
+    table = materialize(clean.flag_dates(filled), "cleaned")
+    lineage = materialize(reduce(DataFrame.unionByName, [clean.deletion_lineage(gone, order_by), corrections, imputed]), "lineage")
     rows = [clean.audit_row(spark, "deletion", "duplicates", F.count("*"), "duplicate_exact_matches", source=gone), clean.audit_row(spark, "correction", "outliers", F.count("*"), "outlier_biological_plausibility", source=corrections)]
     kinds = {"drop": "deletion", "median": "imputation", "flag": "flagging"}
     rows += [clean.audit_row(spark, kinds[way], f"missing:{c}", n) for c, n, _, way in decisions if way in kinds]
     rows.append(clean.audit_row(spark, "flagging", "dates", F.count_if("date_inconsistency_flag"), source=table))
     audit = reduce(DataFrame.unionByName, rows)
-    report = quality.compare(quality.assess(df, as_of), quality.assess(table, as_of), len(rows))
+    report = quality.compare(quality.assess(df, as_of), quality.assess(table, as_of), len(rows), lineage.count())
     return Result(table, lineage, audit, report, decisions)

@@ -1,4 +1,4 @@
-"""Column profiles from one aggregate over the table."""
+"""Column profiles from one wide aggregate over the table, and a few passes for medians."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import is_numeric, kind, missing, number
-from ..functions.stats import kurtosis, quantile, skewness
+from ..functions.stats import kurtosis, quantiles, skewness
 
 
 def data_columns(df: DataFrame, ordinal: str | None = "row_id") -> list[str]:
@@ -31,8 +31,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, dataset_id: str = "
     for i, c in enumerate(columns):
         x = F.col(f"_n{i}")
         parts += [F.count_if(missing(df, c)).alias(f"m{i}"), F.count(x).alias(f"k{i}")]
-        parts += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"s{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), quantile(f"_n{i}", 0.5, exact).alias(f"q{i}")]
-    one = wide.agg(*parts)
+        parts += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"s{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
+    middle = quantiles(wide, [f"_n{i}" for i in range(len(columns))], (0.5,), exact)
+    one = wide.agg(*parts).withColumns({f"q{i}": F.lit(middle[f"_n{i}"][1][0]).cast("double") for i in range(len(columns))})
     rows = []
     for i, c in enumerate(columns):
         col_type = class_of(F.col("n") - F.col(f"m{i}"), F.col(f"k{i}"))
@@ -60,11 +61,10 @@ def numeric_columns(df: DataFrame, columns: list[str] | None = None) -> list[str
     return [c for c in columns if is_numeric(kind(df, c)) or c in found]
 
 
-def quartiles(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """column, n, q1, q3 of number columns, one row each."""
-    wide = with_numbers(df, columns)
-    one = wide.agg(*[x for i in range(len(columns)) for x in (F.count(f"_n{i}").alias(f"k{i}"), quantile(f"_n{i}", 0.25, exact).alias(f"q{i}"), quantile(f"_n{i}", 0.75, exact).alias(f"t{i}"))])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"k{i}").alias("n"), F.col(f"q{i}").alias("q1"), F.col(f"t{i}").alias("q3")) for i, c in enumerate(columns)])))
+def quartiles(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, tuple[int, float | None, float | None]]:
+    """How many numbers each column has, and their quartiles: few numbers, at the driver."""
+    found = quantiles(with_numbers(df, columns), [f"_n{i}" for i in range(len(columns))], (0.25, 0.75), exact)
+    return {c: (found[f"_n{i}"][0], *found[f"_n{i}"][1]) for i, c in enumerate(columns)}
 
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,8 +73,9 @@ def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     parts = []
     for i in range(len(columns)):
         x = F.col(f"_n{i}")
-        parts += [F.count(x).alias(f"k{i}"), F.avg(x).alias(f"a{i}"), quantile(f"_n{i}", 0.5).alias(f"q{i}"), F.stddev_pop(x).alias(f"s{i}"), skewness(x).alias(f"w{i}"), kurtosis(x).alias(f"u{i}")]
-    one = wide.agg(*parts)
+        parts += [F.count(x).alias(f"k{i}"), F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"s{i}"), skewness(x).alias(f"w{i}"), kurtosis(x).alias(f"u{i}")]
+    middle = quantiles(wide, [f"_n{i}" for i in range(len(columns))], (0.5,))
+    one = wide.agg(*parts).withColumns({f"q{i}": F.lit(middle[f"_n{i}"][1][0]).cast("double") for i in range(len(columns))})
     rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(name) for k, name in (("k", "n"), ("a", "mean"), ("q", "median"), ("s", "std"), ("w", "skewness"), ("u", "excess_kurtosis"))]) for i, c in enumerate(columns)]
     near = (F.abs("skewness") < 2) & (F.abs(F.col("excess_kurtosis") - 3) < 7)
     return one.select(F.inline(F.array(*rows))).where("n >= 4").withColumn("near_normal", near)

@@ -48,31 +48,40 @@ def negatives(df: DataFrame, columns: tuple[str, ...] = R.NEGATIVE_CHECKED) -> D
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("negatives")) for i, c in enumerate(found)])))
 
 
-def fences(df: DataFrame, columns: list[str], width: float = R.FENCE, exact: bool = True) -> DataFrame:
-    """column, n, low, high: quartiles less and plus `width` interquartile ranges."""
-    q = quartiles(df, columns, exact)
-    spread = (F.col("q3") - F.col("q1")) * width
-    return q.select("column", "n", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
+def fences(df: DataFrame, columns: list[str], width: float = R.FENCE, exact: bool = True) -> dict[str, tuple[int, float | None, float | None]]:
+    """How many numbers each column has, and its quartiles less and plus `width` interquartile ranges."""
+    out = {}
+    for c, (n, q1, q3) in quartiles(df, columns, exact).items():
+        out[c] = (n, q1 - (q3 - q1) * width, q3 + (q3 - q1) * width) if n else (0, None, None)
+    return out
+
+
+def _beyond(df: DataFrame, limits: dict[str, tuple[int, float | None, float | None]]) -> dict[str, Column]:
+    """For each column with enough values, how many lie outside its fences."""
+    return {c: F.count_if((number(df, c) < low) | (number(df, c) > high)) for c, (n, low, high) in limits.items() if n >= R.FENCE_VALUES}
 
 
 def extremes(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """column, low, high, extremes: values outside the fences, of columns with enough values."""
-    limits = fences(df, columns, exact=exact).agg(F.collect_list(F.struct("column", "n", "low", "high")).alias("f"))  # one row, one entry a column
-    wide = with_numbers(df, columns).crossJoin(F.broadcast(limits))
-    fence = lambda i: F.element_at("f", i + 1)
-    one = wide.agg(F.any_value("f").alias("f"), *[F.count_if((F.col(f"_n{i}") < fence(i)["low"]) | (F.col(f"_n{i}") > fence(i)["high"])).alias(f"e{i}") for i in range(len(columns))])
-    rows = [F.struct(F.lit(c).alias("column"), fence(i)["n"].alias("n"), fence(i)["low"].alias("low"), fence(i)["high"].alias("high"), F.col(f"e{i}").alias("extremes")) for i, c in enumerate(columns)]
-    return one.select(F.inline(F.array(*rows))).where(F.col("n") >= R.FENCE_VALUES).drop("n")
+    limits = fences(df, columns, exact=exact)
+    out = _beyond(df, limits)
+    if not out:
+        return df.sparkSession.createDataFrame([], "column string, low double, high double, extremes long")
+    one = df.agg(*[x.alias(f"e{i}") for i, x in enumerate(out.values())])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(limits[c][1]).alias("low"), F.lit(limits[c][2]).alias("high"), F.col(f"e{i}").alias("extremes")) for i, c in enumerate(out)]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def _invalid(df: DataFrame, numeric: list[str], bounds: list[tuple[str, float, float]]) -> Column:
+    return _total([F.count_if(~number(df, c).between(low, high)) for c, low, high in bounds if c in numeric] + [F.count_if(number(df, c) < 0) for c in R.NEGATIVE_CHECKED if c in numeric])
 
 
 def validity(df: DataFrame, columns: list[str] | None = None, bounds: list[tuple[str, float, float]] = (), exact: bool = True) -> DataFrame:
     """n_rows, n_numeric, invalid, outliers, score, level."""
     numeric = numeric_columns(df, columns or data_columns(df))
-    wrong = _total([F.count_if(~number(df, c).between(low, high)) for c, low, high in bounds if c in numeric] + [F.count_if(number(df, c) < 0) for c in R.NEGATIVE_CHECKED if c in numeric])
-    one = df.agg(F.count("*").alias("n_rows"), wrong.alias("invalid"))
-    out = extremes(df, numeric, exact).agg(F.coalesce(F.sum("extremes"), F.lit(0)).alias("outliers")) if numeric else df.sparkSession.range(1).select(F.lit(0).alias("outliers"))
-    both = one.crossJoin(F.broadcast(out)).withColumn("n_numeric", F.lit(len(numeric)))  # one row each
-    return both.withColumn("score", _score(F.col("invalid") + F.col("outliers"), F.col("n_rows") * max(1, len(numeric)))).withColumn("level", level(F.col("score")))
+    out = _beyond(df, fences(df, numeric, exact=exact))
+    one = df.agg(F.count("*").alias("n_rows"), _invalid(df, numeric, bounds).alias("invalid"), _total(list(out.values())).alias("outliers")).withColumn("n_numeric", F.lit(len(numeric)))
+    return one.withColumn("score", _score(F.col("invalid") + F.col("outliers"), F.col("n_rows") * max(1, len(numeric)))).withColumn("level", level(F.col("score")))
 
 
 def bmi_errors(df: DataFrame) -> Column:
@@ -96,9 +105,17 @@ def age_errors(df: DataFrame, as_of: date) -> Column:
     return F.count_if(F.abs(years - number(df, "age")) > R.AGE_TOLERANCE)
 
 
+def _inconsistent(df: DataFrame, as_of: date) -> dict[str, Column]:
+    return {"bmi_errors": bmi_errors(df), "date_errors": _total([c for *_, c in order_errors(df)]), "age_errors": age_errors(df, as_of)}
+
+
+def _future(df: DataFrame, dates: list[str], as_of: date) -> Column:
+    return _total([F.count_if(date_of(df, c) > F.lit(as_of)) for c in dates])
+
+
 def consistency(df: DataFrame, as_of: date) -> DataFrame:
     """n_rows, bmi_errors, date_errors, age_errors, score, level."""
-    one = df.agg(F.count("*").alias("n_rows"), bmi_errors(df).alias("bmi_errors"), _total([c for *_, c in order_errors(df)]).alias("date_errors"), age_errors(df, as_of).alias("age_errors"))
+    one = df.agg(F.count("*").alias("n_rows"), *[c.alias(name) for name, c in _inconsistent(df, as_of).items()])
     return one.withColumn("score", _score(F.col("bmi_errors") + F.col("date_errors") + F.col("age_errors"), F.col("n_rows"))).withColumn("level", level(F.col("score")))
 
 
@@ -118,7 +135,7 @@ def uniqueness(df: DataFrame, columns: list[str] | None = None, keys: list[str]
 
 def timeliness(df: DataFrame, dates: list[str], as_of: date) -> DataFrame:
     """n_rows, future_dates, score, level."""
-    one = df.agg(F.count("*").alias("n_rows"), _total([F.count_if(date_of(df, c) > F.lit(as_of)) for c in dates]).alias("future_dates"))
+    one = df.agg(F.count("*").alias("n_rows"), _future(df, dates, as_of).alias("future_dates"))
     return one.withColumn("score", _score(F.col("future_dates"), F.col("n_rows"))).withColumn("level", level(F.col("score")))
 
 
@@ -140,6 +157,14 @@ def known_dates(df: DataFrame) -> list[str]:
     return [c for c in R.DATE_NAMES if c in df.columns]
 
 
+def discover(df: DataFrame) -> DataFrame:
+    """column, role (key or date), n, missing_count, different: the default keys and dates of a table, from its cells."""
+    roles = {c: "key" for c in known_keys(df)} | {c: "date" for c in known_dates(df)}
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(r).alias("role"), F.when(~missing(df, c), F.col(c).cast("string")).alias("value")) for c, r in roles.items()]))
+    values = df.select(cells).groupBy("column", "role", "value").agg(F.count("*").alias("k"))
+    return values.groupBy("column", "role").agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("k"))), F.lit(0)).alias("missing_count"), F.count("value").alias("different"))
+
+
 WEIGHTS = {"completeness": 0.3, "validity": 0.3, "consistency": 0.2, "uniqueness": 0.2}
 WEIGHTS_WITH_DATES = {"completeness": 0.25, "validity": 0.25, "consistency": 0.2, "uniqueness": 0.2, "timeliness": 0.1}
 
@@ -149,13 +174,20 @@ def assess(df: DataFrame, as_of: date, name: str = "dataset", keys: list[str] |
     columns = columns or data_columns(df)
     keys = known_keys(df) if keys is None else keys
     dates = known_dates(df) if dates is None else dates
-    parts = {"completeness": completeness(df, columns), "validity": validity(df, columns, bounds, exact), "consistency": consistency(df, as_of), "uniqueness": uniqueness(df, columns, keys)}
-    if dates:
-        parts["timeliness"] = timeliness(df, dates, as_of)
-    report = parts["completeness"].select(F.lit(name).alias("dataset_name"), "n_rows", "n_columns", F.col("score").alias("completeness"))
-    for dimension, one in parts.items():
-        if dimension != "completeness":
-            report = report.crossJoin(F.broadcast(one.select(F.col("score").alias(dimension))))  # one row each
+    numeric = numeric_columns(df, columns)
+    out = _beyond(df, fences(df, numeric, exact=exact))
+    # One pass for all that is counted row by row; distinct rows and keys take an aggregate each.
+    one = df.agg(
+        F.count("*").alias("n_rows"), _total([F.count_if(missing(df, c)) for c in columns]).alias("missing"), (_invalid(df, numeric, bounds) + _total(list(out.values()))).alias("wrong"),
+        _total(list(_inconsistent(df, as_of).values())).alias("inconsistent"), _future(df, dates, as_of).alias("future"),
+    )
+    one = one.crossJoin(F.broadcast(uniqueness(df, columns, keys).select(F.col("score").alias("uniqueness"))))  # one row each
+    cells = F.col("n_rows") * len(columns)
+    scores = {
+        "completeness": F.when(cells > 0, F.greatest(F.lit(0.0), 1 - F.col("missing") / cells)).otherwise(0.0), "validity": _score(F.col("wrong"), F.col("n_rows") * max(1, len(numeric))),
+        "consistency": _score(F.col("inconsistent"), F.col("n_rows")), "uniqueness": F.col("uniqueness"), **({"timeliness": _score(F.col("future"), F.col("n_rows"))} if dates else {}),
+    }
+    report = one.select(F.lit(name).alias("dataset_name"), "n_rows", F.lit(len(columns)).alias("n_columns"), *[c.alias(d) for d, c in scores.items()])
     weights = WEIGHTS_WITH_DATES if dates else WEIGHTS
     overall = F.least(F.lit(1.0), F.greatest(F.lit(0.0), _total([F.col(d) * w for d, w in weights.items()])))
     return report.withColumn("overall", overall).withColumn("level", level(F.col("overall")))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..functions.storage import fresh_path
 from ..operators import clean, pipeline, quality
 from ..sources import files
 from .fixtures import AS_OF, frame, sql
-from .queries_quality import CELLS_OF, KEYS_OF, LEVEL, NUM, V, _mcar, each, fence
+from .queries_quality import CELLS_OF, KEYS_OF, LEVEL, NUM, REPORT, V, _mcar, each, fence
 from .registry import query, rounded
 
 # Dates as text, so that engines agree on them.
@@ -95,10 +100,16 @@ def cln08_fix_outliers(spark, sf_dir):
     return rounded(clean.fix_outliers(frame(spark, sf_dir, "visits"))[0].select("row_id", *IMPOSSIBLE, "lab_value"))
 
 
-@query(sql("visits", rest=" UNION ALL ".join(f"SELECT {RECORD} AS record_id, row_id, '{c}' AS field, {c} AS original_value, 'outlier_biological_plausibility' AS evidence_id FROM visits WHERE {c} NOT BETWEEN CAST({a} AS DOUBLE) AND CAST({b} AS DOUBLE)" for c, (a, b) in IMPOSSIBLE.items())))
+#: Cells of a table t that outlier handling changes: impossible ones become null, laboratory values beyond the fences are capped.
+CORRECTIONS = " UNION ALL ".join(f"SELECT {RECORD} AS record_id, row_id, '{c}' AS field, {c} AS original_value, CAST(NULL AS DOUBLE) AS new_value, 'outlier_biological_plausibility' AS evidence_id FROM {{t}} WHERE {c} NOT BETWEEN CAST({a} AS DOUBLE) AND CAST({b} AS DOUBLE)" for c, (a, b) in IMPOSSIBLE.items()) + (
+    f" UNION ALL SELECT {RECORD}, row_id, 'lab_value', lab_value, {CAPPED}, 'outlier_iqr_method' FROM {{t}}, c WHERE n >= 4 AND q1 <> q3 AND {CAPPED} <> lab_value"
+)
+
+
+@query(sql("visits", rest=CAP.format(t="visits") + ", found AS (" + CORRECTIONS.format(t="visits") + ") SELECT record_id, row_id, field, original_value, round(new_value, 6) AS new_value, evidence_id FROM found"))
 def cln08_correction_lineage(spark, sf_dir):
-    found = clean.fix_outliers(frame(spark, sf_dir, "visits"))[1].where("new_value IS NULL")
-    return found.select("record_id", "row_id", "field", F.col("original_value").cast("double").alias("original_value"), "evidence_id")
+    found = clean.fix_outliers(frame(spark, sf_dir, "visits"))[1]
+    return rounded(found.select("record_id", "row_id", "field", F.col("original_value").cast("double").alias("original_value"), F.col("new_value").cast("double").alias("new_value"), "evidence_id"))
 
 
 # Line prices have a longer tail than order totals: fences cap some of them.
@@ -123,17 +134,58 @@ def cln11_before_gaps(spark, sf_dir):
     return fixed.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in ("patient_id", "age", "heart_rate", "systolic_bp")])
 
 
-@query()
-def cln11_pipeline(spark, sf_dir):
-    """The cleaned visits; tested against a step-by-step reconstruction."""
-    return pipeline.run(frame(spark, sf_dir, "visits"), AS_OF).table
+def whole_clean() -> str:
+    """CTEs kept, gone, t0 (outliers handled), for each column s<i> (its decision) and t<i+1>, and done (dates flagged)."""
+    parts = [dedupe(), CAP.format(t="kept"), f"t0 AS MATERIALIZED (SELECT row_id, patient_id, gender, {FIXED}, {CAPPED} AS lab_value, enrollment_date, visit_date FROM kept, c)"]
+    for i, c in enumerate(V):
+        pairs = " UNION ALL ".join(f"SELECT abs(corr(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END, {n})) AS r, count({n}) AS k FROM t{i}" for n in NUM if n != c)
+        middle = fence(c, 0.5) if c in NUM else "CAST(NULL AS DOUBLE)"
+        way = "'median'" if c in NUM else "'flag'"
+        parts.append(f"""d{i} AS (SELECT count(*) AS n, count(*) - count({c}) AS gaps, {middle} AS middle, (SELECT avg(r) FROM ({pairs}) WHERE k >= 10 AND r IS NOT NULL AND NOT isnan(r)) AS m FROM t{i})""")
+        parts.append(f"""s{i} AS MATERIALIZED (SELECT *, CASE WHEN gaps = 0 THEN 'no_action' WHEN gaps / n < 0.05 AND (n < 10 OR coalesce(m < 0.1, true)) THEN 'drop' WHEN gaps / n < 0.2 THEN {way} ELSE 'flag' END AS way FROM d{i})""")
+        filled = f"CASE WHEN way = 'median' THEN coalesce({c}, middle) ELSE {c} END" if c in NUM else c
+        flags = [f"{x}_missing_flag" for x in V[:i]]
+        others = [x for x in ["row_id", *V, *flags] if x != c]
+        parts.append(f"""t{i + 1} AS MATERIALIZED (SELECT {', '.join(others)}, {filled} AS {c}, CASE WHEN way = 'flag' THEN {c} IS NULL END AS {c}_missing_flag FROM t{i}, s{i} WHERE NOT (way = 'drop' AND {c} IS NULL))""")
+    parts.append(f"done AS (SELECT *, coalesce(visit_date < enrollment_date, false) AS date_inconsistency_flag FROM t{len(V)})")
+    return ", ".join(parts)
 
 
-@query()
+FLAGS = [f"{c}_missing_flag" for c in V]
+
+
+@query(sql("visits", rest=whole_clean() + f" SELECT row_id, {COLUMNS.replace('lab_value', 'round(lab_value, 6) AS lab_value')}, {', '.join(FLAGS)}, date_inconsistency_flag FROM done"))
+def cln11_pipeline(spark, sf_dir):
+    """The cleaned visits; a column that is not flagged has null flags."""
+    table = pipeline.run(frame(spark, sf_dir, "visits"), AS_OF).table
+    table = table.withColumns({c: F.lit(None).cast("boolean") for c in FLAGS if c not in table.columns})
+    return rounded(plain(table.select("row_id", *V, *FLAGS, "date_inconsistency_flag")))
+
+
+WAYS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", gaps, way FROM s{i}" for i, c in enumerate(V))
+LINEAGE_SIZE = f"(SELECT count(*) FROM gone) * {len(V)} + (SELECT count(*) FROM corrected) + (SELECT coalesce(sum(CASE way WHEN 'drop' THEN gaps * {len(V)} WHEN 'median' THEN gaps ELSE 0 END), 0) FROM ways)"
+AFTER = REPORT.replace("FROM visits v ", "FROM done v ").replace("FROM visits)", "FROM done)").replace("FROM visits", "FROM done")
+for _name in ("completeness", "fences", "extremes", "validity", "k", "d", "f", "parts", "report"):
+    AFTER = re.sub(rf"\b{_name} AS \(", f"{_name}_after AS (", AFTER)
+    AFTER = re.sub(rf"\bFROM {_name}\b", f"FROM {_name}_after", AFTER)
+AFTER = AFTER.replace("FROM completeness_after c, validity v, k, d, f", "FROM completeness_after c, validity_after v, k_after, d_after, f_after").replace("FROM fences_after f", "FROM fences_after f")
+#: Flags of the cleaned table are cells too; none is missing.
+N_FLAGS = "(1 + (SELECT count(*) FILTER (WHERE way = 'flag') FROM ways))"
+AFTER = AFTER.replace(f"(count(*) * {len(V)})", f"(count(*) * ({len(V)} + {N_FLAGS}))")
+
+
+@query(sql("visits", rest=whole_clean() + f", ways AS ({WAYS}), corrected AS (" + CORRECTIONS.format(t="kept") + "), " + REPORT + ", " + AFTER + f""" SELECT b.n_rows AS rows_in, a.n_rows AS rows_out, b.n_rows - a.n_rows AS rows_removed, round(b.overall, 6) AS score_before, round(a.overall, 6) AS score_after, round(a.overall - b.overall, 6) AS improvement,
+round((a.overall - b.overall) * 100 / b.overall, 6) AS improvement_percent, {LEVEL.format(s='b.overall')} AS level_before, {LEVEL.format(s='a.overall')} AS level_after, CAST(3 + (SELECT count(*) FROM ways WHERE gaps > 0) AS INTEGER) AS operation_count, CAST({LINEAGE_SIZE} AS BIGINT) AS lineage_count FROM report b, report_after a"""))
 def agg26_before_after(spark, sf_dir):
     return rounded(pipeline.run(frame(spark, sf_dir, "visits"), AS_OF).report)
 
 
+@query(sql("visits", rest=whole_clean() + f", ways AS ({WAYS}), corrected AS (" + CORRECTIONS.format(t="kept") + f") SELECT operation, CAST(n AS BIGINT) AS n FROM (SELECT 'deletion' AS operation, (SELECT count(*) FROM gone) * {len(V)} + (SELECT coalesce(sum(gaps), 0) FROM ways WHERE way = 'drop') * {len(V)} AS n UNION ALL SELECT 'correction', (SELECT count(*) FROM corrected) UNION ALL SELECT 'imputation', (SELECT coalesce(sum(gaps), 0) FROM ways WHERE way = 'median')) WHERE n > 0"))
+def cln11_lineage(spark, sf_dir):
+    """Cells in the lineage of the whole clean, by what was done to them."""
+    return pipeline.run(frame(spark, sf_dir, "visits"), AS_OF).lineage.groupBy("operation").agg(F.count("*").alias("n"))
+
+
 @query(sql("visits", rest=dedupe() + f""", total AS (SELECT count(*) AS n, (SELECT count(*) FROM kept) AS k FROM visits),
 a AS (SELECT 1 - (SELECT ({' + '.join(f'(count(*) - count({c}))' for c in V)}) / (count(*) * {len(V)}) FROM visits) AS x), b AS (SELECT 1 - (SELECT ({' + '.join(f'(count(*) - count({c}))' for c in V)}) / (count(*) * {len(V)}) FROM kept) AS y)
 SELECT n AS rows_in, k AS rows_out, n - k AS rows_removed, round(x, 6) AS score_before, round(y, 6) AS score_after, round(y - x, 6) AS improvement, round((y - x) * 100 / x, 6) AS improvement_percent, {LEVEL.format(s='x')} AS level_before, {LEVEL.format(s='y')} AS level_after, 1 AS operation_count, n - k AS lineage_count FROM total, a, b"""))
@@ -152,11 +204,11 @@ def aud01_audit(spark, sf_dir):
     return clean.audit_row(spark, "deletion", "duplicates", F.count("*"), "duplicate_exact_matches", source=gone).unionByName(flagged)
 
 
-@query(sql("visits", rest=dedupe() + f" SELECT 'deletion' AS operation, count(*) * {len(V)} AS n FROM gone UNION ALL SELECT 'correction', " + " + ".join(f"count(*) FILTER (WHERE {c} NOT BETWEEN CAST({a} AS DOUBLE) AND CAST({b} AS DOUBLE))" for c, (a, b) in IMPOSSIBLE.items()) + " FROM kept"))
+@query(sql("visits", rest=dedupe() + ", " + CAP.format(t="kept") + ", corrected AS (" + CORRECTIONS.format(t="kept") + f") SELECT 'deletion' AS operation, evidence_id, CAST(count(*) * {len(V)} AS BIGINT) AS n FROM (SELECT CASE WHEN row_id IN (SELECT row_id FROM left1) THEN 'duplicate_partial_matches' ELSE 'duplicate_exact_matches' END AS evidence_id FROM gone) GROUP BY evidence_id UNION ALL SELECT 'correction', evidence_id, count(*) FROM corrected GROUP BY evidence_id"))
 def aud02_lineage_union(spark, sf_dir):
     kept, gone = clean.drop_duplicates(frame(spark, sf_dir, "visits"))
-    both = clean.deletion_lineage(gone).unionByName(clean.fix_outliers(kept)[1].where("new_value IS NULL"))
-    return both.groupBy("operation").agg(F.count("*").alias("n"))
+    both = clean.deletion_lineage(gone).unionByName(clean.fix_outliers(kept)[1])
+    return both.groupBy("operation", "evidence_id").agg(F.count("*").alias("n"))
 
 
 @query(sql("visits", rest="SELECT row_id, round(coalesce(temperature, (SELECT avg(temperature) FROM visits)), 6) AS temperature FROM visits"))
@@ -239,17 +291,10 @@ def prv02_mask(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", C.mask(F.col("c_name")).alias("masked"), C.mask(F.col("c_custkey"), 2).alias("short"))
 
 
-def _folder(spark, name: str) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(sql("visits", rest="SELECT CAST(row_id AS VARCHAR) AS row_id, patient_id, gender, CAST(CAST(age AS BIGINT) AS VARCHAR) AS age, CAST(visit_date AS VARCHAR) AS visit_date FROM visits"))
 def src01_csv_round_trip(spark, sf_dir):
     """Visits written as delimited files and loaded again, every cell text and null tokens null."""
-    path = _folder(spark, "visits")
+    path = fresh_path(spark, "visits")
     df = frame(spark, sf_dir, "visits").select("row_id", "patient_id", "gender", F.col("age").cast("long").alias("age"), "visit_date")
     files.write_csv(df, path)
     return files.read_table(spark, path, separator=",", row_id=False)
@@ -258,14 +303,71 @@ def src01_csv_round_trip(spark, sf_dir):
 @query(sql("visits", rest=dedupe() + f" SELECT field, count(*) AS n FROM (" + each(V, "SELECT '{c}' AS field FROM gone") + ") GROUP BY field"))
 def snk04_lineage_export(spark, sf_dir):
     """Deleted cells by field, from the exported lineage table."""
-    path = _folder(spark, "lineage")
+    path = fresh_path(spark, "lineage")
     files.export(clean.deletion_lineage(clean.drop_duplicates(frame(spark, sf_dir, "visits"))[1]), path, partition_by="operation")
     return spark.read.parquet(path).groupBy("field").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'visits' AS dataset_id, 3 AS operation_count")
+@query(sql("visits", rest=REPORT + f" SELECT 'visits' AS source, 'visits_clean' AS output, 'tablecare' AS \"user\", 3 AS operation_count, n_rows, {len(V)} AS n_columns, round(completeness, 6) AS completeness, round(validity, 6) AS validity, round(overall, 6) AS overall, {LEVEL.format(s='overall')} AS level FROM report"))
 def snk02_metadata(spark, sf_dir):
-    """The sidecar of a cleaned table, read back."""
-    path = _folder(spark, "metadata")
-    files.write_metadata(spark, path, "visits", "visits_clean", "tablecare", quality.completeness(frame(spark, sf_dir, "visits")), 3)
-    return spark.read.json(path).select(F.col("source").alias("dataset_id"), F.col("operation_count").cast("int").alias("operation_count"))
+    """The sidecar of a cleaned table, read back with the report in it."""
+    path = fresh_path(spark, "metadata")
+    files.write_metadata(spark, path, "visits", "visits_clean", "tablecare", quality.assess(frame(spark, sf_dir, "visits"), AS_OF), 3)
+    report = F.from_json("quality_report", "n_rows long, n_columns int, completeness double, validity double, overall double, level string")
+    found = spark.read.schema("quality_report string, source string, output string, user string, operation_count int").json(path)
+    return rounded(found.select("source", "output", "user", "operation_count", report.alias("r")).select("source", "output", "user", "operation_count", "r.*"))
+
+
+@query(sql("visits", rest=dedupe() + " SELECT 'deletion' AS operation, CAST(count(*) AS BIGINT) AS records_affected, CAST(4 AS BIGINT) AS total FROM gone UNION ALL SELECT 'flagging', count(*) FILTER (WHERE visit_date < enrollment_date), 4 FROM visits"))
+def snk03_audit_export(spark, sf_dir):
+    """Audit rows exported twice and read back: each operation with the total count that the second export reports."""
+    df, path = frame(spark, sf_dir, "visits"), fresh_path(spark, "audit")
+    audit = clean.audit_row(spark, "deletion", "duplicates", F.count("*"), "duplicate_exact_matches", source=clean.drop_duplicates(df)[1])
+    audit = audit.unionByName(clean.audit_row(spark, "flagging", "dates", F.count_if("date_inconsistency_flag"), source=clean.flag_dates(df)))
+    files.export(audit, path, "json")
+    total = files.export(audit, path, "json")
+    return spark.read.schema(audit.schema).json(path).groupBy("operation").agg(F.max("records_affected").alias("records_affected")).withColumn("total", F.lit(total).cast("long"))
+
+
+@query(sql("visits", rest=REPORT + f" SELECT n_rows, {len(V)} AS n_columns, round(completeness, 6) AS completeness, round(validity, 6) AS validity, round(consistency, 6) AS consistency, round(uniqueness, 6) AS uniqueness, round(timeliness, 6) AS timeliness, round(overall, 6) AS overall FROM report"))
+def snk05_report_export(spark, sf_dir):
+    """The quality report, written as JSON and read back."""
+    path = fresh_path(spark, "report")
+    report = quality.assess(frame(spark, sf_dir, "visits"), AS_OF, "visits")
+    files.write_report(report, path)
+    return rounded(spark.read.schema(report.schema).json(path).drop("dataset_name", "level"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, 'customer' AS kind FROM customer UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, 'supplier' FROM supplier")
+def src04_many_paths(spark, sf_dir):
+    """A dataset of two paths: all of its files are read as one table."""
+    paths = []
+    for kind, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        df = spark.read.parquet(f"{sf_dir}/{kind}.parquet")
+        paths.append(fresh_path(spark, kind))
+        files.write_csv(df.select(F.col(key).alias("key"), F.col(f"{key[0]}_name").alias("name"), F.lit(kind).alias("kind")), paths[-1])
+    wanted = files.dataset("partners", "clinical_trial", paths)
+    return files.read_table(spark, wanted["raw_paths"], separator=",", row_id=False)
+
+
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS format, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, count(o.o_orderkey) AS orders FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders o ON o_custkey = c_custkey GROUP BY ALL" for kind in ("csv", "json", "parquet", "tsv")))
+def src05_formats(spark, sf_dir):
+    """Orders by nation, written in each format that is read by its ending, and loaded again."""
+    nation, customer, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer", "orders"))
+    df = nation.join(customer, nation["n_nationkey"] == customer["c_nationkey"], "left").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("n_nationkey", "n_name").agg(F.count("o_orderkey").alias("orders"))
+    found = []
+    for kind in ("csv", "json", "parquet", "tsv"):
+        path = f"{fresh_path(spark, 'nations')}.{kind}"
+        writer = df.write.option("header", True).option("sep", "\t" if kind == "tsv" else ",")
+        getattr(writer, "csv" if kind in ("csv", "tsv") else kind)(path)
+        found.append(files.read_table(spark, path, row_id=False).select(F.lit(kind).alias("format"), F.col("n_nationkey").cast("string").alias("n_nationkey"), "n_name", F.col("orders").cast("long").alias("orders")))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(sql("visits", rest="SELECT CAST(count(*) AS BIGINT) AS n_rows, count(age) AS ages, min(age) AS least, max(age) AS most, count(heart_rate) AS heart_rates FROM visits"))
+def src08_original_kept(spark, sf_dir):
+    """The source after a whole clean: nothing of it has changed."""
+    df = frame(spark, sf_dir, "visits")
+    done = pipeline.run(df, AS_OF)
+    same = df.join(done.table.select("row_id"), "row_id", "left")  # the clean has run; its source still has every row
+    return same.agg(F.count("*").alias("n_rows"), F.count("age").alias("ages"), F.min("age").alias("least"), F.max("age").alias("most"), F.count("heart_rate").alias("heart_rates"))

@@ -268,11 +268,11 @@ def agg21_levels(spark, sf_dir):
     return rounded(quality.dimension_rows(quality.assess(frame(spark, sf_dir, "visits"), AS_OF, "visits")))
 
 
-@query("SELECT * FROM (VALUES ('patient_id', 'key'), ('enrollment_date', 'date'), ('visit_date', 'date')) t(\"column\", role)")
+@query(sql("visits", rest=each(["patient_id", "enrollment_date", "visit_date"], "SELECT '{c}' AS \"column\", CASE WHEN '{c}' = 'patient_id' THEN 'key' ELSE 'date' END AS role, count(*) AS n, count(*) - count({c}) AS missing_count, count(DISTINCT {c}) AS different FROM visits")))
 def agg22_discovery(spark, sf_dir):
+    """Columns found to be keys and dates, with their rows, gaps and different values."""
     df = frame(spark, sf_dir, "visits")
-    found = [(c, "key") for c in quality.known_keys(df)] + [(c, "date") for c in quality.known_dates(df)]
-    return df.select(F.lit(1)).limit(1).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(r).alias("role")) for c, r in found])))
+    return quality.discover(df)
 
 
 @query(sql("visits", rest="d AS (" + each(NUM, "SELECT '{c}' AS \"column\", count({c}) AS n, avg({c}) AS mean, " + fence("{c}", 0.5) + " AS median, stddev_pop({c}) AS std, skewness({c}) AS skewness, kurtosis({c}) AS excess_kurtosis FROM visits") + ") SELECT \"column\", n, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std, round(skewness, 6) AS skewness, round(excess_kurtosis, 6) AS excess_kurtosis, abs(skewness) < 2 AND abs(excess_kurtosis - 3) < 7 AS near_normal FROM d WHERE n >= 4"))

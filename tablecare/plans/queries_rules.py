@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ranges as R
+from ..functions.storage import fresh_path
 from ..operators import issues, rules, validate
 from ..streaming import events
 from . import planning
@@ -161,11 +162,12 @@ def kb05_recommend(spark, sf_dir):
     return rules.recommend(_asked(spark, sf_dir), rules.rules(spark))
 
 
-@query(f"WITH {RULES}, n AS (SELECT n_nationkey, n_nationkey % 28 AS ordinal FROM nation) SELECT n_nationkey, id, statement || CASE WHEN len(conditions) > 0 THEN ' When: ' || array_to_string(conditions, ', ') || '.' ELSE '' END || CASE WHEN len(contraindications) > 0 THEN ' Not with: ' || array_to_string(contraindications, ', ') || '.' ELSE '' END || ' Basis: ' || evidence_level || ', confidence ' || confidence || '.' AS explanation FROM n JOIN rules USING (ordinal)")
+@query(sql("patients", rest=FACTS + f", {RULES}, j AS (SELECT finding_id, category, id AS rule_id, confidence, evidence_level, {HOLDS} AS applicable, ordinal FROM asked JOIN rules USING (category) WHERE confidence IN ('high', 'medium')), o AS (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY CASE WHEN applicable THEN 0 ELSE 1 END, {CONF}, {EVID}, ordinal) AS k FROM j) SELECT finding_id, id, statement || CASE WHEN len(conditions) > 0 THEN ' When: ' || array_to_string(conditions, ', ') || '.' ELSE '' END || CASE WHEN len(contraindications) > 0 THEN ' Not with: ' || array_to_string(contraindications, ', ') || '.' ELSE '' END || ' Basis: ' || r.evidence_level || ', confidence ' || r.confidence || '.' AS explanation FROM o JOIN rules r ON r.id = o.rule_id WHERE k = 1"))
 def kb06_explain(spark, sf_dir):
+    """The rule recommended for each finding, explained."""
     table = rules.rules(spark)
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", (F.col("n_nationkey") % 28).cast("int").alias("ordinal"))
-    return nations.join(F.broadcast(table.select("ordinal", "id")), "ordinal").join(F.broadcast(rules.explain(table)), "id").select("n_nationkey", "id", "explanation")
+    chosen = rules.recommend(_asked(spark, sf_dir), table).select("finding_id", F.col("rule_id").alias("id"))
+    return chosen.join(F.broadcast(rules.explain(table)), "id").select("finding_id", "id", "explanation")  # a row for each rule
 
 
 @query(sql("visits", rest=ISSUES + f", {RULES} SELECT i.field, i.code, r.id, r.topic, r.confidence FROM issues i JOIN rules r ON r.id = i.evidence_id"))
@@ -286,11 +288,8 @@ def str04_replay(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, types):
-    import uuid
-
     schema = _events(spark, sf_dir).schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "stream")
     stream = events.follow(spark, f"{sf_dir}/events.parquet*", schema, types=types)
     events.append_to(stream, f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.schema(schema).parquet(f"{base}/out")
