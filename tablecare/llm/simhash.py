@@ -39,6 +39,8 @@ NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 FINE_PARTS, FINE_FIRST, FINE_RADIUS = 4, 24, 72
 #: Texts compared at a time, and bytes of their sets on average.
 PART_TEXTS, PART_BYTES = 256, 4 << 20
+#: Near pairs that a task holds before it keeps a forest of them.
+FOREST_PAIRS = 1 << 20
 #: Shingles hashed at a time.
 HASHED_AT_ONCE = 1 << 16
 _STEPS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
@@ -242,9 +244,10 @@ def _fine(texts: DataFrame) -> DataFrame:
 
 
 def _wide_forest(left: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Links between nodes (rows of node, p0, p1, ...) that join what is a candidate."""
+    """Candidate links of a least spanning forest, fewest differing bits first, of nodes (rows of node, p0, p1, ...)."""
     both = left if same else np.concatenate([left, right])
     label, shift = np.arange(len(both)), 0 if same else len(left)
+    found = []
     for at in range(0, len(left), 128):
         i, j = np.nonzero(np.bitwise_count(left[at : at + 128, 1, None] ^ right[None, :, 1]) <= FINE_FIRST)
         i += at
@@ -253,14 +256,32 @@ def _wide_forest(left: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[
             i, j = i[later], j[later]
         bits = np.bitwise_count(left[i, 1:] ^ right[j, 1:]).sum(axis=1, dtype=np.int64)
         near = bits <= FINE_RADIUS
-        for a, b in zip(i[near].tolist(), (j[near] + shift).tolist(), strict=True):
-            if label[a] != label[b]:
-                _join(label, a, b)
-    return _parts(both[:, 0].view(np.int64), label)
+        found.append(np.stack([bits[near], i[near], j[near] + shift]))
+        if sum(x.shape[1] for x in found) > FOREST_PAIRS:
+            found = [_least(found, label.copy())]
+    pairs = _least(found, label)
+    node = both[:, 0].view(np.int64)
+    return list(zip(node[pairs[1]].tolist(), node[pairs[2]].tolist(), strict=True))
+
+
+def _least(found: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """Of columns (bits, i, j) those of a least spanning forest."""
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
+    keep = []
+    step = max(256, pairs.shape[1] // 64)
+    for at in range(0, pairs.shape[1], step):
+        part = pairs[:, at : at + step]
+        for k in np.flatnonzero(label[part[1]] != label[part[2]]):
+            i, j = part[1, k], part[2, k]
+            if label[i] != label[j]:
+                _join(label, i, j)
+                keep.append(at + k)
+    return pairs[:, keep]
 
 
 def candidates(prints: DataFrame, similarity: float = NEAR_SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """low, high: links of a spanning forest over distinct nodes (a table of node, size, p0, ...) whose sizes and fingerprints are near."""
+    """low, high: links of least spanning forests over distinct nodes (a table of node, size, p0, ...) whose sizes and fingerprints are near."""
     words = [f"p{i}" for i in range(FINE_PARTS)]
     tile = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / float(-np.log(similarity))).cast("int")
     ones = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0])).cast("int")
@@ -282,9 +303,7 @@ def candidates(prints: DataFrame, similarity: float = NEAR_SIMILARITY, tile_rows
             for a, b, one in zip(batch.column("left"), batch.column("right"), batch.column("same").to_pylist(), strict=True):
                 x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1 + FINE_PARTS) for v in (a, b))
                 found += _wide_forest(x, y, one)
-            if found:
-                both_ = np.array(found, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both_[:, 0]), pa.array(both_[:, 1])], ["low", "high"])
+            yield _pairs(found)
 
     return pairs.select("left", "right", same.alias("same")).mapInArrow(compare, "low long, high long").distinct()
 
@@ -299,45 +318,68 @@ def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _exact_forest(left: list[tuple], right: list[tuple] | None, similarity: float) -> list[tuple[int, int]]:
-    """Links between nodes (node, fingerprint, set) of two parts, or within one, whose sets are similar enough.
+    """Links between nodes (node, label, fingerprint, set) of two parts, or within one, whose sets are similar enough.
 
-    Candidates are compared nearest first; what is joined already is not compared.
+    Candidates are compared nearest first; what shares a label, or is joined already, is not compared.
     """
     both = left + (right or [])
-    prints, label = np.stack([x[1] for x in both]), np.arange(len(both))
-    other = np.arange(len(left) if right else 0, len(both))
+    prints = np.stack([x[2] for x in both])
+    label = np.unique([x[1] for x in both], return_inverse=True)[1]
+    other, out = np.arange(len(left) if right else 0, len(both)), []
     for i in range(len(left)):
-        away = np.bitwise_count(prints[i] ^ prints[other]).sum(axis=1, dtype=np.int64)
-        open_ = other[(away <= FINE_RADIUS) & ((other > i) | bool(right))]
-        open_ = open_[np.argsort(away[np.searchsorted(other, open_)], kind="stable")]
+        away = other[(label[other] != label[i]) & ((other > i) | bool(right))]
+        bits = np.bitwise_count(prints[i] ^ prints[away]).sum(axis=1, dtype=np.int64)
+        open_ = away[bits <= FINE_RADIUS][np.argsort(bits[bits <= FINE_RADIUS], kind="stable")]
         while len(open_ := open_[label[open_] != label[i]]):
-            if _similar(both[i][2], both[open_[0]][2], similarity):
+            if _similar(both[i][3], both[open_[0]][3], similarity):
+                out.append((both[i][0], both[open_[0]][0]))
                 _join(label, i, open_[0])
             else:
                 open_ = open_[1:]
-    return _parts(np.array([x[0] for x in both], np.int64), label)
+    return out
 
 
-def similar_links(texts: DataFrame, grouped: DataFrame, similarity: float = NEAR_SIMILARITY, words: int = NEAR_WORDS, part_texts: int = PART_TEXTS, part_bytes: int = PART_BYTES) -> DataFrame:
-    """low, high: links of a spanning forest over nodes whose sets are similar enough, within proposed groups.
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["low", "high"])
 
-    texts has doc_id, copy and text; grouped has doc_id, copy, node, size, root and fingerprint of one row for each node.
-    """
-    names = [f"p{i}" for i in range(FINE_PARTS)]
-    chosen = texts.join(grouped, texts["doc_id"].eqNullSafe(grouped["doc_id"]) & (texts["copy"] == grouped["copy"])).select("node", "root", *names, "text")
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shingle_sets(texts: DataFrame, grouped: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
+    """node and its shingle set for every node of grouped (node, doc_id, copy), from the row of texts that stands for it."""
+    chosen = texts.join(grouped, texts["doc_id"].eqNullSafe(grouped["doc_id"]) & (texts["copy"] == grouped["copy"]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, to, data, offsets in text_pieces(batch.column("text")):
-                kept = [batch.column(c).slice(row, to - row) for c in ("node", "root", *names)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([x.tobytes() for x in sets_of(data, offsets, words)], pa.binary())], ["node", "root", *names, "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(row, to - row), pa.array([x.tobytes() for x in sets_of(data, offsets, words)], pa.binary())], ["node", "set"])
 
-    sets = chosen.mapInArrow(shingled, "node long, root long, " + ", ".join(f"{n} long" for n in names) + ", set binary")
     # Copies of one row under one identifier give their node several times: one stays.
+    return chosen.select("node", "text").mapInArrow(work, "node long, set binary").dropDuplicates(["node"])
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """The links of edges (low, high) whose sets are similar enough."""
+    a, b = (sets.select(F.col("node").alias(end), F.col("set").alias(f"{end}_set")) for end in ("low", "high"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("low_set", "high_set"))
+            yield batch.select(["low", "high"]).filter(pa.array([_similar(p, q, similarity) for p, q in zip(x, y, strict=True)], pa.bool_()))
+
+    return edges.join(a, "low").join(b, "high").select("low", "high", "low_set", "high_set").mapInArrow(work, "low long, high long")
+
+
+def similar_links(grouped: DataFrame, sets: DataFrame, similarity: float = NEAR_SIMILARITY, part_texts: int = PART_TEXTS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """low, high: links that join what is similar enough within proposed groups but not linked yet.
+
+    grouped has node, size, root (the group), label (what is linked already) and p0, p1, ... of each node. Groups are cut
+    into parts of bounded size that meet two by two.
+    """
+    names = [f"p{i}" for i in range(FINE_PARTS)]
     parts = grouped.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / part_texts), F.ceil(F.sum("size") * 8 / part_bytes)).alias("parts"))
-    member = F.struct("node", F.array(*names).alias("print"), "set")
+    member = F.struct("node", "label", F.array(*names).alias("print"), "set")
     packed = materialize(
-        sets.dropDuplicates(["node"]).join(parts, "root").select("root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), member.alias("m"))
+        grouped.join(sets, "node").join(parts, "root").select("root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), member.alias("m"))
         .groupBy("root", "parts", "part").agg(F.collect_list("m").alias("left")), "parts"
     )
     many = packed.where("parts > 1").drop("parts")
@@ -349,14 +391,11 @@ def similar_links(texts: DataFrame, grouped: DataFrame, similarity: float = NEAR
             return None
         value = cell.values
         prints = value.field("print").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, FINE_PARTS)
-        return list(zip(value.field("node").to_pylist(), prints, (np.frombuffer(x.as_buffer(), np.uint64) for x in value.field("set")), strict=True))
+        return list(zip(value.field("node").to_pylist(), value.field("label").to_pylist(), prints, (np.frombuffer(x.as_buffer(), np.uint64) for x in value.field("set")), strict=True))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [x for a, b in zip(batch.column("left"), batch.column("right"), strict=True) for x in _exact_forest(members(a), members(b), similarity)]
-            if out:
-                both = np.array(out, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["low", "high"])
+            yield _pairs([x for a, b in zip(batch.column("left"), batch.column("right"), strict=True) for x in _exact_forest(members(a), members(b), similarity)])
 
     return pairs.mapInArrow(compare, "low long, high long").distinct()
 
@@ -375,9 +414,17 @@ def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY, words: int =
     # The row that stands for a node: smallest identifier, null last.
     own = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "copy")).alias("own")
     nodes = materialize(rows.groupBy("node").agg(own, *[F.any_value(c).alias(c) for c in ("size", *words_)]).select("node", "own.*", "size", *words_), "nodes")
-    proposed = components(candidates(nodes, similarity, tile_rows))
-    grouped = materialize(nodes.join(proposed, "node"), "grouped")
-    roots = components(similar_links(texts, grouped.drop("unknown"), similarity, words, part_texts))
+    # Proposed links are checked on the sets; only groups that this leaves in several parts are compared whole.
+    edges = materialize(candidates(nodes, similarity, tile_rows), "candidates")
+    grouped = materialize(nodes.join(components(edges), "node").drop("unknown"), "grouped")
+    sets = materialize(shingle_sets(texts, grouped.select("node", "doc_id", "copy"), words), "sets")
+    links_ = materialize(verified(edges, sets, similarity), "links")
+    roots = components(links_)
+    labelled = grouped.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    torn = materialize(labelled.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("root"), "torn")
+    if not torn.isEmpty():
+        more = materialize(similar_links(labelled.join(torn, "root", "left_semi"), sets, similarity, part_texts), "more")
+        roots = components(links_.union(more))
     best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("unknown", "doc_id", "copy")).alias("own"))
     key_id, key_copy, mark = unused(docs, "keep_id", "keep_copy", "copy")
     best = materialize(best.select(F.col("own.doc_id").alias(key_id), F.col("own.copy").alias(key_copy)), "keep")
