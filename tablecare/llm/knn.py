@@ -5,25 +5,33 @@ shards of bounded size. Each shard's tree splits at medians of its widest side a
 box bounds the inner product with a query by the sum over sides of the larger of query times low and query times high.
 A query first searches a shard of the cell with its best bound. The kth score found there goes with it to every other
 shard whose cell's bound is not below it, where it prunes nodes from the start.
+
+Components are whole numbers held as doubles. Where all sums with a query stay below 2^53 inner products of doubles are
+exact; else doubles choose, with the error that they can have, and Python's whole numbers decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import BLOCK_QUERIES, HITS, SHARD_ROWS, best, finite, matrix, top
+from .vectors import BLOCK_QUERIES, SHARD_ROWS, finite, matrix, top
 
 #: Vectors in a leaf, rows that the coarse tree is fitted on, and its cells at most.
 LEAF_ROWS, FIT_ROWS, MOST_CELLS = 64, 20_000, 1024
-#: Components times SCALE are floored. Where they are so large that a sum might not fit into 64 bits the vector is left out.
+#: Components times SCALE are floored.
 SCALE = 64
+#: Hits of a shard: `more` orders scores that a long does not hold (their whole value in bytes, offset to be above zero).
+OWN_HITS, MORE_BYTES = "query_id long, vec_id long, score long, more binary", 520
+_MOST = (1 << 63) - 1
 
 
 class Tree:
@@ -47,39 +55,64 @@ class Tree:
                 self.rows[2 * i + 1], self.rows[2 * i + 2] = rows[half[: len(rows) // 2]], rows[half[len(rows) // 2 :]]
                 self.rows[i] = np.zeros(0, np.int64)
         self.leaves = {i: self.x[r] for i, r in enumerate(self.rows) if i >= nodes // 2}
+        self.most, self.visited = np.abs(x).max(initial=0), 0
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         return bounds(queries, self.low, self.high)
 
-    def search(self, query: np.ndarray, own: int, reach: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, own: int, reach: np.ndarray, k: int, least: float) -> tuple[np.ndarray, list[int]]:
         """ids and scores of the k best rows other than `own` that are not below `least`; reach: the nodes' bounds."""
+        with np.errstate(over="ignore"):
+            most = self.most * np.abs(query).max(initial=0) * max(1, len(query))
+            error = 0.0 if most < 2.0**53 else most * len(query) * 2.0**-50
+        whole = None if not error else [int(x) for x in query]
         heap = [(-reach[0], 0)]
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, self.x.dtype)
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, object if error else float)
         while heap:
             bound, node = heappop(heap)
             if -bound < least:
                 break
             if node in self.leaves:
+                self.visited += 1
                 rows = self.rows[node]
-                got = self.leaves[node] @ query
-                near = (got >= least).astype(bool) & (self.ids[rows] != own)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    got = self.leaves[node] @ query
+                    near = ~(got + error < least) & (self.ids[rows] != own)  # what overflows is near
                 if near.any():
-                    ids, scores = np.concatenate([ids, self.ids[rows[near]]]), np.concatenate([scores, got[near]])
+                    new = got[near]
+                    if error:
+                        new = np.empty(len(new), object)
+                        new[:] = [sum(map(mul, whole, map(int, v))) for v in self.leaves[node][near].tolist()]
+                    ids, scores = np.concatenate([ids, self.ids[rows[near]]]), np.concatenate([scores, new])
                     at = top(scores, ids, k)
                     ids, scores = ids[at], scores[at]
                     if len(ids) == k:
-                        least = max(least, scores[-1])
+                        least = max(least, _below(scores[-1]))
             else:
                 for child in (2 * node + 1, 2 * node + 2):
                     if reach[child] >= least:
                         heappush(heap, (-reach[child], child))
-        return ids, scores
+        return ids, [int(x) for x in scores]
+
+
+def _below(score) -> float:
+    """A double that is not above a whole number."""
+    if isinstance(score, float):
+        return score
+    if abs(score) < 2**53:
+        return float(score)
+    try:
+        return float(np.nextafter(float(score), -np.inf))
+    except OverflowError:
+        return float(np.finfo(float).max) if score > 0 else -np.inf
 
 
 def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Highest inner product of each query with any point of each box, and what doubles may round off."""
-    most = np.maximum(np.abs(low), np.abs(high)).max(initial=0) * np.abs(queries).max(initial=0) * queries.shape[1]
-    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T + most * 2.0**-50
+    with np.errstate(over="ignore", invalid="ignore"):
+        most = np.maximum(np.abs(low), np.abs(high)).max(axis=1, initial=0) * np.abs(queries).max(axis=1, initial=0)[:, None] * queries.shape[1]
+        reach = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T + most * max(1, queries.shape[1]) * 2.0**-50
+    return np.nan_to_num(reach, nan=np.inf, posinf=np.inf, neginf=np.inf)
 
 
 class Cells:
@@ -106,34 +139,41 @@ class Cells:
 
 
 def whole_numbers(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: floor(64 x) of every component as long, of the vectors that take part."""
-    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    fits = F.forall("embedding", lambda x: F.abs(x.cast("double") * SCALE) + 1 < F.sqrt(F.lit(2.0**62) / F.size("embedding")))
-    return vectors.where(F.col("vec_id").isNotNull() & finite()).where(fits).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
+    """vec_id, v: floor(64 x) of every component as a double, which holds it exactly, of the vectors that take part."""
+    scaled = F.transform("embedding", lambda x: _floor(x.cast("double") * SCALE))
+    return vectors.where(F.col("vec_id").isNotNull() & finite()).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v")).where(finite("v"))
+
+
+def _floor(x):
+    """The floor as a double; from 2^53 on every double is whole."""
+    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
 
 
-def _exact(x: np.ndarray, q: np.ndarray) -> type:
-    """Doubles hold every sum exactly where sums stay below 2^53; else Python's whole numbers."""
-    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1])
-    return np.float64 if most < 2.0**53 else object
+def _hits(query_id: np.ndarray, vec_id: np.ndarray, scores: list[int]) -> pa.Table:
+    more = [b"" if -_MOST <= s <= _MOST else (s + (1 << 8 * MORE_BYTES - 1)).to_bytes(MORE_BYTES, "big") for s in scores]
+    held = [min(max(s, -_MOST - 1), _MOST) for s in scores]
+    return pa.table([pa.array(query_id, pa.int64()), pa.array(vec_id, pa.int64()), pa.array(held, pa.int64()), pa.array(more, pa.binary())], ["query_id", "vec_id", "score", "more"])
 
 
 def search(vectors: DataFrame, k: int = 20, is_query=None, shard_rows: int = SHARD_ROWS, block: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of every query with all other vectors.
 
     vectors has vec_id and embedding; is_query chooses rows (default: vec_id divisible by 20). Vectors that are null,
-    empty or hold null or non-finite components, or a component out of range, take no part, nor do rows without a
-    vec_id. Vectors of another length than a query's are no candidates of it. Rows that repeat a vec_id are candidates
-    each, but never of a query with that vec_id; as queries they are one, with the smallest vector. Fewer candidates than k give all. Ties go to the smaller vec_id.
+    empty or hold null or non-finite components take no part (nor a double that 64-fold is infinite), nor do rows without
+    a vec_id. Vectors of another length than a query's are no candidates of it. Rows that repeat a vec_id are candidates
+    each, but never of a query with that vec_id; as queries they are one, with the smallest vector. Fewer candidates than
+    k give all. Ties go to the smaller vec_id. Scores are ranked by their whole value; one that a long does not hold is
+    returned as the nearest long.
     """
     spark = vectors.sparkSession
     is_query = F.pmod("vec_id", F.lit(20)) == 0 if is_query is None else is_query
     data = materialize(whole_numbers(vectors).withColumn("dims", F.size("v")), "vectors")
     parts = [_search(data.where(F.col("dims") == r.dims), is_query, r.dims, r.n, k, shard_rows, block) for r in data.groupBy("dims").agg(F.count("*").alias("n")).collect()]
-    out = spark.createDataFrame([], HITS.format(kind="long"))
+    out = spark.createDataFrame([], OWN_HITS)
     for part in parts:
         out = out.union(part)
-    return best(out, k)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("more"), "vec_id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _search(data: DataFrame, is_query, dims: int, n: int, k: int, shard_rows: int, block: int) -> DataFrame:
@@ -150,13 +190,13 @@ def _search(data: DataFrame, is_query, dims: int, n: int, k: int, shard_rows: in
     def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, cell = matrix(batch.column("v"), np.int64), batch.column("cell").to_numpy()
+                x, cell = matrix(batch.column("v"), float), batch.column("cell").to_numpy()
                 for c in np.unique(cell):
                     own = x[cell == c]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(dims, c, np.int32)), pa.array(np.arange(dims, dtype=np.int32)), pa.array(own.min(axis=0)), pa.array(own.max(axis=0)), pa.array(np.full(dims, len(own)))], ["cell", "side", "low", "high", "n"])
 
-    rows = materialize(data.select("vec_id", "v").mapInArrow(placed, "vec_id long, v array<long>, cell int"), "cells")
-    found = rows.mapInArrow(boxes, "cell int, side int, low long, high long, n long").groupBy("cell", "side").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    rows = materialize(data.select("vec_id", "v").mapInArrow(placed, "vec_id long, v array<double>, cell int"), "cells")
+    found = rows.mapInArrow(boxes, "cell int, side int, low double, high double, n long").groupBy("cell", "side").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     found = found.toPandas().sort_values(["cell", "side"])  # MOST_CELLS boxes at most
     own = found["cell"].to_numpy().reshape(-1, dims)[:, 0]
     low, high = (found[c].to_numpy(float).reshape(-1, dims) for c in ("low", "high"))
@@ -194,28 +234,33 @@ def _search(data: DataFrame, is_query, dims: int, n: int, k: int, shard_rows: in
 
         return work
 
-    aimed = "query_id long, q array<long>, block int, least double, cell int, salt int"
+    aimed = "query_id long, q array<double>, block int, least double, cell int, salt int"
 
     def visit(wanted: DataFrame) -> DataFrame:
         """Hits of queries in the shards they aim at: a shard meets its queries block by block."""
         keys = wanted.select(*[F.col(c).alias(c) for c in ("cell", "salt", "block")]).distinct()
         own = shards.select("vec_id", "v", *[F.col(c).alias(c) for c in ("cell", "salt")])
-        return own.join(keys, ["cell", "salt"]).groupBy("cell", "salt", "block").cogroup(wanted.groupBy("cell", "salt", "block")).applyInArrow(descend, HITS.format(kind="long"))
+        return own.join(keys, ["cell", "salt"]).groupBy("cell", "salt", "block").cogroup(wanted.groupBy("cell", "salt", "block")).applyInArrow(descend, OWN_HITS)
 
     def descend(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+        out: list[pa.Table] = [_hits(np.zeros(0, np.int64), np.zeros(0, np.int64), [])]
         if left.num_rows and right.num_rows:
-            x, q = matrix(left["v"], np.int64), matrix(right["q"], np.int64)
-            kind = _exact(x, q)
-            tree = Tree(x.astype(kind), left["vec_id"].to_numpy())
-            reach = tree.bounds(q.astype(float))
+            x, q = matrix(left["v"], float), matrix(right["q"], float)
+            tree = Tree(x, left["vec_id"].to_numpy())
             ids, least = right["query_id"].to_numpy(), right["least"].to_numpy()
-            for i in range(len(q)):
-                got, score = tree.search(q[i].astype(kind), ids[i], reach[i], k, least[i])
-                out.append((np.full(len(got), ids[i]), got, score.astype(np.int64)))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+            for first in range(0, len(q), 1024):
+                reach = tree.bounds(q[first : first + 1024])
+                for i in range(len(reach)):
+                    got, scores = tree.search(q[first + i], ids[first + i], reach[i], k, least[first + i])
+                    out.append(_hits(np.full(len(got), ids[first + i]), got, scores))
+        return pa.concat_tables(out)
+
+    def under(name: str):
+        """A double that is not above a long, of which doubles hold 53 bits."""
+        x = F.col(name).cast("double")
+        return F.when(F.abs(x) < 2.0**53, x).otherwise(x - F.abs(x) * 2.0**-52)
 
     begun = materialize(visit(queries.mapInArrow(aim(True), aimed)), "begun")
     kth = begun.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    rest = queries.join(kth, "query_id", "left").select("query_id", "q", "block", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("least"))
+    rest = queries.join(kth, "query_id", "left").select("query_id", "q", "block", F.coalesce(under("kth"), F.lit(float("-inf"))).alias("least"))
     return begun.union(visit(rest.mapInArrow(aim(False), aimed)))

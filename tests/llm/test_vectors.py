@@ -17,22 +17,22 @@ def vectors(n=400, dims=16, seed=4):
     data = [(i, v.tolist(), 1) for i, v in enumerate(x)]
     nan, inf = float("nan"), float("inf")
     data += [(1000, None, 1), (1001, [nan] * dims, 1), (1020, [inf] + [0.0] * (dims - 1), 1), (1021, [None] + [1.0] * (dims - 1), 1), (1022, [], 1)]
-    data += [(2000, [1.0, 2.0], 1), (2001, [0.5, -1.0], 1), (3000, [1e30] * dims, 1), (None, [1.0] * dims, 1), data[45], data[60]]
+    data += [(2000, [1.0, 2.0], 1), (2001, [0.5, -1.0], 1), (3000, [1e30] * dims, 1), (3001, [-1e30] * dims, 1), (3002, [5e8] + [0.0] * (dims - 1), 1), (3020, [3e8] * dims, 1), (3003, [3.4e38] * dims, 1), (None, [1.0] * dims, 1), data[45], data[60]]
     return data
 
 
 def brute(data, k, exact):
     rows = [(i, np.array(v, np.float32).astype(float)) for i, v, _ in data if i is not None and v and None not in v and np.isfinite(np.array(v, np.float32)).all()]
     if exact:
-        rows = [(i, np.floor(64 * v)) for i, v in rows if np.abs(64 * v).max() < 2**28]
+        rows = [(i, np.array([int(x) for x in np.floor(64 * v)], object)) for i, v in rows]
     else:
         rows = [(i, v) for i, v in rows if v.any()]
     out = []
     for qi in sorted({i for i, _ in rows}):
         if qi % 20 == 0:
             q = min((v for i, v in rows if i == qi), key=list)
-            found = sorted(((-float(q @ v), i) for i, v in rows if i != qi and len(v) == len(q)))[:k]
-            out += [(qi, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+            found = sorted(((-(int if exact else float)(q @ v), i) for i, v in rows if i != qi and len(v) == len(q)))[:k]
+            out += [(qi, n + 1, i, max(-(2**63), min(2**63 - 1, -s)) if exact else -s) for n, (s, i) in enumerate(found)]
     return out
 
 
@@ -58,6 +58,23 @@ def test_one_bit_search_recall_and_scores(spark, shard, block):
         assert [o[0] for o in own] == list(range(1, len(own) + 1)) and [o[1:] for o in own] == sorted(o[1:] for o in own)
 
 
+def test_recall_on_the_given_vectors(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {(r.query_id, r.vec_id) for r in ann.search(table, 20, shard_rows=512).collect()}
+    data = [(r.vec_id, r.embedding, 1) for r in table.collect()]
+    want = {(q, v) for q, _, v, _ in brute(data, 20, False)}
+    assert len(got & want) >= 0.99 * len(want) and len(got) == len(want)
+
+
+def test_scores_near_the_ends_of_a_long(spark):
+    """Scores of 2^63 less or more, told apart by single units."""
+    data = [(0, [2.0**25, 1.0 / 64], 1)] + [(i, [float(2**26 + (i % 3 - 1)), float(i % 5)], 1) for i in range(1, 40)] + [(i, [-float(2**27), float(i)], 1) for i in range(41, 50)]
+    got = knn.search(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), 60, shard_rows=8).collect()
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v, _ in data}
+    found = sorted((-sum(a * b for a, b in zip(whole[0], v, strict=True)), i) for i, v in whole.items() if i)
+    assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == 0), key=lambda r: r.rank)] == [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in found]
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert knn.search(empty).count() == 0 and ann.search(empty).count() == 0
