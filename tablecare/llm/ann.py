@@ -3,7 +3,8 @@
 A vector less the common centre is rotated at random and kept as the signs of its components (a packed bit each) with
 two scalars: its length and the inner product of its direction with that of its code. From these a query's inner
 product with the vector is estimated without bias, with an error that exceeds a known bound with small probability.
-Vectors whose upper bound reaches the kth exact score found so far are reranked with their own components.
+Vectors whose upper bound reaches the kth exact score found so far are reranked with their own components. A query
+begins in one shard and carries the kth score found there to all others.
 """
 
 from __future__ import annotations
@@ -103,30 +104,40 @@ def search(vectors: DataFrame, k: int = 20, is_query=None, shard_rows: int = SHA
     if not known:
         return best(codes.selectExpr("vec_id AS query_id", "vec_id", "length AS score"), k)
     shards = F.element_at(F.create_map(*[F.lit(int(x)) for d, (n, _) in known.items() for x in (d, n)]), F.col("dims"))
-    # Every block of queries meets every shard of vectors as long.
-    aimed = queries.select("query_id", "q", F.col("dims").alias("dims"), F.col("block").alias("block"), F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"))
-    spread = codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = ["dims", "shard", "block"]
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if left.num_rows and right.num_rows:
             x, q = matrix(left["v"], float), matrix(right["q"], float)
-            ids, own = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
+            ids, query_ids, least = left["vec_id"].to_numpy(), right["query_id"].to_numpy(), right["least"].to_numpy()
             code = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(x), -1)
             length, align = left["length"].to_numpy(), left["align"].to_numpy()
             turn, centre = rotation(x.shape[1]), known[x.shape[1]][1]
             for first in range(0, len(q), 256):
                 guess, more = estimate(code, length, align, q[first : first + 256], centre, turn, width)
                 for i in range(len(guess)):
-                    query, other = q[first + i], ids != own[first + i]
-                    like = np.where(other, guess[i], -np.inf)
-                    some = np.argpartition(-like, k - 1)[:k] if len(like) > k else np.arange(len(like))
-                    kth = (x[some] @ query)[other[some]].min(initial=np.inf) if other[some].sum() >= k else -np.inf
+                    query, other = q[first + i], ids != query_ids[first + i]
+                    like, kth = np.where(other, guess[i], -np.inf), least[first + i]
+                    if len(like) > k:  # the k that seem nearest here bound the kth too
+                        some = np.argpartition(-like, k - 1)[:k]
+                        if other[some].all():
+                            kth = max(kth, (x[some] @ query).min())
                     some = np.flatnonzero(other & (like + more[i] >= kth))
                     exact = x[some] @ query
                     at = top(exact, ids[some], k)
-                    out.append((np.full(len(at), own[first + i]), ids[some[at]], exact[at]))
+                    out.append((np.full(len(at), query_ids[first + i]), ids[some[at]], exact[at]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
-    hits = spread.groupBy("dims", "shard", "block").cogroup(aimed.groupBy("dims", "shard", "block")).applyInArrow(rerank, HITS.format(kind="double"))
-    return best(hits, k)
+    def visit(aimed: DataFrame) -> DataFrame:
+        """Hits of queries in the shards they aim at; a shard goes to the blocks of queries that aim at it."""
+        afresh = lambda df, names: df.select(*[F.col(c).alias(c) for c in names])  # noqa: E731  all come from one table
+        met = afresh(codes, codes.columns).join(afresh(aimed, own).distinct(), ["dims", "shard"])
+        return met.groupBy(*own).cogroup(afresh(aimed, aimed.columns).groupBy(*own)).applyInArrow(rerank, HITS.format(kind="double"))
+
+    home = F.pmod(F.xxhash64("query_id", F.lit(1)), shards).cast("int")
+    aimed = queries.select("query_id", "q", "dims", "block", shards.alias("shards"), home.alias("home"))
+    begun = materialize(visit(aimed.select("query_id", "q", "dims", "block", F.col("home").alias("shard"), F.lit(float("-inf")).alias("least"))), "begun")
+    kth = begun.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    rest = aimed.join(kth, "query_id", "left").select("query_id", "q", "dims", "block", F.coalesce("kth", F.lit(float("-inf"))).alias("least"), "home", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    return best(begun.union(visit(rest.where("shard != home").drop("home"))), k)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Vectors of a shard and queries of a block: what one task holds at a time.
-SHARD_ROWS, BLOCK_QUERIES = 4096, 4096
+SHARD_ROWS, BLOCK_QUERIES = 4096, 32_768
 
 HITS = "query_id long, vec_id long, score {kind}"
 
