@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from functools import lru_cache
+from math import prod
 from typing import NamedTuple
 
 import ahocorasick
@@ -25,6 +26,9 @@ from .common import byte_set, lower_ascii, runs, text_pieces, unused
 #: Phrases of whole words and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+#: How sure one place of a phrase is.
+PHRASE_CONFIDENCE = 0.8
+
 #: A character of a word, after A-Z are lower case.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _IN_WORD = byte_set((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
@@ -128,6 +132,74 @@ _CC_KINDS = {"by": "", "by-sa": _SA, "by-nd": _ND, "by-nc": _NC, "by-nc-sa": rf"
 _CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
 
+# Telling phrases of license texts, notices, headers and exceptions, one by one, as their authors wrote them.
+# Each line: label; the words that a match holds, of which the text must hold one; the phrase as a pattern over single spaces.
+_TEXTS = [
+    ("mit", "software is furnished to do so", r"to permit persons to whom the software is furnished to do so"),
+    ("mit", "substantial portions of the software", r"shall be included in all copies or substantial portions of the software"),
+    ("mit", "provided \"as is\"", r"the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability"),
+    ("mit-0", "without restriction", r"to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so\. the software is provided"),
+    ("apache-2.0", "apache license", r"licensed under the apache license, version 2\.0 \(the \"license\"\)"),
+    ("apache-2.0", "asf", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements"),
+    ("apache-2.0", "except in compliance", r"you may not use this file except in compliance with the license\. you may obtain a copy of the license at"),
+    ("apache-2.0", "required by applicable law", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \"as is\" basis"),
+    ("apache-1.1", "end-user documentation", r"the end-user documentation included with the redistribution, if any, must include the following acknowledg(?:e)?ment"),
+    ("gpl", "without even the implied", r"without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose\. see the gnu general public license"),
+    ("gpl", "received a copy of the gnu", r"you should have received a copy of the gnu general public license along with"),
+    ("gpl-2.0", "either version 2", r"gnu general public license as published by the free software foundation; either version 2"),
+    ("gpl-3.0", "either version 3", r"gnu general public license as published by the free software foundation, either version 3"),
+    ("lgpl", "lesser general public", r"you should have received a copy of the gnu lesser general public license along with"),
+    ("lgpl-2.1", "lesser general public", r"gnu lesser general public license as published by the free software foundation; either version 2\.1"),
+    ("lgpl-3.0", "lesser general public", r"gnu lesser general public license as published by the free software foundation,? either version 3"),
+    ("agpl-3.0", "affero", r"gnu affero general public license as published by the free software foundation,? either version 3"),
+    ("agpl-3.0", "through a computer network", r"all users interacting with it remotely through a computer network"),
+    ("gpl-classpath-exception", "linking this library", r"linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("gpl-classpath-exception", "classpath", r"(?:the )?[\"']?classpath[\"']? exception"),
+    ("gpl-gcc-exception", "runtime library exception", r"gcc runtime library exception"),
+    ("gpl-font-exception", "font exception", r"(?:gpl )?font exception"),
+    ("gpl-bison-exception", "bison parser", r"you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("gpl-autoconf-exception", "configuration script", r"a configuration script generated by autoconf"),
+    ("gpl-linux-syscall-note", "normal system calls", r"does not cover user programs that use kernel services by normal system calls"),
+    ("apache-llvm-exception", "llvm exception", r"llvm exceptions? to the apache 2\.0 license|apache license v?2\.0 with llvm exceptions?"),
+    ("openssl-exception", "openssl", r"special exception, .{0,80}?permission to link .{0,80}?openssl"),
+    ("bsd", "source and binary forms", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd", "redistributions in binary form", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "copyright holders and contributors", r"this software is provided by the copyright holders and contributors \"as is\""),
+    ("bsd-3-clause", "endorse or promote", r"may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-patent", "patent license", r"each copyright holder and contributor hereby grants .{0,160}?patent license"),
+    ("isc", "above copyright notice and this permission notice", r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", "author disclaims all warranties", r"with or without fee is hereby granted\. the software is provided \"as is\" and the author disclaims all warranties"),
+    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public license, v\. ?2\.0"),
+    ("mpl-1.1", "mozilla public license version 1.1", r"subject to the mozilla public license version 1\.1"),
+    ("epl-1.0", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license v1\.0"),
+    ("epl-2.0", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license v?\.? ?2\.0"),
+    ("cddl-1.0", "common development and distribution", r"subject to the terms of the common development and distribution license"),
+    ("zlib", "must not be misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such"),
+    ("bsl-1.0", "boost software", r"distributed under the boost software license, version 1\.0"),
+    ("unlicense", "anyone is free to copy", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("cc0-1.0", "waived all copyright", r"has waived all copyright and related (?:or|and) neighbou?ring rights"),
+    ("cc0-1.0", "to the extent possible under law", r"to the extent possible under law, .{0,120}?(?:waived|dedicated) all copyright"),
+    ("wtfpl", "you just do", r"you just do what the f\S{1,4} you want to"),
+    ("artistic-2.0", "standard version", r"distribute verbatim copies of the source form of the standard version"),
+    ("ofl-1.1", "sil open font", r"licensed under the sil open font license, version 1\.1"),
+    ("ofl-1.1", "reserved font name", r"with reserved font names?"),
+    ("psf-2.0", "psf hereby|python software foundation", r"psf hereby grants licensee a nonexclusive, royalty-free|license agreement is between the python software foundation"),
+    ("ncsa", "names of its contributors", r"neither the names of .{1,80}? nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("ms-pl", "microsoft public", r"this license governs use of the accompanying software\. .{0,60}?microsoft public license"),
+    ("postgresql", "without a written agreement", r"and without a written agreement is hereby granted, provided that the above copyright notice"),
+    ("curl", "daniel stenberg", r"copyright \(c\) .{4,40}?, daniel stenberg"),
+    ("json", "for good, not evil", r"the software shall be used for good, not evil"),
+    ("beerware", "buy me a beer", r"you can buy me a beer in return"),
+    ("commons-clause", "commons clause", r"commons clause.{0,20}? license condition"),
+    ("sspl-1.0", "server side public", r"server side public license,? version 1"),
+    ("busl-1.1", "business source", r"business source license,? (?:version )?1\.1"),
+    ("elastic-2.0", "elastic license", r"elastic license (?:version )?2\.0"),
+    ("all-rights-reserved", "no part of this", r"no part of this (?:publication|work|document) may be reproduced\b.{0,160}?without (?:the )?prior written permission"),
+    ("proprietary", "trade secret", r"contains? (?:confidential|proprietary) information and trade secrets?"),
+]
+
+
 #: A run of what Python takes as white space, for RE2.
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\pZ]+"
 
@@ -159,6 +231,8 @@ def rules() -> list[Rule]:
         if sentence:
             gate, _, text = sentence.partition("|")
             add(2, label, gate, text, 0.9)
+    for label, keyword, pattern in _TEXTS:
+        add(2, label, keyword, pattern, 0.9)
     for kind, extra in _CC_KINDS.items():
         tail = rf"[ -]{extra}" if extra else ""
         for version in _CC_VERSIONS:
@@ -224,8 +298,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, prefix: str = "") -
     """docs with <prefix>n_words, n_base, first_word, last_word, base_labels, labels, score and detections.
 
     Words, places and base labels are of the phrases; labels adds those of the rules' detections other than
-    `unclassified`, which a detection list still shows. score is the highest confidence, 1 with a phrase, else 0 with
-    no detection. A null or empty text has no words and nothing found (empty labels, null first and last word).
+    `unclassified`, which a detection list still shows. score is how sure it is that some license stands in the text: one
+    less the chance that every place of a phrase (PHRASE_CONFIDENCE) and every detection kept errs, 0 with none. A null or empty text has no words and nothing found (empty labels, null first and last word).
     Columns keep their names and values but for those that this adds. Rows are independent of one another.
     """
     gate = "|".join(sorted({re.escape(p.split()[-1]) for p in phrases}))
@@ -249,7 +323,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, prefix: str = "") -
                 base = {label for _, label in places}
                 found = detect(text)
                 labels = base | {d.label for d in found if d.label != "unclassified"}
-                score = 1.0 if places else max((d.confidence for d in found), default=0.0)
+                score = 1 - prod(1 - d.confidence for d in found) * (1 - PHRASE_CONFIDENCE) ** len(places)
                 out.append((len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), score, [dict(zip(("label", "start", "end", "confidence"), d, strict=False)) for d in found]))
         columns = list(zip(*out, strict=True)) or [[]] * 7
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(_FOUND)]

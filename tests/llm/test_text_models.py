@@ -183,6 +183,59 @@ def test_license_gate_loses_nothing(spark):
     assert len({(r.priority, r.label, r.pattern) for r in licenses.rules()}) == len(licenses.rules())
 
 
+def test_license_gate_loses_nothing_of_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for r in licenses.scan(docs).collect():
+        assert [(d.label, d.start, d.end) for d in r.detections] == [d[:3] for d in licenses.detect(low(r.text), gated=False)]
+
+
+#: Texts as they stand in files, and near ones that must not hit the label.
+HIT_AND_MISS = [
+    ("apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one\nor more contributor license agreements.", "donated to the Apache Software Foundation (ASF) last year"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,", "unless required by applicable law, taxes are paid on an as is basis"),
+    ("mit", "subject to the following conditions: The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.", "substantial portions of the software were rewritten"),
+    ("gpl-classpath-exception", "Linking this library statically or dynamically with other modules is making a combined work based on this library.", "linking this library statically is slow"),
+    ("apache-llvm-exception", "Part of the project, under the Apache License v2.0 with LLVM Exceptions.", "an llvm exception was thrown"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "we ship source and binary forms of it"),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission", "they endorse or promote products derived from milk"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.", "this source code form is subject to change"),
+    ("epl-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0", "the accompanying materials are made of paper"),
+    ("zlib", "The origin of this software must not be misrepresented; you must not claim that you wrote it", "the facts must not be misrepresented"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software", "anyone is free to copy the recipe"),
+    ("json", "The Software shall be used for Good, not Evil.", "a story for good, not evil people"),
+    ("postgresql", "for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice", "we worked without a written agreement for years"),
+    ("ofl-1.1", "Copyright 2010, with Reserved Font Name Something", "a reserved font name is a name"),
+    ("gpl-2.0", "the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "either version 2 or version 3 of the map will do"),
+    ("agpl-3.0", "must prominently offer all users interacting with it remotely through a computer network an opportunity", "they talked through a computer network"),
+    ("beerware", "If we meet some day, and you think this stuff is worth it, you can buy me a beer in return.", "will you buy me a beer tonight?"),
+    ("all-rights-reserved", "No part of this publication may be reproduced, stored or transmitted, without the prior written permission of the publisher", "no changes without prior written notice"),
+    ("sspl-1.0", "under the Server Side Public License, version 1", "server side public pages"),
+    ("busl-1.1", "Business Source License 1.1", "our business source is reliable"),
+]
+
+
+def test_license_texts_hit_and_near_ones_miss(spark):
+    texts = [t for _, hit, miss in HIT_AND_MISS for t in (hit, miss)]
+    got = licenses.scan(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    for k, (label, *_) in enumerate(HIT_AND_MISS):
+        assert label in got[2 * k].labels.split(",") and got[2 * k].score >= 0.9, label
+        assert label not in got[2 * k + 1].labels.split(","), label
+    patterns = [r.pattern.pattern for r in licenses.rules()]
+    assert len(set(zip(patterns, (r.label for r in licenses.rules()), strict=True))) == len(patterns)
+
+
+def test_license_suppression_does_not_hang_on_order():
+    text = "released under the gnu lesser general public license v2.1 or later, see https://www.gnu.org/licenses/lgpl-2.1 and the mit license"
+    want = licenses.detect(text)
+    rules = licenses.rules()
+    rng = random.Random(0)
+    for _ in range(5):
+        rng.shuffle(rules)
+        assert licenses.detect(text, gated=False) == want
+    rules.sort(key=lambda r: r.priority)
+    licenses.rules.cache_clear()
+
+
 def passage(rng, n=70):
     return prose(rng, "en", n)
 
@@ -207,6 +260,64 @@ def test_repeated_passages_go_but_for_the_first(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
+def plain_spans(text):
+    """(begin, n) in words of every span of a text, and its words: loops over lists."""
+    words, begins, last_end = [], [], 0
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
+        gap = text[last_end : m.start()]
+        if not words or re.search(r"[\n-\r]", gap) or re.search(r"[.!?][^0-9A-Za-z\x80-\uffff.!?]*$", words[-1]):
+            begins.append(len(words))
+        words.append(m.group())
+        last_end = m.end()
+    bounds, out = [*begins, len(words)], set()
+    for i in range(len(begins)):
+        for step in (1, -1):
+            a = b = i
+            while 0 <= a and b < len(begins):
+                if b - a + 1 >= substrings.SENTENCES and bounds[b + 1] - bounds[a] >= substrings.WORDS:
+                    out.add((bounds[a], bounds[b + 1] - bounds[a]))
+                    break
+                a, b = (a, b + 1) if step > 0 else (a - 1, b)
+    return out, [low(w) for w in words]
+
+
+def test_whole_removal_equals_brute_force(spark):
+    rng = random.Random(21)
+    shared = [passage(rng, n) for n in (30, 45, 60, 90)]
+    data = []
+    for i in range(24):
+        parts = [prose(rng, rng.choice(["en", "de"]), rng.randint(1, 50)) for _ in range(3)]
+        parts.insert(1, rng.choice(shared))
+        if i % 3 == 0:
+            parts.append(rng.choice(shared))
+        data.append((i, rng.choice([" ", "\n", "  "]).join(parts), "en", "s", 1))
+    data += [(50, None, "en", "s", 1), (51, "", "en", "s", 1), data[3], (52, data[4][1], "en", "s", 1)]
+    places, texts = {}, {}
+    for doc_id, text, *_ in data:
+        spans, words = plain_spans(text)
+        found = substrings.Sentences(*byte_view(pa.array([text])))
+        assert {(int(found.first[a]), int(found.first[b] - found.first[a])) for a, b in zip(*found.spans(), strict=True)} == spans
+        spans |= {(int(w), substrings.WORDS) for w in found.windows()}
+        texts[doc_id] = (text, words)
+        for a, n in spans:
+            places.setdefault(tuple(words[a : a + n]), set()).add((doc_id, a))
+    covered = {}
+    for words, at in places.items():
+        first = min(at)
+        for doc_id, a in at:
+            if not (doc_id == first[0] and a < first[1] + len(words)):
+                covered.setdefault(doc_id, set()).update(range(a, a + len(words)))
+    got = substrings.remove_repeats(frame(spark, data, clash=True)).collect()
+    assert len(got) == len(data)
+    for r in got:
+        text, words = texts[r.doc_id]
+        gone = {k for x in r.removed for k in range(x.begin, x.begin + x.n)}
+        assert gone == covered.get(r.doc_id, set())
+        assert [low(w) for w in (r.text or "").split()] == [w for k, w in enumerate(words) if k not in gone]
+        assert (r.text == text) if not gone else r.n_removed > 0
+    assert sum(map(bool, covered.values())) > 10
+
+
 def distinct(rng, n):
     return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
 
