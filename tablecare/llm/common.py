@@ -82,6 +82,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def own_prefix(df: DataFrame) -> str:
+    """Underscores that no column of df begins with: names after them are free."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def column(name: str):
     """A column by its whole name, dots and back quotes included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -4,7 +4,8 @@ A source's weight is its share of all tokens to the power of an exponent between
 are). The exponent is bisected: the least one whose weights stay within a repetition limit, or the greatest one whose
 weights reach a target entropy. Weights become budgets in tokens. A source's stream is its blocks of documents in a
 keyed permutation, and each block's documents in one, anew for every pass; documents that start before the budget is
-used up are in the mix. Blocks bound every sort, whatever a source's size.
+used up are in the mix. Blocks bound every sort of documents, and the blocks of a pass are ordered in BUCKETS parts by
+the first digits of their keys, whatever a source's size.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import column, materialize, own_prefix
 
 #: Most passes over a source against the least repeated one, tokens of a block, halvings of the exponent, key.
 MAX_REPEATS, BLOCK_TOKENS, HALVINGS, SEED = 2.0, 250_000, 40, "mix"
+#: Hexadecimal digits of a key that parts of a pass's blocks go by.
+BUCKET_DIGITS = 4
 
 
-def tokens(column: str = "text") -> Column:
+def tokens(text: str = "text") -> Column:
     """Words between white space, and one for the end; 1 for null."""
-    return F.coalesce(F.regexp_count(column, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
 
 
 def bisect(logs: Column, max_repeats: float | None, target_entropy: float | None, halvings: int = HALVINGS) -> Column:
@@ -65,33 +68,42 @@ def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy
     docs has doc_id, text, source and any others; the new columns replace columns of their names. `start` counts the
     tokens before it in its source's stream. A null source is a source of its own. Null and empty texts have one
     token. Give either a repetition limit or a target entropy (natural logarithm; one above that of equal weights gives
-    exponent 0). Without total_tokens no row is left out. Repeated rows each take a place. No rows give no rows.
+    exponent 0). Without total_tokens no row is left out. Repeated rows each take a place; rows without an identifier
+    are dealt to blocks by their text. No rows give no rows.
     """
-    keyed = docs.withColumns({"_key": F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source").cast("string"))), "_tokens": tokens()})
-    sizes = keyed.groupBy("_key").agg(F.sum("_tokens").alias("size"))
-    plan = materialize(weights(sizes, max_repeats, target_entropy, total_tokens, block_tokens), "weights").withColumnsRenamed({c: f"_{c}" for c in ("size", "exponent", "weight", "budget", "blocks", "passes")})
 
     def mark(*parts) -> Column:
         return F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
 
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    placed = keyed.join(plan, "_key").withColumn("_block", F.pmod(F.conv(F.substring(mark(name), 1, 8), 16, 10).cast("long"), F.col("_blocks")))
-    placed = placed.withColumn("_pass", F.explode(F.when(F.col("_passes") > 0, F.sequence(F.lit(0), F.col("_passes") - 1)).otherwise(F.array().cast("array<int>"))))
-
-    block_order = W.partitionBy("_key", "_pass").orderBy("_mark", "_block").rowsBetween(W.unboundedPreceding, -1)
-    slim = docs.select("doc_id", "source", "text").withColumns({"_key": F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source").cast("string"))), "_tokens": tokens()}).select("doc_id", "_key", "_tokens")
-    held = slim.join(plan, "_key").withColumn("_block", F.pmod(F.conv(F.substring(mark(name), 1, 8), 16, 10).cast("long"), F.col("_blocks"))).groupBy("_key", "_block").agg(F.sum("_tokens").alias("_held"), F.any_value("_passes").alias("_passes"))
-    held = held.select("_key", "_block", "_held", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)).alias("_pass")).where("_pass >= 0")
-    held = held.withColumn("_mark", mark(F.col("_pass"), F.col("_key"), F.col("_block")))
-    before = held.select("_key", "_pass", "_block", F.coalesce(F.sum("_held").over(block_order), F.lit(0)).alias("_before"))
-
-    inner = W.partitionBy("_key", "_pass", "_block").orderBy("_mark", "doc_id", "_tokens").rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.withColumn("_mark", mark(F.col("_pass"), name)).withColumn("_inside", F.coalesce(F.sum("_tokens").over(inner), F.lit(0)))
-    placed = placed.join(before, ["_key", "_pass", "_block"]).withColumn("_start", F.col("_pass") * F.col("_size") + F.col("_before") + F.col("_inside")).where("_start < _budget")
-    new = {f"{prefix}{n}": F.col(f"_{n}") for n in ("tokens", "pass", "block", "start", "weight", "exponent")}
-    return placed.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *new)
+    key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", F.lit("null"), F.xxhash64("text").cast("string")))
+    dealt = F.conv(F.substring(mark(name), 1, 8), 16, 10).cast("long")
+    # What documents weigh and where they are dealt: one pass over the texts, small rows.
+    slim = materialize(docs.select(key.alias("_key"), dealt.alias("dealt"), tokens().alias("size")).groupBy("_key", "dealt").agg(F.sum("size").alias("size")), "sizes")
+    plan = materialize(weights(slim.groupBy("_key").agg(F.sum("size").alias("size")), max_repeats, target_entropy, total_tokens, block_tokens), "weights")
+
+    held = slim.join(plan.select("_key", "blocks", "passes"), "_key").groupBy("_key", F.pmod("dealt", F.col("blocks")).alias("block")).agg(F.sum("size").alias("held"), F.any_value("passes").alias("passes"))
+    held = held.select("_key", "block", "held", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass")).where("pass >= 0")
+    held = held.withColumn("mark", mark(F.col("pass"), F.col("_key"), F.col("block"))).withColumn("bucket", F.substring("mark", 1, BUCKET_DIGITS))
+    earlier = lambda *order: W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    buckets = held.groupBy("_key", "pass", "bucket").agg(F.sum("held").alias("held")).select("_key", "pass", "bucket", F.coalesce(F.sum("held").over(earlier("bucket").partitionBy("_key", "pass")), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("held").over(earlier("mark", "block").partitionBy("_key", "pass", "bucket")), F.lit(0))
+    before = held.withColumn("inside", inside).join(buckets, ["_key", "pass", "bucket"]).select("_key", "pass", "block", (F.col("first") + F.col("inside")).alias("before"))
+
+    p = own_prefix(docs)
+    renamed = lambda df: df.select(*[F.col(c).alias(p + c.removeprefix("_")) for c in df.columns])
+    at = lambda c: F.col(p + c)
+    placed = docs.withColumns({f"{p}key": key, f"{p}tokens": tokens(), f"{p}name": name, f"{p}dealt": dealt}).join(renamed(plan), f"{p}key")
+    placed = placed.withColumn(f"{p}block", F.pmod(at("dealt"), at("blocks")))
+    placed = placed.withColumn(f"{p}pass", F.explode(F.when(at("passes") > 0, F.sequence(F.lit(0), at("passes") - 1)).otherwise(F.array().cast("array<int>"))))
+    own = [f"{p}key", f"{p}pass", f"{p}block"]
+    inner = W.partitionBy(*own).orderBy(f"{p}mark", "doc_id", f"{p}tokens").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn(f"{p}mark", mark(at("pass"), at("name"))).withColumn(f"{p}inside", F.coalesce(F.sum(at("tokens")).over(inner), F.lit(0)))
+    placed = placed.join(renamed(before), own).withColumn(f"{p}start", at("pass") * at("size") + at("before") + at("inside")).where(at("start") < at("budget"))
+    new = {f"{prefix}{n}": at(n) for n in ("tokens", "pass", "block", "start", "weight", "exponent")}
+    return placed.withColumns(new).select(*[column(c) for c in docs.columns if c not in new], *[column(n) for n in new])
 
 
 def mixed(docs: DataFrame, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """The rows of docs as often as they are in the mix, with the columns of docs."""
-    return mix(docs, max_repeats, prefix="_mix_").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mix(docs, max_repeats, prefix=own_prefix(docs) + "mix_").select(*[column(c) for c in docs.columns])

@@ -34,9 +34,19 @@ def rows(seed: int = 1, n: int = 60) -> list[tuple]:
     return out
 
 
+#: Names that the operators use for columns of their own, here in the user's table.
+CLASHES = """fp root length piece start tile score rank _rank ids n id _id copy _copy key _key tokens _tokens size _size block _block pass _pass
+mark _mark _start weight exponent nearest _nearest scan _scan keep_id _keep_id keep_copy keep_fp mark_id mark_copy spans first cut cut_n_removed removed own_rejected
+lang_pred rejected node label low high sequence_id offset bucket before dealt name passes blocks budget held _train train rare value tf component_id fingerprint
+h1 h2 begin labels n_words detections p0 p1 unknown own copy_id _mix_tokens __key""".split()
+
+
 def frame(spark, data=None, clash: bool = False):
     df = spark.createDataFrame(rows() if data is None else data, SCHEMA)
-    if clash:
-        for name in ("fp", "root", "length", "piece", "start", "tile", "score", "rank", "_rank", "ids", "n"):
-            df = df.selectExpr("*", f"'x' AS `{name}`")
-    return df
+    return df.selectExpr("*", *[f"concat('mine-', doc_id, '-{name}') AS `{name}`" for name in CLASHES], "1 AS `dotted.name`") if clash else df
+
+
+def same_columns(before, after) -> bool:
+    """Whether the user's columns of rows that are left hold what they held; both frames come from frame(clash=True)."""
+    own = [c for c in CLASHES if c in after.columns]
+    return after.columns[: len(before.columns)] == before.columns and all(getattr(r, c) == (f"mine-{r.doc_id}-{c}" if r.doc_id is not None else None) for r in after.collect() for c in own)
