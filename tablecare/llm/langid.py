@@ -26,7 +26,7 @@ FIT_EXPECTED, FIT_MOST = 1000, 2000
 #: Longer texts are nearer to their centroid, so floors go by the binary logarithm of a text's n-grams, from SHORT_CLASS (under
 #: it nothing is rejected: a word or two tell too little) to LONG_CLASS (and all above). A floor is FLOOR_SHARE of the
 #: similarity that FLOOR_QUANTILE of the class's fitted texts stay under; a class of under CLASS_LEAST texts joins the next longer one.
-FLOOR_SHARE, FLOOR_QUANTILE, SHORT_CLASS, LONG_CLASS, CLASS_LEAST = 0.5, 0.01, 5, 12, 30
+FLOOR_SHARE, FLOOR_QUANTILE, SHORT_CLASS, LONG_CLASS, CLASS_LEAST = 0.5, 0.01, 6, 12, 30
 
 _LETTER = byte_set((0x61, 0x7A), (0x80, 0xFF))
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
