@@ -23,12 +23,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import NON_SPACE, crc_of_id, lower_ascii, materialize, runs, text_pieces, word_codes
 
-#: Bytes of the longest context; added to every word count; entries broadcast at most; strings priced in a group.
-ORDER, SMOOTHING, FREQUENT_KEYS, GROUP_KEYS = 5, 0.1, 1_000_000, 200_000
+#: Bytes of the longest context; added to every word count; entries broadcast at most.
+ORDER, SMOOTHING, FREQUENT_KEYS = 5, 0.1, 1_000_000
 #: Bytes that no UTF-8 text holds: what stands before a text, and the symbol that ends it.
 BEFORE, END = 0xFE, 0xFF
 #: Symbols: all bytes but BEFORE.
@@ -109,78 +110,43 @@ def count(docs: DataFrame) -> DataFrame:
     return docs.select("text", "_train").mapInArrow(work, "key long, n long, n_train long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
 
 
-def price(code: np.ndarray, seen: np.ndarray, near: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """log10 probability of each byte string's last symbol.
+def prices(totals: DataFrame, order: int = ORDER) -> DataFrame:
+    """key, n, value: a byte string's log10 probability, a word's training count.
 
-    code, seen: distinct strings and their training counts, all strings of each two-byte context that occurs among
-    them. near[context byte, symbol]: training counts for contexts of one byte, over the whole corpus.
+    A level's table has every string of its length that ends one of the keys, with its training count. Strings that share
+    a context, or all bytes but the first, are 256 at most, so every window here is small and no key is hot.
     """
-    # Each level, from the longest context: count of the symbol, occurrences, distinct symbols and what the next longer context excludes.
-    context = {k: (code >> 8) & ((1 << 8 * k) - 1) for k in range(2, order + 1)}
-    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for k in range(2, order + 1):
-        whole, where = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
-        n = np.bincount(where, weights=seen, minlength=len(whole))
-        tables[k] = whole[n > 0], n[n > 0]
-    one, symbol = (code >> 8) & 255, code & 255
-    zero = near.sum(axis=0)
-
-    def of(level: int, strings_: np.ndarray) -> np.ndarray:
-        """Training count of (the last bytes of) strings at a level."""
-        if level == 0:
-            return zero[strings_ & 255]
-        if level == 1:
-            return near[(strings_ >> 8) & 255, strings_ & 255]
-        whole, n = tables[level]
-        strings_ = strings_ & ((1 << 8 * (level + 1)) - 1)
-        at = np.searchsorted(whole, strings_)
-        hit = (at < len(whole)) & (whole[np.minimum(at, len(whole) - 1)] == strings_) if len(whole) else np.zeros(len(strings_), bool)
-        return np.where(hit, n[np.minimum(at, len(n) - 1)] if len(n) else 0, 0)
-
-    def sums(level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each string's context at a level: occurrences, distinct symbols, and the shorter context's count of those symbols."""
-        if level == 0:
-            full = np.ones(len(code))
-            return zero.sum() * full, (zero > 0).sum() * full, 0 * full
-        if level == 1:
-            return near.sum(axis=1)[one], (near > 0).sum(axis=1)[one], ((near > 0) * zero).sum(axis=1)[one]
-        whole, n = tables[level]
-        own, where = np.unique(context[level], return_inverse=True)
-        at = np.searchsorted(own, whole >> 8)
-        total, distinct, below = (np.bincount(at, weights=w, minlength=len(own)) for w in (n, None, of(level - 1, whole)))
-        return total[where], distinct[where].astype(float), below[where]
-
-    out, open_ = np.zeros(len(code)), np.ones(len(code), bool)
-    gone, ruled = np.zeros(len(code)), np.zeros(len(code))  # occurrences and symbols that longer contexts exclude
-    for level in range(order, -1, -1):
-        total, distinct, below = sums(level)
-        left, fresh = total - gone, distinct - ruled
-        known = of(level, code)
-        room = left + fresh
-        hit = open_ & (known > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.where(hit, out + np.log10(known / room), np.where(open_ & (fresh > 0), out + np.log10(fresh / room), out))
-        open_ &= ~hit
-        gone, ruled = np.where(total > 0, below, 0), distinct
-    unseen = SYMBOLS - (zero > 0).sum()
-    return np.where(open_, out - np.log10(max(unseen, 1)), out)
-
-
-def prices(totals: DataFrame, order: int = ORDER) -> DataFrame:
-    """key, n, value: a byte string's log10 probability, a word's training count."""
-    grams = totals.where("key >= 0")
-    pairs = grams.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n_train").alias("n")).collect()  # 65,536 rows at most
-    near = np.zeros((256, 256))
-    for r in pairs:
-        near[r.pair >> 8, r.pair & 255] = r.n
-    groups = grams.count() // GROUP_KEYS + 16
-
-    def work(group: pa.Table) -> pa.Table:
-        code, seen = group["key"].to_numpy(), group["n_train"].to_numpy()
-        return pa.table({"key": code, "n": group["n"], "value": price(code, seen, near, order)})
-
-    group = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(groups))
-    priced = grams.withColumn("group", group).groupBy("group").applyInArrow(work, "key long, n long, value double")
+    # Down: the count of a string is that of all strings one byte longer that end in it.
+    tables = []
+    level = totals.where("key >= 0").select(F.col("key").alias("s"), "n", F.col("n_train").alias("c"))
+    for k in range(order, -1, -1):
+        tail = F.col("s").bitwiseAND(F.lit((1 << 8 * k) - 1))
+        level = materialize(level.withColumn("shorter", F.sum("c").over(W.partitionBy(tail)) if k else F.lit(0).cast("long")), f"level{k}")
+        tables.append(level)
+        level = level.groupBy(tail.alias("s")).agg(F.max("shorter").alias("c"))
+    # Up: what a context has (occurrences, symbols, and the shorter context's count of those symbols), and what a string
+    # that never followed it costs from the next shorter context on.
+    below = None
+    for k in range(order + 1):
+        context = W.partitionBy(F.shiftright("s", 8))
+        seen = F.col("c") > 0
+        stats = {"total": F.sum("c").over(context), "symbols": F.count(F.when(seen, 1)).over(context), "gone": F.coalesce(F.sum(F.when(seen, F.col("shorter"))).over(context), F.lit(0))}
+        rows = tables[order - k].withColumns(stats)
+        if below is None:
+            rows = rows.withColumn("rest", F.when(~seen, -F.log10(F.greatest(SYMBOLS - F.col("symbols"), F.lit(1)).cast("double"))))
+        else:
+            rows = materialize(rows, f"context{k}")
+            one = below.select(F.col("s").alias("t"), F.col("c").alias("less"), F.col("total").alias("all"), F.col("symbols").alias("kinds"), F.col("rest").alias("further"))
+            missed = rows.where(~seen).join(one, F.col("s").bitwiseAND(F.lit((1 << 8 * k) - 1)) == F.col("t"), "left")
+            fresh = F.col("kinds") - F.col("symbols")
+            room = (F.col("all") - F.col("gone") + fresh).cast("double")
+            rest = F.when(F.col("less") > 0, F.log10(F.col("less") / room)).otherwise(F.when(fresh > 0, F.log10(fresh / room)).otherwise(0.0) + F.col("further"))
+            rows = rows.where(seen).withColumn("rest", F.lit(None).cast("double")).unionByName(missed.withColumn("rest", rest).select(*rows.columns, "rest"))
+        below = materialize(rows, f"priced{k}") if k < order else rows
+    whole = (F.col("total") + F.col("symbols")).cast("double")
+    escape = F.when(F.col("symbols") > 0, F.log10(F.col("symbols") / whole)).otherwise(0.0)
+    value = F.when(F.col("c") > 0, F.log10(F.col("c") / whole)).otherwise(escape + F.col("rest"))
+    priced = below.select(F.col("s").alias("key"), "n", value.alias("value"))
     return priced.union(totals.where("key < 0").select("key", "n", F.col("n_train").cast("double")))
 
 
@@ -206,7 +172,7 @@ def score(docs: DataFrame, train: object = None, most: int = FREQUENT_KEYS) -> D
     spark = docs.sparkSession
     train = F.coalesce(F.pmod(crc_of_id(), F.lit(10)) != 0, F.lit(True)) if train is None else train
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text", train.alias("_train"), F.xxhash64("text").alias("_copy"))
+    docs = docs.select("doc_id", "text", train.alias("_train"), F.xxhash64("text").alias("_copy"), F.xxhash64("doc_id", "text").alias("_deal"))
     totals = materialize(count(docs), "counts")
     n_train, vocabulary = totals.where("key < 0").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0)).first()
     table = materialize(prices(totals), "prices")
@@ -253,10 +219,10 @@ def score(docs: DataFrame, train: object = None, most: int = FREQUENT_KEYS) -> D
                 own, key, tf = (np.concatenate(x) for x in zip(*more, strict=True))
                 which = np.concatenate([np.arange(rows), own])
                 pad = lambda x: np.concatenate([x, np.zeros(len(own), x.dtype)])
-                ids, copies, train_ = (batch.column(x).slice(row, rows).take(pa.array(which)) for x in ("doc_id", "_copy", "_train"))
+                ids, copies, train_, deal = (batch.column(x).slice(row, rows).take(pa.array(which)) for x in ("doc_id", "_copy", "_train", "_deal"))
                 kinds = np.concatenate([np.zeros(rows, bool), np.ones(len(own), bool)])
                 yield pa.RecordBatch.from_arrays(
-                    [ids, copies, train_, pa.array(kinds), pc.if_else(pa.array(kinds), pa.array(pad(np.zeros(rows, np.int64)) + np.concatenate([np.zeros(rows, np.int64), key])), copies), pa.array(np.concatenate([np.zeros(rows, np.int64), tf])),
+                    [ids, copies, train_, pa.array(kinds), pc.if_else(pa.array(kinds), pa.array(pad(np.zeros(rows, np.int64)) + np.concatenate([np.zeros(rows, np.int64), key])), deal), pa.array(np.concatenate([np.zeros(rows, np.int64), tf])),
                      *(pa.array(pad(x)) for x in (np.bincount(text, minlength=rows), np.bincount(text, weights=known & (c > 0), minlength=rows).astype(np.int64), np.bincount(text, weights=np.where(known, base, 0), minlength=rows), total))],
                     ["doc_id", "_copy", "_train", "rare", "key", "tf", "n_tokens", "n_known", "base", "score"],
                 )
