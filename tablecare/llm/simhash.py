@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, column, drop_table, lower_ascii, materialize, mixed, runs, text_pieces, unused, word_codes
+from .common import NON_SPACE, column, drop_table, lower_ascii, materialize, mixed, ragged, runs, text_pieces, unused, word_codes
 
 #: Differing bits of a link, words of a shingle, hash seed, fingerprints packed in a row, rounds of components at most.
 RADIUS, SHINGLE_WORDS, SEED, TILE_ROWS, MAX_ROUNDS = 2, 3, 42, 2048, 60
@@ -39,6 +39,8 @@ NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 FINE_PARTS, FINE_FIRST, FINE_RADIUS = 4, 24, 72
 #: Texts compared at a time, and bytes of their sets on average.
 PART_TEXTS, PART_BYTES = 256, 4 << 20
+#: Parts of a group, and rows of a tile, that one task compares with all others.
+PARTS_A_TASK, ROWS_A_TASK = 2, 16
 #: Near pairs that a task holds before it keeps a forest of them.
 FOREST_PAIRS = 1 << 20
 #: Shingles hashed at a time.
@@ -203,6 +205,7 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         drop_table(labels)
         labels = fresh
         if still:
+            drop_table(both)
             return labels
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
@@ -292,9 +295,11 @@ def candidates(prints: DataFrame, similarity: float = NEAR_SIMILARITY, tile_rows
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
         .groupBy("tile", "part").agg(F.flatten(F.collect_list(F.array("node", *words))).alias("members"), F.min("ones").alias("least"), F.max("ones").alias("most")), "tiles"
     )
-    left = packed.select("tile", "part", F.col("members").alias("left"), "least", "most", F.explode(F.array("tile", F.col("tile") + 1)).alias("meets"))
-    right = packed.select(F.col("tile").alias("meets"), F.col("part").alias("other"), F.col("members").alias("right"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-    pairs = left.join(right, "meets").where(((F.col("tile") != F.col("meets")) | (F.col("part") <= F.col("other"))) & (F.col("least") - F.col("most2") <= FINE_RADIUS) & (F.col("least2") - F.col("most") <= FINE_RADIUS))
+    # A large tile's rows meet in several tasks: one side is dealt out, the other goes to each.
+    salts = -(-int(packed.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0] + 1) // ROWS_A_TASK)
+    left = packed.select("tile", "part", F.col("members").alias("left"), "least", "most", F.explode(F.array("tile", F.col("tile") + 1)).alias("meets"), F.pmod("part", F.lit(salts)).cast("int").alias("salt"))
+    right = packed.select(F.col("tile").alias("meets"), F.col("part").alias("other"), F.col("members").alias("right"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    pairs = left.join(right, ["meets", "salt"]).where(((F.col("tile") != F.col("meets")) | (F.col("part") <= F.col("other"))) & (F.col("least") - F.col("most2") <= FINE_RADIUS) & (F.col("least2") - F.col("most") <= FINE_RADIUS))
     same = (F.col("tile") == F.col("meets")) & (F.col("part") == F.col("other"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,22 +325,32 @@ def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 def _exact_forest(left: list[tuple], right: list[tuple] | None, similarity: float) -> list[tuple[int, int]]:
     """Links between nodes (node, label, fingerprint, set) of two parts, or within one, whose sets are similar enough.
 
-    Candidates are compared nearest first; what shares a label, or is joined already, is not compared.
+    A node meets all candidates at once: the shingles it shares with each are counted in one pass over their sets. What
+    shares a label, or is joined already, is no candidate.
     """
     both = left + (right or [])
-    prints = np.stack([x[2] for x in both])
+    prints, size = np.stack([x[2] for x in both]), np.array([len(x[3]) for x in both])
     label = np.unique([x[1] for x in both], return_inverse=True)[1]
-    other, out = np.arange(len(left) if right else 0, len(both)), []
+    place = np.unique(np.concatenate([x[3] for x in both]), return_inverse=True)[1] if size.any() else np.zeros(0, np.int64)
+    ends = np.cumsum(size)
+    held, out = np.zeros(len(place), bool), []
     for i in range(len(left)):
-        away = other[(label[other] != label[i]) & ((other > i) | bool(right))]
-        bits = np.bitwise_count(prints[i] ^ prints[away]).sum(axis=1, dtype=np.int64)
-        open_ = away[bits <= FINE_RADIUS][np.argsort(bits[bits <= FINE_RADIUS], kind="stable")]
-        while len(open_ := open_[label[open_] != label[i]]):
-            if _similar(both[i][3], both[open_[0]][3], similarity):
-                out.append((both[i][0], both[open_[0]][0]))
-                _join(label, i, open_[0])
-            else:
-                open_ = open_[1:]
+        away = np.arange(len(left) if right else i + 1, len(both))
+        away = away[label[away] != label[i]]
+        away = away[np.bitwise_count(prints[i] ^ prints[away]).sum(axis=1, dtype=np.int64) <= FINE_RADIUS]
+        away = away[np.minimum(size[away], size[i]) >= similarity * np.maximum(size[away], size[i])]
+        if not len(away) or not size[i]:
+            continue
+        own = place[ends[i] - size[i] : ends[i]]
+        held[own] = True
+        counts = np.concatenate([[0], np.cumsum(held[place[ragged(ends[away] - size[away], size[away])]])])
+        held[own] = False
+        stop = np.cumsum(size[away])
+        common = counts[stop] - counts[stop - size[away]]
+        for j in away[common >= similarity * (size[i] + size[away] - common)]:
+            if label[i] != label[j]:
+                out.append((both[i][0], both[j][0]))
+                _join(label, i, j)
     return out
 
 
@@ -382,8 +397,12 @@ def similar_links(grouped: DataFrame, sets: DataFrame, similarity: float = NEAR_
         grouped.join(sets, "node").join(parts, "root").select("root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), member.alias("m"))
         .groupBy("root", "parts", "part").agg(F.collect_list("m").alias("left")), "parts"
     )
-    many = packed.where("parts > 1").drop("parts")
-    across = many.join(many.select("root", F.col("part").alias("other"), F.col("left").alias("right")), "root").where("part < other").select("left", "right")
+    # Parts of a large group meet in several tasks: one side is dealt out, the other goes to each.
+    salts = F.ceil(F.col("parts") / PARTS_A_TASK).cast("int")
+    many = packed.where("parts > 1").withColumn("salts", salts)
+    dealt = many.select("root", "part", "left", F.pmod("part", F.col("salts")).cast("int").alias("salt"))
+    everywhere = many.select("root", F.col("part").alias("other"), F.col("left").alias("right"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    across = dealt.join(everywhere, ["root", "salt"]).where("part < other").select("left", "right")
     pairs = packed.select("left", F.lit(None).cast(packed.schema["left"].dataType).alias("right")).union(across)
 
     def members(cell: pa.Scalar) -> list[tuple] | None:
@@ -419,6 +438,7 @@ def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY, words: int =
     grouped = materialize(nodes.join(components(edges), "node").drop("unknown"), "grouped")
     sets = materialize(shingle_sets(texts, grouped.select("node", "doc_id", "copy"), words), "sets")
     links_ = materialize(verified(edges, sets, similarity), "links")
+    drop_table(edges)
     roots = components(links_)
     labelled = grouped.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     torn = materialize(labelled.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("root"), "torn")
@@ -428,6 +448,8 @@ def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY, words: int =
     best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("unknown", "doc_id", "copy")).alias("own"))
     key_id, key_copy, mark = unused(docs, "keep_id", "keep_copy", "copy")
     best = materialize(best.select(F.col("own.doc_id").alias(key_id), F.col("own.copy").alias(key_copy)), "keep")
+    for done in (rows, nodes, grouped, sets, links_, torn):
+        drop_table(done)
     marked = docs.withColumn(mark, F.coalesce(F.xxhash64("text"), F.lit(0)))
     stay = marked.join(best, F.col("doc_id").eqNullSafe(best[key_id]) & (marked[mark] == best[key_copy]), "left_semi")
     return stay.dropDuplicates(["doc_id", mark]).select(*[column(c) for c in docs.columns])
