@@ -186,6 +186,7 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
         flat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(flat(score, float)), pa.array(flat(near, bool))], ["lang", "score", "near"])
 
+    nearest = nearest.asNondeterministic()  # so that a filter on what it gives does not evaluate it twice
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     own = unused(docs, "nearest")[0]
     known = letters & F.col(f"{own}.lang").isNotNull()
