@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, byte_set, column, lower_ascii, materialize, mixed, runs, text_pieces, unused, word_codes
+from .common import NON_SPACE, byte_set, column, drop_table, lower_ascii, materialize, mixed, runs, text_pieces, unused, word_codes
 
 #: Sentences and words of a span at least.
 SENTENCES, WORDS = 3, 25
@@ -145,10 +145,13 @@ def _spans(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """id, copy, spans (begin, n in words) that non-first places of repeated spans cover, and first_ids, one row a document."""
     spans = materialize(_spans(docs), "spans")
-    often = spans.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
+    # Written, so that a hash that very many places share is only a skewed side of a plain join, which Spark splits.
+    often = materialize(spans.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2"), "often")
     hits = materialize(spans.join(often, ["h1", "h2"], "left_semi"), "repeated")  # few of all
+    drop_table(spans)
+    drop_table(often)
     place = F.struct("id", "copy", "begin")
-    firsts = hits.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h1", "h2", "first")
+    firsts = materialize(hits.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h1", "h2", "first"), "firsts")
     first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.copy") == F.col("copy"))
     hit = hits.join(firsts, ["h1", "h2"]).where(~(first & (F.col("begin") < F.col("first.begin") + F.col("n"))))
     return hit.groupBy("id", "copy").agg(F.collect_set(F.struct("begin", "n")).alias("spans"), F.sort_array(F.collect_set("first.id")).alias("first_ids"))
@@ -198,6 +201,7 @@ def remove_repeats(docs: DataFrame, prefix: str = "") -> DataFrame:
         kinds = [pa.string(), pa.int32(), pa.list_(pa.struct([("begin", pa.int32()), ("n", pa.int32())]))]
         return pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip((out, gone, removed), kinds, strict=True)], ["text", "n_removed", "removed"])
 
+    without = without.asNondeterministic()  # so that a filter on what it gives does not evaluate it twice
     # Only marked texts go to Python.
     marked = F.when(F.col(spans).isNotNull(), F.col("text"))
     joined = keyed.join(marks, F.col(id_).eqNullSafe(F.col(mark_id)) & (F.col(copy) == F.col(mark_copy)), "left").withColumn(cut, without(marked, F.col(spans)))

@@ -295,7 +295,7 @@ def test_whole_removal_equals_brute_force(spark):
     places, texts = {}, {}
     for doc_id, text, *_ in data:
         spans, words = plain_spans(text)
-        found = substrings.Sentences(*byte_view(pa.array([text])))
+        found = substrings.Sentences(*byte_view(pa.array([text], pa.string())))
         assert {(int(found.first[a]), int(found.first[b] - found.first[a])) for a, b in zip(*found.spans(), strict=True)} == spans
         spans |= {(int(w), substrings.WORDS) for w in found.windows()}
         texts[doc_id] = (text, words)
