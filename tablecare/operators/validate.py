@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,7 +123,3 @@ def results(violations: DataFrame) -> DataFrame:
         (F.count_if(F.col("severity") == "error") == 0).alias("valid"), F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "warning").alias("n_warnings"),
         F.concat_ws(",", of("error")).alias("errors"), F.concat_ws(",", of("warning")).alias("warnings"), F.concat_ws(",", of("note")).alias("notes"),
     )
-
-
-def as_of(text: str) -> date:
-    return date.fromisoformat(text)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +76,3 @@ def dataset(dataset_id: str, dataset_type: str, raw_paths: list[str], **more: st
     if kind != "clinical_trial" or not raw_paths:
         raise ValueError("a clinical dataset with at least one path is wanted")
     return {"dataset_id": dataset_id, "dataset_type": kind, "raw_paths": list(raw_paths), **more}
-
-
-def describe(descriptor: dict) -> str:
-    return json.dumps(descriptor, sort_keys=True)
