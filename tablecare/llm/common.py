@@ -5,9 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import re
-import tempfile
-import uuid
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import fresh_path, materialize  # noqa: F401  for the operators
+
 #: Text is worked on in pieces of about this many bytes, so that memory does not follow the batch.
 CHUNK_BYTES = 1 << 20
 #: Rows and bytes of a batch that goes to Python: what either side of the pipe holds, unless a single row is longer.
@@ -53,23 +52,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
-
-    Where neither is set, a local session (tests) gets a folder of its own; a cluster must name one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not own.isDefined():
-            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-            own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = own.get()
-    return folder.rstrip("/")
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until no column of df is called so."""
     taken = {c.lower() for c in df.columns}
@@ -95,17 +77,6 @@ def column(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: later steps start from it, also after lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by materialize() that nothing needs any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
