@@ -39,6 +39,8 @@ NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 FINE_PARTS, FINE_FIRST, FINE_RADIUS = 4, 24, 72
 #: Texts compared at a time, and bytes of their sets on average.
 PART_TEXTS, PART_BYTES = 256, 4 << 20
+#: Groups whose table is broadcast at most.
+FEW_GROUPS = 100_000
 #: Parts of a group, and rows of a tile, that one task compares with all others.
 PARTS_A_TASK, ROWS_A_TASK = 2, 16
 #: Near pairs that a task holds before it keeps a forest of them.
@@ -384,17 +386,16 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float = NEAR_SIMILAR
     return edges.join(a, "low").join(b, "high").select("low", "high", "low_set", "high_set").mapInArrow(work, "low long, high long")
 
 
-def similar_links(grouped: DataFrame, sets: DataFrame, similarity: float = NEAR_SIMILARITY, part_texts: int = PART_TEXTS, part_bytes: int = PART_BYTES) -> DataFrame:
+def similar_links(grouped: DataFrame, sets: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """low, high: links that join what is similar enough within proposed groups but not linked yet.
 
-    grouped has node, size, root (the group), label (what is linked already) and p0, p1, ... of each node. Groups are cut
-    into parts of bounded size that meet two by two.
+    grouped has node, root (the group), parts (how many it is cut into), label (what is linked already) and p0, p1, ... of
+    each node. The parts of a group meet two by two.
     """
     names = [f"p{i}" for i in range(FINE_PARTS)]
-    parts = grouped.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / part_texts), F.ceil(F.sum("size") * 8 / part_bytes)).alias("parts"))
     member = F.struct("node", "label", F.array(*names).alias("print"), "set")
     packed = materialize(
-        grouped.join(sets, "node").join(parts, "root").select("root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), member.alias("m"))
+        grouped.join(sets, "node").select("root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), member.alias("m"))
         .groupBy("root", "parts", "part").agg(F.collect_list("m").alias("left")), "parts"
     )
     # Parts of a large group meet in several tasks: one side is dealt out, the other goes to each.
@@ -441,9 +442,13 @@ def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY, words: int =
     drop_table(edges)
     roots = components(links_)
     labelled = grouped.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    torn = materialize(labelled.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("root"), "torn")
-    if not torn.isEmpty():
-        more = materialize(similar_links(labelled.join(torn, "root", "left_semi"), sets, similarity, part_texts), "more")
+    # Groups in several parts, and how many a comparison cuts them into by number and bytes.
+    cut = F.greatest(F.ceil(F.count("*") / part_texts), F.ceil(F.sum("size") * 8 / PART_BYTES)).alias("parts")
+    torn = materialize(labelled.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b"), cut).where("a < b").select("root", "parts"), "torn")
+    if n_torn := torn.count():
+        # A small table (16 bytes a row) goes to every task, so that a large group's rows need not meet in one.
+        few = F.broadcast(torn) if n_torn <= FEW_GROUPS else torn
+        more = materialize(similar_links(labelled.join(few, "root"), sets, similarity), "more")
         roots = components(links_.union(more))
     best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("unknown", "doc_id", "copy")).alias("own"))
     key_id, key_copy, mark = unused(docs, "keep_id", "keep_copy", "copy")
