@@ -49,4 +49,4 @@ def frame(spark, data=None, clash: bool = False):
 def same_columns(before, after) -> bool:
     """Whether the user's columns of rows that are left hold what they held; both frames come from frame(clash=True)."""
     own = [c for c in CLASHES if c in after.columns]
-    return after.columns[: len(before.columns)] == before.columns and all(getattr(r, c) == (f"mine-{r.doc_id}-{c}" if r.doc_id is not None else None) for r in after.collect() for c in own)
+    return after.columns[: len(before.columns)] == before.columns and all(r[c] == (f"mine-{r.doc_id}-{c}" if r.doc_id is not None else None) for r in after.collect() for c in own)
