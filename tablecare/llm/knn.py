@@ -75,9 +75,13 @@ class Tree:
             if node in self.leaves:
                 self.visited += 1
                 rows = self.rows[node]
-                with np.errstate(over="ignore", invalid="ignore"):
+                if error:
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        got = self.leaves[node] @ query
+                        near = ~(got + error < least) & (self.ids[rows] != own)  # what overflows is near
+                else:
                     got = self.leaves[node] @ query
-                    near = ~(got + error < least) & (self.ids[rows] != own)  # what overflows is near
+                    near = (got >= least) & (self.ids[rows] != own)
                 if near.any():
                     new = got[near]
                     if error:
@@ -92,7 +96,7 @@ class Tree:
                 for child in (2 * node + 1, 2 * node + 2):
                     if reach[child] >= least:
                         heappush(heap, (-reach[child], child))
-        return ids, [int(x) for x in scores]
+        return ids, [int(x) for x in scores] if error else scores.astype(np.int64).tolist()
 
 
 def _below(score) -> float:
@@ -243,7 +247,8 @@ def _search(data: DataFrame, is_query, dims: int, n: int, k: int, shard_rows: in
         return own.join(keys, ["cell", "salt"]).groupBy("cell", "salt", "block").cogroup(wanted.groupBy("cell", "salt", "block")).applyInArrow(descend, OWN_HITS)
 
     def descend(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[pa.Table] = [_hits(np.zeros(0, np.int64), np.zeros(0, np.int64), [])]
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        values: list[int] = []
         if left.num_rows and right.num_rows:
             x, q = matrix(left["v"], float), matrix(right["q"], float)
             tree = Tree(x, left["vec_id"].to_numpy())
@@ -252,8 +257,9 @@ def _search(data: DataFrame, is_query, dims: int, n: int, k: int, shard_rows: in
                 reach = tree.bounds(q[first : first + 1024])
                 for i in range(len(reach)):
                     got, scores = tree.search(q[first + i], ids[first + i], reach[i], k, least[first + i])
-                    out.append(_hits(np.full(len(got), ids[first + i]), got, scores))
-        return pa.concat_tables(out)
+                    found.append((np.full(len(got), ids[first + i]), got))
+                    values += scores
+        return _hits(*map(np.concatenate, zip(*found, strict=True)), values)
 
     def under(name: str):
         """A double that is not above a long, of which doubles hold 53 bits."""
