@@ -61,6 +61,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self._set_up(slots)
+
+    def _set_up(self, slots: int) -> None:
         self.at_once = min(PIECES_AT_ONCE, slots // 4)  # so that a call's new pieces always have room
         self.slots, self.shift = slots, np.uint64(64 - (slots.bit_length() - 1))
         self._clear()
@@ -165,14 +168,21 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another without the end id, and the rows' offsets in them."""
+        return self._rows(data, offsets)
+
+    def _cuts(self, data: np.ndarray) -> np.ndarray:
+        """Whether each place after the first may begin a piece."""
+        kind = _KIND[data]
+        cut = ((kind[1:] == 1) & (kind[:-1] != 1)) | ((kind[1:] == 3) & (kind[:-1] == 2))
+        after = _after_other_space(data)
+        cut[after[after < len(data)] - 1] = False
+        return cut
+
+    def _rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, size = len(offsets) - 1, len(data)
         if not size:
             return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
-        kind = _KIND[data]
-        cut = np.zeros(size, bool)
-        cut[1:] = ((kind[1:] == 1) & (kind[:-1] != 1)) | ((kind[1:] == 3) & (kind[:-1] == 2))
-        after = _after_other_space(data)
-        cut[after[after < size]] = False
+        cut = np.append(True, self._cuts(data))
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], size)

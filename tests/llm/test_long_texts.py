@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablecare.llm import langid, licenses, lm, mixing, packing, simhash, substrings, token_files
+from tablecare.llm import langid, licenses, lm, mixing, packing, pieces, runs, simhash, substrings, token_files, variants
 from tablecare.llm.queries import tokenizer_path
 
 from .support import SCHEMA, prose
@@ -58,3 +58,13 @@ def test_near_copies_and_passages(docs):
 def test_mixing(docs):
     got = mixing.mix(docs).where("doc_id = 99").agg(F.min("tokens")).first()[0]
     assert got > 1_000_000
+
+
+def test_runs_words_and_pieces(docs):
+    text = "concat(text, repeat(' tick tock', 100000))"
+    r = long_row(runs.find(docs.selectExpr("doc_id", f"{text} AS text")))
+    assert (r.runs[-1].length, r.runs[-1].period) == (200_000, 2) and r.collapsed.endswith(" tick tock") and r.n_words > 1_000_000
+    assert variants.words(docs.where("doc_id = 99"), 6).count() > 500_000
+    model = tokenizer_path("piece_bpe_32k.model")
+    r = pieces.decode(pieces.encode(docs, model), model).where("doc_id = 99").selectExpr("size(ids) AS n", "decoded = text AS same").first()
+    assert r.n > 1_000_000 and r.same
