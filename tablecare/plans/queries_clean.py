@@ -350,6 +350,42 @@ def src04_many_paths(spark, sf_dir):
     return files.read_table(spark, wanted["raw_paths"], separator=",", row_id=False)
 
 
+PARTNERS = """WITH partners AS (
+  SELECT 0 AS place, n_nationkey AS number, n_name AS name, n_nationkey AS nation FROM nation
+  UNION ALL SELECT 1, c_custkey, c_name, c_nationkey FROM customer
+  UNION ALL SELECT 2, s_suppkey, s_name, s_nationkey FROM supplier),
+numbered AS (SELECT row_number() OVER (ORDER BY place, number) - 1 AS row_id, CAST(number AS VARCHAR) AS number, name, CAST(nation AS VARCHAR) AS nation FROM partners)
+"""
+
+
+def _partners(spark, sf_dir):
+    """Nations, customers and suppliers in files of very unequal size, read as one table in this order."""
+    paths = []
+    for kind, key in (("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        df = spark.read.parquet(f"{sf_dir}/{kind}.parquet")
+        paths.append(fresh_path(spark, kind))
+        files.write_csv(df.select(F.col(key).alias("number"), F.col(f"{key[0]}_name").alias("name"), F.col(f"{key[0]}_nationkey").alias("nation")).orderBy("number"), paths[-1])
+    return files.read_table(spark, paths, separator=",").withColumnRenamed(files.ROW_ID, "row_id").select("row_id", "number", "name", "nation")
+
+
+@query(PARTNERS + "SELECT * FROM numbered")
+def src04_row_order(spark, sf_dir):
+    """Rows of several paths are numbered from 0 in the order of the paths."""
+    return _partners(spark, sf_dir)
+
+
+@query(PARTNERS + "SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY nation ORDER BY row_id) = 1")
+def src04_keep_first(spark, sf_dir):
+    """Of rows of one nation the first in the order of the paths stays."""
+    return clean.drop_duplicates(_partners(spark, sf_dir), ["nation"])[0]
+
+
+@query(PARTNERS + "SELECT row_id, number, name, nation FROM numbered WHERE row_id < 30")
+def src07_head_of_files(spark, sf_dir):
+    """The first thirty rows: all nations, then the first customers."""
+    return files.head(_partners(spark, sf_dir), 30, order_by="row_id")
+
+
 @query(" UNION ALL ".join(f"SELECT '{kind}' AS format, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, count(o.o_orderkey) AS orders FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders o ON o_custkey = c_custkey GROUP BY ALL" for kind in ("csv", "json", "parquet", "tsv")))
 def src05_formats(spark, sf_dir):
     """Orders by nation, written in each format that is read by its ending, and loaded again."""

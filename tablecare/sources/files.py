@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import normalize_nulls
+from .ordering import number_rows
 
 ROW_ID = "_row_id"
 #: Separators by file ending.
@@ -15,7 +16,8 @@ ENDINGS = {".csv": ",", ".txt": ",", ".tsv": "\t"}
 def read_table(spark: SparkSession, paths: str | list[str], separator: str | None = None, multi_line: bool = False, row_id: bool = True) -> DataFrame:
     """Delimited files (all paths) with a header, every cell text, null tokens null; JSON and parquet by their ending.
 
-    Short rows are padded with missing cells, long ones cut, blank lines skipped. `_row_id` ascends in file order.
+    Short rows are padded with missing cells, long ones cut, blank lines skipped. `_row_id` counts the rows from 0, in the
+    order of the paths, of the names of files in a folder, and of each file; for it the files are read once to be counted.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
@@ -27,15 +29,11 @@ def read_table(spark: SparkSession, paths: str | list[str], separator: str | Non
         df = spark.read.parquet(*paths)
     elif separator or ending in ENDINGS:
         df = spark.read.csv(paths, header=True, sep=separator or ENDINGS[ending], quote='"', escape='"', inferSchema=False, mode="PERMISSIVE", multiLine=multi_line)
-        df = normalize_nulls(df)
     else:
         raise ValueError(f"no reader for {ending}")
-    return with_row_id(df) if row_id else df
-
-
-def with_row_id(df: DataFrame) -> DataFrame:
-    """A number that ascends with the rows of each file; files in the order Spark reads them."""
-    return df.withColumn(ROW_ID, F.monotonically_increasing_id())
+    text = ending not in (".json", ".parquet")
+    df = number_rows(df, paths, ROW_ID, "parquet" if ending == ".parquet" else "text") if row_id else df
+    return normalize_nulls(df) if text else df
 
 
 def preview(df: DataFrame, rows: int = 5, order_by: str = ROW_ID) -> DataFrame:
