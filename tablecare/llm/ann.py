@@ -45,7 +45,8 @@ def estimate(code: np.ndarray, length: np.ndarray, align: np.ndarray, queries: n
     dims = queries.shape[1]
     turned = queries @ turn.T
     signs = np.unpackbits(code, axis=1, count=dims).astype(np.float32) * 2 - 1
-    raw = turned.astype(np.float32) @ signs.T / np.sqrt(dims)
+    scale = np.maximum(np.abs(turned).max(axis=1, initial=0), np.finfo(float).tiny)[:, None]  # so that single precision holds any query
+    raw = ((turned / scale).astype(np.float32) @ signs.T).astype(float) * scale / np.sqrt(dims)
     guess = (queries @ centre)[:, None] + raw / align * length
     spread = np.sqrt(np.maximum(0, 1 - align**2)) / align * length / np.sqrt(max(dims - 1, 1))
     return guess, width * np.linalg.norm(queries, axis=1)[:, None] * spread + 1e-6 * np.abs(guess)
@@ -118,15 +119,20 @@ def search(vectors: DataFrame, k: int = 20, is_query=None, shard_rows: int = SHA
                 guess, more = estimate(code, length, align, q[first : first + 256], centre, turn, width)
                 for i in range(len(guess)):
                     query, other = q[first + i], ids != query_ids[first + i]
-                    like, kth = np.where(other, guess[i], -np.inf), least[first + i]
-                    if len(like) > k:  # the k that seem nearest here bound the kth too
-                        some = np.argpartition(-like, k - 1)[:k]
-                        if other[some].all():
-                            kth = max(kth, (x[some] @ query).min())
-                    some = np.flatnonzero(other & (like + more[i] >= kth))
-                    exact = x[some] @ query
-                    at = top(exact, ids[some], k)
-                    out.append((np.full(len(at), query_ids[first + i]), ids[some[at]], exact[at]))
+                    upper = np.where(other, np.nan_to_num(guess[i] + more[i], nan=np.inf, posinf=np.inf, neginf=-np.inf), -np.inf)
+                    # Highest bound first: the kth score rises with every group, and ends the search.
+                    order, at, group, kth = np.argsort(-upper, kind="stable")[: int(other.sum())], 0, 4 * k, least[first + i]
+                    best_ids, best_scores = np.zeros(0, np.int64), np.zeros(0)
+                    while at < len(order) and not upper[order[at]] < kth:
+                        some = order[at : at + group]
+                        some = some[~(upper[some] < kth)]
+                        best_ids, best_scores = np.concatenate([best_ids, ids[some]]), np.concatenate([best_scores, x[some] @ query])
+                        keep = top(best_scores, best_ids, k)
+                        best_ids, best_scores = best_ids[keep], best_scores[keep]
+                        if len(best_ids) == k:
+                            kth = max(kth, best_scores[-1])
+                        at, group = at + group, 2 * group
+                    out.append((np.full(len(best_ids), query_ids[first + i]), best_ids, best_scores))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     def visit(aimed: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ from .vectors import BLOCK_QUERIES, SHARD_ROWS, finite, matrix, top
 
 #: Vectors in a leaf, rows that the coarse tree is fitted on, and its cells at most.
 LEAF_ROWS, FIT_ROWS, MOST_CELLS = 64, 20_000, 1024
+#: Queries that go through a tree together.
+QUERIES_AT_ONCE = 8192
 #: Components times SCALE are floored.
 SCALE = 64
 #: Hits of a shard: `more` orders scores that a long does not hold (their whole value in bytes, offset to be above zero).
@@ -98,6 +100,47 @@ class Tree:
                         heappush(heap, (-reach[child], child))
         return ids, [int(x) for x in scores] if error else scores.astype(np.int64).tolist()
 
+    def exact(self, queries: np.ndarray) -> np.ndarray:
+        """Whether all sums with a query are whole numbers that doubles hold."""
+        with np.errstate(over="ignore"):
+            return self.most * np.abs(queries).max(axis=1, initial=0) * max(1, queries.shape[1]) < 2.0**53
+
+    def search_many(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of the query, id, score) of what search() gives, for queries that are exact, all together.
+
+        In each round every query that is live goes to the leaf with its next best bound; a leaf meets all that come to
+        it in one matrix product, and the kth scores that follow decide who is live in the next round.
+        """
+        leaves = np.array(sorted(self.leaves))
+        reach = bounds(queries, self.low[leaves], self.high[leaves])
+        order = np.argsort(-reach, axis=1, kind="stable")
+        ids, scores = np.full((len(queries), k), _MOST), np.full((len(queries), k), -np.inf)
+        kth, live = least.astype(float), np.arange(len(queries))
+        for turn in range(len(leaves)):
+            aim = order[live, turn]
+            near = reach[live, aim] >= kth[live]
+            live, aim = live[near], aim[near]
+            if not len(live):
+                break
+            by = np.argsort(aim, kind="stable")
+            cuts = np.flatnonzero(np.diff(aim[by])) + 1
+            for some in np.split(live[by], cuts):
+                leaf = leaves[order[some[0], turn]]
+                self.visited += len(some)
+                here = self.ids[self.rows[leaf]]
+                got = queries[some] @ self.leaves[leaf].T
+                got[own[some][:, None] == here] = -np.inf
+                hit = (got >= kth[some][:, None]).any(axis=1)
+                some, got = some[hit], got[hit]
+                if len(some):
+                    all_scores = np.concatenate([scores[some], got], 1)
+                    all_ids = np.concatenate([ids[some], np.broadcast_to(here, got.shape)], 1)
+                    at = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+                    ids[some], scores[some] = np.take_along_axis(all_ids, at, 1), np.take_along_axis(all_scores, at, 1)
+                    kth[some] = np.maximum(kth[some], scores[some, -1])
+        row, place = np.nonzero(scores >= np.maximum(least[:, None], -np.finfo(float).max))
+        return row, ids[row, place], scores[row, place].astype(np.int64)
+
 
 def _below(score) -> float:
     """A double that is not above a whole number."""
@@ -253,18 +296,22 @@ def _search(data: DataFrame, is_query, dims: int, n: int, k: int, shard_rows: in
             x, q = matrix(left["v"], float), matrix(right["q"], float)
             tree = Tree(x, left["vec_id"].to_numpy())
             ids, least = right["query_id"].to_numpy(), right["least"].to_numpy()
-            for first in range(0, len(q), 1024):
-                reach = tree.bounds(q[first : first + 1024])
-                for i in range(len(reach)):
-                    got, scores = tree.search(q[first + i], ids[first + i], reach[i], k, least[first + i])
-                    found.append((np.full(len(got), ids[first + i]), got))
-                    values += scores
+            whole = tree.exact(q)
+            for first in range(0, len(q), QUERIES_AT_ONCE):
+                some = first + np.flatnonzero(whole[first : first + QUERIES_AT_ONCE])
+                row, got, scores = tree.search_many(q[some], ids[some], k, least[some])
+                found.append((ids[some[row]], got))
+                values += scores.tolist()
+            for i in np.flatnonzero(~whole):
+                got, scores = tree.search(q[i], ids[i], tree.bounds(q[i : i + 1])[0], k, least[i])
+                found.append((np.full(len(got), ids[i]), got))
+                values += scores
         return _hits(*map(np.concatenate, zip(*found, strict=True)), values)
 
     def under(name: str):
-        """A double that is not above a long, of which doubles hold 53 bits."""
+        """A double that is not above a score held as a long: doubles hold 53 bits, and the least long stands for all below it too."""
         x = F.col(name).cast("double")
-        return F.when(F.abs(x) < 2.0**53, x).otherwise(x - F.abs(x) * 2.0**-52)
+        return F.when(F.abs(x) < 2.0**53, x).when(F.col(name) > -_MOST - 1, x - F.abs(x) * 2.0**-52)
 
     begun = materialize(visit(queries.mapInArrow(aim(True), aimed)), "begun")
     kth = begun.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))

@@ -277,11 +277,29 @@ def detect(text: str, gated: bool = True) -> list[Detection]:
     automaton, by_keyword, _ = _gates()
     tried = sorted({i for k in {k for _, k in automaton.iter(text)} for i in by_keyword[k]}) if gated else range(len(rules()))
     found = [Detection(r.label, m.start(), m.end(), r.confidence, r.priority) for i in tried for r in [rules()[i]] for m in r.pattern.finditer(text)]
-    kept: list[Detection] = []
-    for d in sorted(set(found), key=lambda d: (d.priority, d.start - d.end, d.start, d.label)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
+    return sorted(_not_contained(sorted(set(found), key=lambda d: (d.priority, d.start - d.end, d.start, d.label))), key=lambda d: (d.start, d.end, d.label))
+
+
+def _not_contained(ranked: list[Detection]) -> list[Detection]:
+    """Detections that no kept one before them contains.
+
+    One contains d if, of those that start at d's start or before, the furthest end is not before d's. A binary indexed
+    tree over starts holds the furthest ends, so n detections take n log n steps.
+    """
+    place = {start: i + 1 for i, start in enumerate(sorted({d.start for d in ranked}))}
+    furthest, kept = [-1] * (len(place) + 1), []
+    for d in ranked:
+        i, end = place[d.start], -1
+        while i:
+            end = max(end, furthest[i])
+            i &= i - 1
+        if end < d.end:
             kept.append(d)
-    return sorted(kept, key=lambda d: (d.start, d.end, d.label))
+            i = place[d.start]
+            while i < len(furthest):
+                furthest[i] = max(furthest[i], d.end)
+                i += i & -i
+    return kept
 
 
 def phrase_places(text: str, phrases: dict[str, str] = PHRASES) -> list[tuple[int, str]]:

@@ -28,8 +28,6 @@ CAPACITY, ROUNDS, STEP = 2048, 400, 0.25
 CLASSES, FILLER = 128, 1 / 8
 #: Shares of the program's sequences, the emptiest, that are packed again with what it leaves.
 REPACKED = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4)
-#: Plans count as equal that need at most this share of sequences more than the best one.
-EQUAL = 1e-4
 #: Groups that pieces of one length are ranked in: a length may hold a third of all pieces.
 RANK_BUCKETS, ROWS_A_BUCKET = 256, 100_000
 
@@ -174,16 +172,15 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
     """([(length -> how many, how many sequences like this)] that together hold the histogram exactly, pieces placed by the program).
 
     Best fit places what the program leaves, together with the emptiest of the program's sequences. Of the shares tried,
-    and best fit alone, the one with the fewest sequences in all stands, and of equals (to EQUAL) the one with the most
-    pieces placed by the program.
+    and best fit alone, the one with the fewest sequences in all stands, and of equals the one with the most pieces placed
+    by the program.
     """
     lengths = np.array(sorted(histogram), np.int64)
     supply = np.array([histogram[int(n)] for n in lengths], np.int64)
     columns, left = program(lengths, supply, capacity, rounds, step) if len(lengths) else ([], supply)
     plans = [(best_fit(lengths, supply, capacity), 0)]
     plans += [_repacked(lengths, columns, left, capacity, share) for share in REPACKED]
-    fewest = min(sum(n for _, n in p[0]) for p in plans)
-    best, placed = max((p for p in plans if sum(n for _, n in p[0]) <= fewest * (1 + EQUAL)), key=lambda p: (p[1], -sum(n for _, n in p[0])))
+    best, placed = min(plans, key=lambda p: (sum(n for _, n in p[0]), -p[1]))
     return [({int(lengths[i]): int(c[i]) for i in np.flatnonzero(c)}, n) for c, n in best], placed
 
 

@@ -1,6 +1,7 @@
 """One text of 20 MB through every operator on texts."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +69,12 @@ def test_runs_words_and_pieces(docs):
     model = tokenizer_path("piece_bpe_32k.model")
     r = pieces.decode(pieces.encode(docs, model), model).where("doc_id = 99").selectExpr("size(ids) AS n", "decoded = text AS same").first()
     assert r.n > 1_000_000 and r.same
+
+
+def test_a_long_text_of_short_notices(spark):
+    """Some 600,000 detections in one text."""
+    n = 600_000
+    df = spark.range(1).selectExpr("id AS doc_id", f"repeat('mit license, apache-2.0; ', {n}) AS text")
+    began = time.time()
+    r = licenses.scan(df).selectExpr("n_base", "size(detections) AS n", "labels").first()
+    assert r.n_base == n and r.n >= n and "mit" in r.labels and time.time() - began < 60

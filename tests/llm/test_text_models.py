@@ -431,3 +431,14 @@ def test_mixing(spark, limit, entropy, total):
 
 def test_mixing_of_nothing(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
+
+
+def test_contained_detections_are_found_in_n_log_n():
+    rng = random.Random(2)
+    for _ in range(300):
+        ranked = [licenses.Detection("x", a := rng.randint(0, 12), a + rng.randint(1, 6), 1.0, 0) for _ in range(rng.randint(0, 25))]
+        kept = []
+        for d in ranked:
+            if not any(k.start <= d.start and d.end <= k.end for k in kept):
+                kept.append(d)
+        assert licenses._not_contained(ranked) == kept

@@ -111,3 +111,40 @@ def test_exact_arithmetic_for_large_components(spark):
             found = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in whole if i != qi)[:5]
             want += [(qi, n + 1, i, -s) for n, (s, i) in enumerate(found)]
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_scores_below_the_least_long(spark):
+    """Every product of the query lies below -2^63: the whole values still decide, in every shard."""
+    rng = random.Random(5)
+    data = [(0, [-1e10] * 4, 1)] + [(i, [1e10 * (1 + rng.random()) for _ in range(4)], 1) for i in range(1, 300)]
+    want = None
+    for shard in (4096, 64):
+        got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in knn.search(spark.createDataFrame(data, SCHEMA), 20, shard_rows=shard).collect())
+        want = want or sorted(brute(data, 20, True))
+        assert got == want
+
+
+def test_queries_near_the_float_maximum_find_all(spark):
+    data = [(0, [3.3e38] * 16, 1), (20, [-3.3e38] * 16, 1)] + [(i, [random.Random(i).gauss(0, 1) for _ in range(16)], 1) for i in range(1, 200) if i % 20]
+    for shard in (4096, 32):
+        got = ann.search(spark.createDataFrame(data, SCHEMA), 20, shard_rows=shard).collect()
+        want = {(q, v) for q, _, v, _ in brute(data, 20, False)}
+        assert len(got) == 40 and len({(r.query_id, r.vec_id) for r in got} & want) >= 38
+
+
+def test_queries_together_equal_one_by_one():
+    rng = np.random.default_rng(3)
+    centres = 64 * 8 * rng.standard_normal((40, 3))
+    x = np.floor(centres[rng.integers(0, 40, 3000)] + 64 * 0.2 * rng.standard_normal((3000, 3)))
+    tree, ids = knn.Tree(x, np.arange(3000) // 2), np.arange(200)
+    q, least = x[:200], np.where(np.arange(200) % 3, -np.inf, 1e5)
+    assert tree.exact(q).all()
+    row, got, scores = tree.search_many(q, ids, 7, least)
+    together = {}
+    for r, i, s in zip(row.tolist(), got.tolist(), scores.tolist(), strict=True):
+        together.setdefault(r, []).append((-s, i))
+    many, tree.visited = tree.visited, 0
+    for i in range(200):
+        one = tree.search(q[i], ids[i], tree.bounds(q[i : i + 1])[0], 7, least[i])
+        assert sorted(together.get(i, [])) == sorted((-s, v) for v, s in zip(*one, strict=True))
+    assert many == tree.visited < 0.7 * 200 * len(tree.leaves)
