@@ -17,6 +17,17 @@ DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd.MM.yyyy")
 LEVELS = ((0.95, "excellent"), (0.80, "good"), (0.60, "fair"))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df is called so: for columns of our own beside a user's."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def kind(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 
@@ -77,6 +88,32 @@ def text(df: DataFrame, columns: list[str]) -> list[Column]:
     return [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
 
 
+def cell_hashes(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Two 64-bit hashes of a row's cells: rows alike in them as text have the same, others hardly ever.
+
+    Hashes are of the cells themselves, null as empty, and share no expression with their text: the optimizer would note
+    every way of writing one with the other, which doubles with each column.
+    """
+
+    def cell(c: str) -> Column:
+        if isinstance(kind(df, c), T.StringType):
+            return F.nullif(F.col(f"`{c}`"), F.lit(""))
+        return F.col(f"`{c}`") if isinstance(kind(df, c), (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) else F.to_json(F.struct(F.col(f"`{c}`")))
+
+    return [F.xxhash64(F.lit(seed), *map(cell, columns)) for seed in (1, 2)]
+
+
+def maybe_repeated(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose hashes of the given cells occur more than once: all rows with an equal one, and hardly any other.
+
+    Only hashes are shuffled, counted before they are; rows then meet the few hashes that occur often.
+    """
+    one, two = free(df, "_hash1", "_hash2")
+    marked = df.withColumns(dict(zip((one, two), cell_hashes(df, columns), strict=True)))
+    often = marked.groupBy(one, two).agg(F.count("*").alias("n")).where("n > 1").select(one, two)
+    return marked.join(often, [one, two], "left_semi").drop(one, two)
+
+
 def level(score: Column) -> Column:
     chain = reduce(lambda c, x: c.when(score >= x[0], x[1]), LEVELS[1:], F.when(score >= LEVELS[0][0], LEVELS[0][1]))
     return chain.otherwise("poor")

@@ -6,8 +6,11 @@ from dataclasses import dataclass, field
 from math import ceil, nextafter
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 #: Share of the rows on either side of a quantile that the first look leaves open, and counted values that end the search.
 WINDOW, FEW_VALUES = 2e-4, 20_000
 #: Accuracy of the sketches that open windows: an error in rank of one row in so many.
@@ -17,13 +20,42 @@ ACCURACY = 20_000
 def quantile(expression: str, p: float, exact: bool = True, accuracy: int = 10_000) -> Column:
     """The p-quantile that averages the two neighbours where n * p is whole (type 2), or an approximate one.
 
-    As an exact aggregate it holds all distinct values of a group: for groups of bounded size. `quantiles` has no bound.
+    As an exact aggregate it holds all distinct values of a group: for groups of bounded size. `group_quantiles` and `quantiles` have no bound.
     """
     if not exact:
         return F.expr(f"approx_percentile({expression}, {p}, {accuracy})")
     return F.expr(f"(percentile_disc({p}) WITHIN GROUP (ORDER BY {expression}) + percentile_disc({1 - p}) WITHIN GROUP (ORDER BY {expression} DESC)) / 2")
 
 
+def group_quantiles(df: DataFrame, keys: list[str], value: Column, ps: tuple[float, ...]) -> DataFrame:
+    """keys, n, q0, q1, ...: how many numbers each group has and their p-quantiles (type 2), exact, for groups of any size.
+
+    All groups are ranked together: counts of (key, number) are range-partitioned, each partition's totals are summed up
+    key by key, and running counts within a partition then tell which numbers stand at the wanted ranks. A group that
+    fills many partitions is many tasks' work; a task holds one partition's counts at most. Null is a key like others;
+    groups without a number have no row.
+    """
+    spark = df.sparkSession
+    own = [f"k{i}" for i in range(len(keys))]
+    cells = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keys, own, strict=True)], value.alias("v")).where("v IS NOT NULL")
+    counts = cells.groupBy(*own, "v").agg(F.count("*").alias("c"))
+    ranged = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *own, "v")
+    ranged = materialize(ranged.withColumn("part", F.spark_partition_id()), "ranges")
+    of_key, so_far = W.partitionBy(*own), lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy("part", *own).agg(F.sum("c").alias("held"))
+    totals = totals.withColumns({"before": F.coalesce(F.sum("held").over(so_far(of_key.orderBy("part"))), F.lit(0)), "n": F.sum("held").over(of_key)}).drop("held")
+    totals = totals.select(*[F.col(c).alias(f"{c}_") for c in ("part", *own)], "before", "n")
+    met = ranged.join(totals, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("part", *own)])
+    first = F.col("before") + F.coalesce(F.sum("c").over(so_far(W.partitionBy("part", *own).orderBy("v"))), F.lit(0))
+    met = met.withColumn("first", first).withColumn("last", F.col("first") + F.col("c"))
+    at = lambda rank: (F.col("first") < rank) & (rank <= F.col("last"))
+    ranks = [(F.ceil(F.col("n") * p), F.col("n") + 1 - F.ceil(F.col("n") * (1 - p))) for p in ps]
+    wanted = [F.when(at(r), F.col("v")).alias(f"{side}{i}") for i, pair in enumerate(ranks) for side, r in zip("lh", pair, strict=True)]
+    hits = met.select(*own, "n", *wanted).where(F.coalesce(*[f"{side}{i}" for i in range(len(ps)) for side in "lh"]).isNotNull())
+    found = hits.groupBy(*own).agg(F.max("n").alias("n"), *[((F.max(f"l{i}") + F.max(f"h{i}")) / 2).alias(f"q{i}") for i in range(len(ps))])
+    return found.select(*[F.col(k).alias(c) for k, c in zip(own, keys, strict=True)], "n", *[f"q{i}" for i in range(len(ps))])
+
+
 @dataclass
 class _Search:
     """The value at one rank of one column: below `low` are `before` rows; the value is in [low, high]."""

@@ -8,59 +8,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranges as R
-from ..functions.cells import date_of, first_present, missing, number, parse_date, text
+from ..functions.cells import date_of, first_present, free, maybe_repeated, missing, number, parse_date, text
 from ..functions.stats import quantiles
 from ..functions.storage import materialize
-from .issues import gap_statistics
+from .gaps import Gaps, held
 from .profile import data_columns, numeric_columns
 from .quality import fences
 
-#: Columns decided between two writes of a table whose gaps are handled in sequence.
-WRITE_EVERY = 4
 LINEAGE = "record_id string, row_id long, field string, original_value string, new_value string, operation string, evidence_id string"
 
 
-def _names(columns: list[str]) -> list[Column]:
-    return [F.col(f"_k{i}") for i in range(len(columns))]
+def duplicate_rows(df: DataFrame, columns: list[str], keep: str = "first", order_by: str = "row_id") -> DataFrame:
+    """Row numbers of the rows that go: all of each combination of cells (as text, null as empty) but the first, last or most complete.
 
+    Rows that may have an equal are found by hashes of their cells; these alone are grouped by the cells themselves, with
+    partial results, so that a combination that many rows share never meets in one task. order_by tells rows apart: it
+    must be unique, and a null in a row with an equal is an error.
+    """
+    some, number_ = maybe_repeated(df, columns), F.col(order_by).alias("number")
+    gaps = sum([missing(df, c).cast("int") for c in data_columns(df, order_by)], F.lit(0)) if keep == "complete" else F.lit(0)
+    keys = [f"k{i}" for i in range(len(columns))]
+    keyed = some.select(number_, gaps.alias("gaps"), *[c.alias(k) for c, k in zip(text(df, columns), keys, strict=True)])
+    best = {"first": F.min("number"), "last": F.max("number"), "complete": F.min(F.struct("gaps", "number"))["number"]}[keep]
+    error = F.raise_error(f"a row without a {order_by} has an equal: rows must be numbered").cast(df.schema[order_by].dataType)
+    stay = keyed.groupBy(*keys).agg(F.when((F.count("*") > 1) & (F.count("number") < F.count("*")), error).otherwise(best).alias("number"))
+    return some.select(number_).join(stay.select("number"), "number", "left_anti").distinct()
 
-def _keyed(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({f"_k{i}": c for i, c in enumerate(text(df, columns))})
 
+def _with(df: DataFrame, gone: DataFrame, order_by: str, name: str) -> DataFrame:
+    """df with what gone (number, what) says of its rows as a last column."""
+    number_, = free(df, "_number")
+    gone = gone.select(F.col("number").alias(number_), F.col("what").alias(name))
+    return df.join(gone, F.col(order_by) == F.col(number_), "left").drop(number_)
 
-def mark_duplicates(df: DataFrame, columns: list[str], keep: str = "first", order_by: str = "row_id") -> DataFrame:
-    """df with `_place`: 1 for the row of each combination of cells that stays (first, last or most complete), else 2.
 
-    order_by tells rows apart. The row that stays is an aggregate with partial results, found again by its number, so a
-    combination that many rows share (missing identifiers above all) never meets in one task.
-    """
-    keyed = _keyed(df, columns)
-    best = {"first": F.min(order_by), "last": F.max(order_by), "complete": F.min(F.struct("_gaps", order_by))[order_by]}[keep]
-    if keep == "complete":
-        keyed = keyed.withColumn("_gaps", sum([missing(df, c).cast("int") for c in data_columns(df, order_by)], F.lit(0)))
-    stay = keyed.groupBy(*_names(columns)).agg(best.alias("_stays")).select("_stays", F.lit(1).alias("_place"))
-    return df.join(stay, F.col(order_by) == F.col("_stays"), "left").withColumn("_place", F.coalesce("_place", F.lit(2))).drop("_stays")
+def mark_duplicates(df: DataFrame, columns: list[str], keep: str = "first", order_by: str = "row_id") -> DataFrame:
+    """df with a last column `_place` (more underscores if it has one): 1 for the row of each combination of cells that stays, else 2."""
+    place, = free(df, "_place")
+    marked = _with(df, duplicate_rows(df, columns, keep, order_by).withColumn("what", F.lit(2)), order_by, place)
+    return marked.withColumn(place, F.coalesce(place, F.lit(1)))
 
 
 def mark_all_duplicates(df: DataFrame, keys: list[str] = ("patient_id", "visit_date"), keep: str = "first", order_by: str = "row_id") -> DataFrame:
-    """df with `_operation`: exact_duplicate for rows alike in all cells but for the one that stays, then composite_duplicate for rows of those left alike in the keys, else null.
+    """df with a last column `_operation` (more underscores if it has one): exact_duplicate for rows alike in all cells but for the one that stays, then composite_duplicate for rows of those left alike in the keys, else null.
 
-    Cells are compared as text with null as empty.
+    Cells are compared as text with null as empty. The numbers of rows alike in all cells are written, so that the second
+    search does not begin with the first.
     """
     columns = data_columns(df, order_by)
-    exact = mark_duplicates(df, columns, keep, order_by)
     keys = [k for k in keys if k in columns]
-    twice = F.when(F.col("_place") > 1, "exact_duplicate")
-    if not keys:
-        return exact.withColumn("_operation", twice).drop("_place")
-    left = exact.where("_place = 1").drop("_place")
-    composite = mark_duplicates(left, keys, keep, order_by).withColumn("_operation", F.when(F.col("_place") > 1, "composite_duplicate")).drop("_place")
-    return composite.unionByName(exact.where("_place > 1").withColumn("_operation", twice).drop("_place"))
+    exact = duplicate_rows(df, columns, keep, order_by)
+    gone = exact.withColumn("what", F.lit("exact_duplicate"))
+    if keys:
+        exact = materialize(exact, "duplicates")
+        left = _with(df, exact.withColumn("what", F.lit(True)), order_by, free(df, "_gone")[0])
+        left = left.where(F.col(left.columns[-1]).isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
+        gone = exact.withColumn("what", F.lit("exact_duplicate")).union(duplicate_rows(left, keys, keep, order_by).withColumn("what", F.lit("composite_duplicate")))
+    return _with(df, gone, order_by, free(df, "_operation")[0])
 
 
 def split_duplicates(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that stay, rows deleted with `_operation`)."""
-    return marked.where("_operation IS NULL").drop("_operation"), marked.where("_operation IS NOT NULL")
+    """(rows that stay, rows deleted with their last column, what they are)."""
+    operation = marked.columns[-1]
+    return marked.where(F.col(operation).isNull()).drop(operation), marked.where(F.col(operation).isNotNull())
 
 
 def drop_duplicates(df: DataFrame, keys: list[str] = ("patient_id", "visit_date"), keep: str = "first", order_by: str = "row_id") -> tuple[DataFrame, DataFrame]:
@@ -74,10 +84,12 @@ def flag_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     Rows meet a table with one row for each repeated combination; a combination that many rows share is a skewed side of
     that join, which adaptive execution splits.
     """
-    keyed = _keyed(df, keys)
-    often = keyed.groupBy(*_names(keys)).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(f"_k{i}").alias(f"_r{i}") for i in range(len(keys))])
-    on = [F.col(f"_k{i}") == F.col(f"_r{i}") for i in range(len(keys))]
-    return keyed.join(often, on, "left").withColumn("duplicate_flag", F.col("_r0").isNotNull()).drop(*[f"{x}{i}" for i in range(len(keys)) for x in ("_k", "_r")])
+    names = free(df, *[f"_k{i}" for i in range(len(keys))], "_n", *[f"_r{i}" for i in range(len(keys))])
+    own, n, other = names[: len(keys)], names[len(keys)], names[len(keys) + 1 :]
+    keyed = df.withColumns(dict(zip(own, text(df, keys), strict=True)))
+    often = keyed.groupBy(*own).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(*[F.col(a).alias(b) for a, b in zip(own, other, strict=True)])
+    on = [F.col(a) == F.col(b) for a, b in zip(own, other, strict=True)]
+    return keyed.join(often, on, "left").withColumn("duplicate_flag", F.col(other[0]).isNotNull()).drop(*own, *other)
 
 
 def drop_duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,12 +104,13 @@ def record_id(df: DataFrame, order_by: str = "row_id") -> Column:
 
 
 def deletion_lineage(gone: DataFrame, order_by: str = "row_id", evidence: str = "duplicate_exact_matches") -> DataFrame:
-    """A row for each cell of each deleted row; duplicates by their keys alone have a rule of their own."""
-    columns = [c for c in data_columns(gone, order_by) if c != "_operation"]
-    if "_operation" in gone.columns:
-        evidence_id = F.when(F.col("_operation") == "composite_duplicate", "duplicate_partial_matches").otherwise(evidence)
-    else:
-        evidence_id = F.lit(evidence)
+    """A row for each cell of each deleted row; duplicates by their keys alone have a rule of their own.
+
+    gone is split_duplicates()'s second table, whose last column says what its rows are, or any other table.
+    """
+    operation = gone.columns[-1] if gone.columns[-1].startswith("_") and gone.columns[-1].lstrip("_") == "operation" else None
+    columns = [c for c in data_columns(gone, order_by) if c != operation]
+    evidence_id = F.when(F.col(operation) == "composite_duplicate", "duplicate_partial_matches").otherwise(evidence) if operation else F.lit(evidence)
     cells = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("original_value")) for c in columns]))
     return gone.select(record_id(gone, order_by).alias("record_id"), F.col(order_by).alias("row_id"), evidence_id.alias("evidence_id"), cells).select("record_id", "row_id", "field", "original_value", F.lit(None).cast("string").alias("new_value"), F.lit("deletion").alias("operation"), "evidence_id")
 
@@ -161,15 +174,24 @@ def drop_outliers(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> Data
     return df.where(keep)
 
 
+def _strategy(found: Gaps, column: str, auto: bool) -> str:
+    """drop, median, flag or no_action for a column of the table that found is of."""
+    gone = found.missing[column]
+    if not gone:
+        return "no_action"
+    rate, fill = gone / found.rows, "median" if column in found.numbers else "flag"
+    if not auto:
+        return fill
+    if rate < R.DROP_BELOW and found.random(column):
+        return "drop"
+    return fill if rate < R.MEDIAN_BELOW else "flag"
+
+
 def missing_decisions(df: DataFrame, columns: list[str], auto: bool = True, numbers: list[str] | None = None) -> DataFrame:
     """column, missing_count, missing_rate, mcar, strategy (drop, median, flag or no_action) for the table as it is."""
-    numbers = numeric_columns(df, columns) if numbers is None else numbers
-    found = gap_statistics(df, columns, numbers)
-    rate = F.coalesce(F.try_divide(F.col("missing_count"), F.col("rows")), F.lit(0.0))
-    has = F.col("column").isin(numbers) if numbers else F.lit(False)
-    median = F.when(has, "median").otherwise("flag")
-    chosen = F.when((rate < R.DROP_BELOW) & F.col("mcar"), "drop").when(rate < R.MEDIAN_BELOW, median).otherwise("flag") if auto else median
-    return found.select("column", "missing_count", rate.alias("missing_rate"), "mcar", F.when(F.col("missing_count") == 0, "no_action").otherwise(chosen).alias("strategy"))
+    found = held(df, columns, numeric_columns(df, columns) if numbers is None else numbers)
+    rows = [(c, found.missing[c], found.missing[c] / found.rows if found.rows else 0.0, found.random(c), _strategy(found, c, auto)) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "column string, missing_count long, missing_rate double, mcar boolean, strategy string")
 
 
 def impute(df: DataFrame, column: str, value, order_by: str = "row_id", evidence: str = "missing_median_imputation_robust") -> tuple[DataFrame, DataFrame]:
@@ -196,35 +218,68 @@ def drop_missing(df: DataFrame, column: str) -> DataFrame:
     return df.where(~missing(df, column))
 
 
+def decide_missing(df: DataFrame, columns: list[str], numbers: list[str], mode: str = "sequential", auto: bool = True) -> list[tuple[str, int, float, str, float | None]]:
+    """(column, missing cells, their share, strategy, value to fill in) of every column with gaps, in order.
+
+    Each column is decided on the table as it is after the columns before it (sequential) or at first (snapshot); medians
+    are those of the table as it then is. Filling changes what is known by formula, so the table is read again only after
+    rows are dropped: a few passes, and as many again for each column that drops rows.
+    """
+    first = held(df, columns, numbers)
+    left, found, out = [c for c in columns if first.missing[c]], first, []
+    chosen = {c: _strategy(first, c, auto) for c in left}
+    while left:
+        middle, dropped = None, None
+        while left and not dropped:
+            c = left[0]
+            way = chosen[c] if mode == "snapshot" and found.missing[c] else _strategy(found, c, auto)
+            if way == "median" and middle is None:  # of all columns that may need it before rows are dropped again
+                fill = [f for f in left if f in numbers]
+                wide = df.select(*[number(df, f).alias(f"n{i}") for i, f in enumerate(fill)])
+                medians = quantiles(wide, [f"n{i}" for i in range(len(fill))], (0.5,))
+                middle = {f: medians[f"n{i}"][1][0] for i, f in enumerate(fill)}
+            out.append((c, found.missing[c], found.missing[c] / found.rows if found.rows else 0.0, way, middle[c] if way == "median" else None))
+            if way == "median":
+                found.fill(c, middle[c])
+            dropped = c if way == "drop" else None
+            left.pop(0)
+        if dropped and left:
+            df = drop_missing(df, dropped)
+            found = held(df, columns, numbers, found.unfilled)
+            for c, *_, value in out:
+                found.fill(c, value)
+    return out
+
+
 def handle_missing(df: DataFrame, columns: list[str] | None = None, order_by: str = "row_id", mode: str = "sequential", auto: bool = True) -> tuple[DataFrame, DataFrame, list[tuple[str, int, float, str]]]:
     """(table, lineage, decisions): every column with gaps, in table order, by the share of gaps and their randomness.
 
-    sequential: each column sees what was dropped and filled before it; the table is written once at the start and once
-    every WRITE_EVERY columns, so that a decision reads a table and not the whole clean. snapshot: all are decided on the
-    table as it was, so decisions can differ. Lineage has the cells of dropped rows, as they then were, and of filled ones.
+    sequential: each column sees what was dropped and filled before it. snapshot: all are decided on the table as it was,
+    so decisions can differ. Table and lineage are one projection of df each, whatever the number of columns. Lineage has
+    the cells of dropped rows, as they then were, and of filled ones.
     """
     columns = columns or data_columns(df, order_by)
-    numbers = numeric_columns(df, columns)
-    lineage, decided = [], []
-    first = {r.column: r for r in missing_decisions(df, columns, auto, numbers).collect()}
-    for c in [c for c in columns if first[c].missing_count]:
-        if mode == "snapshot" or not decided:
-            r = first[c]
-        else:
-            if len(decided) % WRITE_EVERY == 1:
-                df = materialize(df, "clean")
-            r = missing_decisions(df, [c], auto, numbers).first()
-        if r.strategy == "drop":
-            lineage.append(deletion_lineage(df.where(missing(df, c)).select(order_by, *columns), order_by, "missing_complete_case_analysis"))
-            df = drop_missing(df, c)
-        elif r.strategy == "median":
-            df, changes = impute(df, c, center(df, c), order_by)
-            lineage.append(changes)
-        elif r.strategy == "flag":
-            df = flag_missing(df, c)
-        decided.append((c, r.missing_count, r.missing_rate, r.strategy))
-    changes = reduce(DataFrame.unionByName, lineage) if lineage else df.sparkSession.createDataFrame([], LINEAGE)
-    return df, changes, decided
+    decided = decide_missing(df, columns, numeric_columns(df, columns), mode, auto)
+    ways = {c: way for c, _, _, way, _ in decided}
+    value = {c: F.lit(v).cast(df.schema[c].dataType) for c, _, _, way, v in decided if way == "median"}
+    place = {c: i for i, c in enumerate(ways)}
+    drops = [c for c, way in ways.items() if way == "drop"]
+    at, = free(df, "_dropped")  # the place of the decision that drops a row
+    known = df.withColumn(at, F.coalesce(*[F.when(missing(df, c), F.lit(place[c])) for c in drops], F.lit(None).cast("int")))
+    filled = lambda c, when: F.when(missing(df, c) & when, value[c]).otherwise(F.col(f"`{c}`")) if c in value else F.col(f"`{c}`")
+    entry = lambda c, old, new, what, why: F.struct(F.lit(c).alias("field"), old.cast("string").alias("original_value"), new.cast("string").alias("new_value"), F.lit(what).alias("operation"), F.lit(why).alias("evidence_id"))
+    entries = [F.when(missing(df, c) & (F.col(at).isNull() | (F.col(at) > place[c])), entry(c, F.lit(None), value[c], "imputation", "missing_median_imputation_robust")) for c in value]
+    if drops:  # one for each cell, as it was when the row was dropped
+        entries += [F.when(F.col(at).isNotNull(), entry(c, filled(c, F.col(at) > place[c]) if c in value else F.col(f"`{c}`"), F.lit(None), "deletion", "missing_complete_case_analysis")) for c in columns]
+    new = {c: filled(c, F.lit(True)) for c in value} | {f"{c}_missing_flag": missing(df, c) for c, way in ways.items() if way == "flag"}
+    table = known.where(F.col(at).isNull()).drop(at) if drops else df
+    if entries:
+        cells = F.filter(F.array(*entries), lambda x: x.isNotNull())
+        touched = reduce(lambda a, b: a | b, [missing(df, c) for c in [*drops, *value]])
+        changes = known.where(touched).select(record_id(df, order_by).alias("record_id"), F.col(order_by).alias("row_id"), F.inline(cells))
+    else:
+        changes = df.sparkSession.createDataFrame([], LINEAGE)
+    return table.withColumns(new) if new else table, changes, [d[:4] for d in decided]
 
 
 def flag_dates(df: DataFrame) -> DataFrame:
@@ -239,9 +294,10 @@ def normalize(df: DataFrame, column: str, way: str = "z") -> DataFrame:
     x = number(df, column)
     if way == "log":
         return df.withColumn(f"{column}_log", F.when(x > 0, F.ln(x)))
-    one = df.agg(F.avg(x).alias("_a"), F.stddev_pop(x).alias("_s"), F.min(x).alias("_l"), F.max(x).alias("_h"))
-    value = F.try_divide(x - F.col("_a"), F.col("_s")) if way == "z" else F.try_divide(x - F.col("_l"), F.col("_h") - F.col("_l"))
-    return df.crossJoin(F.broadcast(one)).withColumn(f"{column}_{way}", value).drop("_a", "_s", "_l", "_h")  # one row
+    a, s, l, h = free(df, "_a", "_s", "_l", "_h")
+    one = df.agg(F.avg(x).alias(a), F.stddev_pop(x).alias(s), F.min(x).alias(l), F.max(x).alias(h))
+    value = F.try_divide(x - F.col(a), F.col(s)) if way == "z" else F.try_divide(x - F.col(l), F.col(h) - F.col(l))
+    return df.crossJoin(F.broadcast(one)).withColumn(f"{column}_{way}", value).drop(a, s, l, h)  # one row
 
 
 def coerce(df: DataFrame, dates: list[str] = (), codes: list[str] = (), numbers: list[str] = ()) -> DataFrame:

@@ -2,50 +2,26 @@
 
 from __future__ import annotations
 
-from math import sqrt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranges as R
 from ..functions.cells import date_of, first_present, missing, number
-from .profile import data_columns, numeric_columns, with_numbers
+from .gaps import held
+from .profile import data_columns, numeric_columns
 from .quality import duplicates
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
-#: Pairs of a gap and a number column in one aggregate.
-PAIRS_AT_ONCE = 60
 
 
 def gap_statistics(df: DataFrame, gaps: list[str], numbers: list[str]) -> DataFrame:
     """column, missing_count, mean_correlation, mcar, rows: whether a column's gaps look random against the numbers.
 
     The mean |correlation| of the gap marker with every other number column of ten values or more; gaps count as random
-    below 0.1, with fewer than ten rows, without gaps or without any correlation. The marker is 0 or 1, so a pair takes
-    two sums (gaps, and numbers beside gaps, over rows that have the number), and the rest is a column's own: one pass
-    for the columns, some for the pairs of columns that have gaps and numbers that vary.
+    below 0.1, with fewer than ten rows, without gaps or without any correlation. Two passes for any number of columns.
     """
-    wide = with_numbers(df, numbers)
-    own = [x for i in range(len(numbers)) for x in (F.count(f"_n{i}").alias(f"k{i}"), F.avg(f"_n{i}").alias(f"a{i}"), F.stddev_pop(f"_n{i}").alias(f"s{i}"))]
-    one = wide.agg(F.count("*").alias("rows"), *[F.count_if(missing(df, c)).alias(f"m{g}") for g, c in enumerate(gaps)], *own).first()
-    use = [i for i in range(len(numbers)) if one[f"k{i}"] >= R.MCAR_ROWS and one[f"s{i}"]]
-    pairs = [(g, i) for g, c in enumerate(gaps) for i in use if one[f"m{g}"] and one.rows >= R.MCAR_ROWS and numbers[i] != c]
-    found: dict[int, list[float]] = {}
-    for first in range(0, len(pairs), PAIRS_AT_ONCE):
-        part = pairs[first : first + PAIRS_AT_ONCE]
-        flags = {f"_g{g}": missing(df, gaps[g]) for g in {g for g, _ in part}}
-        # Numbers less their mean: sums of small terms.
-        beside = [x for g, i in part for x in (F.sum(F.when(F.col(f"_g{g}"), F.col(f"_n{i}") - one[f"a{i}"])).alias(f"x{g}_{i}"), F.count(F.when(F.col(f"_g{g}"), F.col(f"_n{i}"))).alias(f"g{g}_{i}"))]
-        sums = wide.withColumns(flags).agg(*beside).first()
-        for g, i in part:
-            n, marked = one[f"k{i}"], sums[f"g{g}_{i}"]
-            if 0 < marked < n:
-                share = marked / n
-                found.setdefault(g, []).append(abs(sums[f"x{g}_{i}"] / n / sqrt(share * (1 - share)) / one[f"s{i}"]))
-    out = []
-    for g, c in enumerate(gaps):
-        mean = sum(found[g]) / len(found[g]) if g in found else None
-        out.append((one.rows, c, one[f"m{g}"], mean, mean is None or mean < R.MCAR_BELOW))
+    found = held(df, gaps, numbers)
+    out = [(found.rows, c, found.missing[c], found.correlation(c), found.random(c)) for c in gaps]
     return df.sparkSession.createDataFrame(out, "rows long, column string, missing_count long, mean_correlation double, mcar boolean")
 
 

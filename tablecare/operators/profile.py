@@ -14,8 +14,8 @@ def data_columns(df: DataFrame, ordinal: str | None = "row_id") -> list[str]:
 
 
 def with_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df with _n0, _n1, ...: each column's finite numbers."""
-    return df.withColumns({f"_n{i}": number(df, c) for i, c in enumerate(columns)}) if columns else df
+    """n0, n1, ... each column's finite numbers, and m0, m1, ... whether a cell is missing; no column of df itself."""
+    return df.select(*[number(df, c).alias(f"n{i}") for i, c in enumerate(columns)], *[missing(df, c).alias(f"m{i}") for i, c in enumerate(columns)])
 
 
 def class_of(cells, numbers):
@@ -29,11 +29,11 @@ def profile(df: DataFrame, columns: list[str] | None = None, dataset_id: str = "
     wide = with_numbers(df, columns)
     parts = [F.count("*").alias("n")]
     for i, c in enumerate(columns):
-        x = F.col(f"_n{i}")
-        parts += [F.count_if(missing(df, c)).alias(f"m{i}"), F.count(x).alias(f"k{i}")]
+        x = F.col(f"n{i}")
+        parts += [F.count_if(F.col(f"m{i}")).alias(f"m{i}"), F.count(x).alias(f"k{i}")]
         parts += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"s{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
-    middle = quantiles(wide, [f"_n{i}" for i in range(len(columns))], (0.5,), exact)
-    one = wide.agg(*parts).withColumns({f"q{i}": F.lit(middle[f"_n{i}"][1][0]).cast("double") for i in range(len(columns))})
+    middle = quantiles(wide, [f"n{i}" for i in range(len(columns))], (0.5,), exact)
+    one = wide.agg(*parts).withColumns({f"q{i}": F.lit(middle[f"n{i}"][1][0]).cast("double") for i in range(len(columns))})
     rows = []
     for i, c in enumerate(columns):
         col_type = class_of(F.col("n") - F.col(f"m{i}"), F.col(f"k{i}"))
@@ -48,7 +48,7 @@ def column_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, col_type, cells, numbers."""
     columns = columns or data_columns(df)
     wide = with_numbers(df, columns)
-    one = wide.agg(*[x for i, c in enumerate(columns) for x in (F.count_if(~missing(df, c)).alias(f"c{i}"), F.count(f"_n{i}").alias(f"k{i}"))])
+    one = wide.agg(*[x for i, c in enumerate(columns) for x in (F.count_if(~F.col(f"m{i}")).alias(f"c{i}"), F.count(f"n{i}").alias(f"k{i}"))])
     rows = [F.struct(F.lit(c).alias("column"), class_of(F.col(f"c{i}"), F.col(f"k{i}")).alias("col_type"), F.col(f"c{i}").alias("cells"), F.col(f"k{i}").alias("numbers")) for i, c in enumerate(columns)]
     return one.select(F.inline(F.array(*rows)))
 
@@ -63,8 +63,8 @@ def numeric_columns(df: DataFrame, columns: list[str] | None = None) -> list[str
 
 def quartiles(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, tuple[int, float | None, float | None]]:
     """How many numbers each column has, and their quartiles: few numbers, at the driver."""
-    found = quantiles(with_numbers(df, columns), [f"_n{i}" for i in range(len(columns))], (0.25, 0.75), exact)
-    return {c: (found[f"_n{i}"][0], *found[f"_n{i}"][1]) for i, c in enumerate(columns)}
+    found = quantiles(with_numbers(df, columns), [f"n{i}" for i in range(len(columns))], (0.25, 0.75), exact)
+    return {c: (found[f"n{i}"][0], *found[f"n{i}"][1]) for i, c in enumerate(columns)}
 
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -72,10 +72,10 @@ def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     wide = with_numbers(df, columns)
     parts = []
     for i in range(len(columns)):
-        x = F.col(f"_n{i}")
+        x = F.col(f"n{i}")
         parts += [F.count(x).alias(f"k{i}"), F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"s{i}"), skewness(x).alias(f"w{i}"), kurtosis(x).alias(f"u{i}")]
-    middle = quantiles(wide, [f"_n{i}" for i in range(len(columns))], (0.5,))
-    one = wide.agg(*parts).withColumns({f"q{i}": F.lit(middle[f"_n{i}"][1][0]).cast("double") for i in range(len(columns))})
+    middle = quantiles(wide, [f"n{i}" for i in range(len(columns))], (0.5,))
+    one = wide.agg(*parts).withColumns({f"q{i}": F.lit(middle[f"n{i}"][1][0]).cast("double") for i in range(len(columns))})
     rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(name) for k, name in (("k", "n"), ("a", "mean"), ("q", "median"), ("s", "std"), ("w", "skewness"), ("u", "excess_kurtosis"))]) for i, c in enumerate(columns)]
     near = (F.abs("skewness") < 2) & (F.abs(F.col("excess_kurtosis") - 3) < 7)
     return one.select(F.inline(F.array(*rows))).where("n >= 4").withColumn("near_normal", near)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranges as R
-from ..functions.cells import date_of, level, missing, number, text
-from .profile import data_columns, numeric_columns, quartiles, with_numbers
+from ..functions.cells import date_of, level, maybe_repeated, missing, number, text
+from .profile import data_columns, numeric_columns, quartiles
 
 
 def _score(errors: Column, base: Column) -> Column:
@@ -120,8 +120,14 @@ def consistency(df: DataFrame, as_of: date) -> DataFrame:
 
 
 def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
-    """n_rows, duplicates: rows beyond the first of each combination of cells, null and empty alike."""
-    return df.groupBy(*[c.alias(f"_k{i}") for i, c in enumerate(text(df, columns))]).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    """n_rows, duplicates: rows beyond the first of each combination of cells, null and empty alike.
+
+    Rows whose hashes occur once are no duplicates; the others are compared by their cells.
+    """
+    names = [f"k{i}" for i in range(len(columns))]
+    some = maybe_repeated(df, columns).select(*[c.alias(n) for c, n in zip(text(df, columns), names, strict=True)])
+    twice = some.groupBy(*names).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    return df.agg(F.count("*").alias("n_rows")).crossJoin(F.broadcast(twice))  # one row each
 
 
 def uniqueness(df: DataFrame, columns: list[str] | None = None, keys: list[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..functions.storage import fresh_path
-from ..operators import clean, pipeline, quality
+from ..operators import clean, lineage, pipeline, quality
 from ..sources import files
 from .fixtures import AS_OF, frame, sql
 from .queries_quality import CELLS_OF, KEYS_OF, LEVEL, NUM, REPORT, V, _mcar, each, fence
@@ -400,10 +400,27 @@ def src05_formats(spark, sf_dir):
     return reduce(DataFrame.unionByName, found)
 
 
-@query(sql("visits", rest="SELECT CAST(count(*) AS BIGINT) AS n_rows, count(age) AS ages, min(age) AS least, max(age) AS most, count(heart_rate) AS heart_rates FROM visits"))
+@query(sql("visits", rest="SELECT CAST(count(*) AS BIGINT) AS n_rows, count(age) AS ages, min(age) AS least, max(age) AS most, count(heart_rate) AS heart_rates, true AS unchanged FROM visits"))
 def src08_original_kept(spark, sf_dir):
-    """The source after a whole clean: nothing of it has changed."""
+    """The stored source after a whole clean of it, and whether its rows have the hashes that they had before."""
+    path = fresh_path(spark, "source")
+    frame(spark, sf_dir, "visits").write.parquet(path)
+    prints = lambda: spark.read.parquet(path).select(F.xxhash64("*").cast("decimal(20,0)").alias("h")).agg(F.sum("h"), F.count("*")).first()
+    before = prints()
+    pipeline.run(spark.read.parquet(path), AS_OF)
+    same = F.lit(prints() == before)
+    return spark.read.parquet(path).agg(F.count("*").alias("n_rows"), F.count("age").alias("ages"), F.min("age").alias("least"), F.max("age").alias("most"), F.count("heart_rate").alias("heart_rates"), same.alias("unchanged"))
+
+
+@query(sql("visits", rest=f"SELECT row_id, {COLUMNS} FROM visits"))
+def cln03_restore(spark, sf_dir):
+    """Visits cleaned as a whole and taken back by their lineage: the source, cell by cell."""
+    done = pipeline.run(frame(spark, sf_dir, "visits"), AS_OF)
+    return plain(lineage.restore(done.table, done.lineage, V))
+
+
+@query(sql("visits", rest=whole_clean() + f" SELECT row_id, {COLUMNS.replace('lab_value', 'round(lab_value, 6) AS lab_value')} FROM done"))
+def cln03_replay(spark, sf_dir):
+    """The changes of a whole clean made again on the source: the cleaned table without its flags."""
     df = frame(spark, sf_dir, "visits")
-    done = pipeline.run(df, AS_OF)
-    same = df.join(done.table.select("row_id"), "row_id", "left")  # the clean has run; its source still has every row
-    return same.agg(F.count("*").alias("n_rows"), F.count("age").alias("ages"), F.min("age").alias("least"), F.max("age").alias("most"), F.count("heart_rate").alias("heart_rates"))
+    return rounded(plain(lineage.replay(df, pipeline.run(df, AS_OF).lineage, V)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..functions import ranges as R
-from ..functions.stats import quantile
+from ..functions.stats import group_quantiles
 from ..operators import issues, profile, quality
 from ..sources import files
 from .fixtures import AS_OF, frame, sql
@@ -109,10 +109,23 @@ def agg03_numeric_stats(spark, sf_dir):
     return rounded(profile.profile(frame(spark, sf_dir, "visits")).where("col_type = 'numeric'").select("column", "mean", "median", "std", "min", "max"))
 
 
-@query("SELECT o_custkey, count(*) AS n, " + ", ".join(f"round({fence('o_totalprice', p)}, 6) AS q{int(100 * p)}" for p in (0.25, 0.5, 0.75)) + " FROM orders GROUP BY o_custkey")
+QUARTERS = (0.25, 0.5, 0.75)
+
+
+def _order_quantiles(spark, sf_dir, key):
+    found = group_quantiles(spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("o_custkey", key), ["o_custkey"], F.col("o_totalprice"), QUARTERS)
+    return rounded(found.select("o_custkey", "n", *[F.col(f"q{i}").alias(f"q{int(100 * p)}") for i, p in enumerate(QUARTERS)]))
+
+
+@query("SELECT o_custkey, count(*) AS n, " + ", ".join(f"round({fence('o_totalprice', p)}, 6) AS q{int(100 * p)}" for p in QUARTERS) + " FROM orders GROUP BY o_custkey")
 def agg04_quantiles(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return rounded(orders.groupBy("o_custkey").agg(F.count("*").alias("n"), *[quantile("o_totalprice", p).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)]))
+    return _order_quantiles(spark, sf_dir, F.col("o_custkey"))
+
+
+@query("SELECT o_custkey, count(*) AS n, " + ", ".join(f"round({fence('o_totalprice', p)}, 6) AS q{int(100 * p)}" for p in QUARTERS) + " FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_custkey END AS o_custkey, o_totalprice FROM orders) GROUP BY o_custkey")
+def agg04_hot_group(spark, sf_dir):
+    """Quantiles of groups of which one, with a null key, has half of all rows."""
+    return _order_quantiles(spark, sf_dir, F.when(F.col("o_orderkey") % 2 != 0, F.col("o_custkey")))
 
 
 MISSING_CELLS = " + ".join(f"(count(*) - count({c}))" for c in V)
