@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ranges as R
 from ..functions.storage import fresh_path
 from ..operators import issues, rules, validate
-from ..streaming import events
+from ..streaming import events, store
 from . import planning
 from .fixtures import frame, sql
 from .queries_quality import ISSUES
@@ -295,11 +295,58 @@ def _streamed(spark, sf_dir, types):
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 
-@query(f"SELECT {E} FROM events WHERE user_id <> 1")
+def _arriving(spark, sf_dir):
+    """A folder of event files that overlap in part, and the schema of the events."""
+    folder, own = fresh_path(spark, "arriving"), _events(spark, sf_dir)
+    for part in ("event_id % 3 < 2", "event_id % 3 > 0"):
+        own.where(part).write.mode("append").parquet(folder)
+    return folder, own.schema
+
+
+def _stored_history(spark, sf_dir):
+    """Every event once in a stored history, from files that repeat a third of them."""
+    folder, schema = _arriving(spark, sf_dir)
+    base = fresh_path(spark, "history")
+    stream = store.once(events.follow(spark, folder, schema), "3650 days")
+    store.run(stream, store.history_sink(f"{base}/events"), f"{base}/state").awaitTermination()
+    return f"{base}/events", schema
+
+
+@query(f"SELECT {E} FROM events")
+def str04_replay_once(spark, sf_dir):
+    """All events once, as a stream over files that overlap stores them."""
+    return store.history(spark, *_stored_history(spark, sf_dir))
+
+
+@query(f"WITH p AS (SELECT {E}, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT {E} FROM p WHERE k <= 3")
+def str02_retained_by_stream(spark, sf_dir):
+    """The newest three events of each job, held as the state of a stream."""
+    schema, base = _events(spark, sf_dir).schema, fresh_path(spark, "retained")
+    stream = events.follow(spark, f"{sf_dir}/events.parquet*", schema)
+    store.retain(stream, 3, f"{base}/kept", f"{base}/state").awaitTermination()
+    return store.kept(spark, f"{base}/kept", schema)
+
+
+@query(f"SELECT {E} FROM events WHERE user_id IS DISTINCT FROM 1")
 def str05_purge(spark, sf_dir):
     return events.purge(_events(spark, sf_dir), 1)
 
 
+@query("SELECT event_id, ts, CASE WHEN event_id % 7 > 0 THEN user_id END AS user_id, event_type FROM events WHERE event_id % 7 = 0 OR user_id IS DISTINCT FROM 1")
+def str05_purge_without_jobs(spark, sf_dir):
+    """Events of no job stay when a job's history is cleared."""
+    some = _events(spark, sf_dir).withColumn("user_id", F.when(F.col("event_id") % 7 > 0, F.col("user_id")))
+    return events.purge(some, 1)
+
+
+@query(f"SELECT {E} FROM events WHERE user_id IS DISTINCT FROM 1")
+def str05_purged_history(spark, sf_dir):
+    """A stored history after a job's events are deleted from it."""
+    path, schema = _stored_history(spark, sf_dir)
+    store.purge(spark, path, schema, 1)
+    return store.history(spark, path, schema)
+
+
 JOBS = "jobs AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS last_ts, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'purchase') AS n_steps, count(*) FILTER (WHERE event_type = 'error') AS n_pending FROM events GROUP BY user_id)"
 
 
@@ -308,6 +355,14 @@ def str06_jobs(spark, sf_dir):
     return events.jobs(_events(spark, sf_dir))
 
 
+@query(f"WITH {JOBS} SELECT * FROM jobs")
+def str06_listing_by_stream(spark, sf_dir):
+    """The job listing that a stream keeps up to date in a stored table."""
+    own, base = _events(spark, sf_dir), fresh_path(spark, "listing")
+    store.follow_jobs(events.follow(spark, f"{sf_dir}/events.parquet*", own.schema), f"{base}/jobs", f"{base}/state").awaitTermination()
+    return store.listing(spark, f"{base}/jobs", events.jobs(own).schema)
+
+
 @query(f"WITH {JOBS} SELECT * FROM jobs ORDER BY last_ts DESC, user_id LIMIT 100")
 def str06_newest_jobs(spark, sf_dir):
     return events.newest_first(events.jobs(_events(spark, sf_dir)))

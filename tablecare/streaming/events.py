@@ -31,8 +31,8 @@ def retain_each(events: DataFrame, most: int) -> DataFrame:
 
 
 def purge(events: DataFrame, job: int | None = None) -> DataFrame:
-    """What is left after a job's history, or all of it, is cleared."""
-    return events.where(F.lit(False)) if job is None else events.where(F.col("user_id") != job)
+    """What is left after a job's history, or all of it, is cleared; events without a job are no job's."""
+    return events.where(F.lit(False)) if job is None else events.where(~F.col("user_id").eqNullSafe(F.lit(job)))
 
 
 def jobs(events: DataFrame) -> DataFrame:
@@ -52,9 +52,10 @@ def status_counts(listing: DataFrame) -> DataFrame:
     return listing.groupBy("status").agg(F.count("*").alias("n_jobs"))
 
 
-def follow(spark: SparkSession, path: str, schema, job: int | None = None, types: list[str] | None = None) -> DataFrame:
+def follow(spark: SparkSession, path: str, schema, job: int | None = None, types: list[str] | None = None, files_a_batch: int | None = None) -> DataFrame:
     """A stream of a folder's event files from the earliest on, of a job or all: replay, then what arrives."""
-    stream = spark.readStream.schema(schema).parquet(path)
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(path)
     if job is not None:
         stream = stream.where(F.col("user_id") == job)
     return stream.where(F.col("event_type").isin(*types)) if types else stream
@@ -66,11 +67,6 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, once: bool = True):
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def follow_jobs(stream: DataFrame, name: str, checkpoint: str):
-    """The job listing of a stream as a table in memory, kept up to date."""
-    return jobs(stream).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events of each type in each window of time; works on tables and, with late data let in, on streams."""
     stream = stream.withWatermark("ts", late) if stream.isStreaming else stream
