@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..functions.storage import fresh_path
 from ..operators import clean, lineage, pipeline, quality
-from ..sources import files
+from ..sources import files, publish
 from .fixtures import AS_OF, frame, sql
 from .queries_quality import CELLS_OF, KEYS_OF, LEVEL, NUM, REPORT, V, _mcar, each, fence
 from .registry import query, rounded
@@ -424,3 +424,15 @@ def cln03_replay(spark, sf_dir):
     """The changes of a whole clean made again on the source: the cleaned table without its flags."""
     df = frame(spark, sf_dir, "visits")
     return rounded(plain(lineage.replay(df, pipeline.run(df, AS_OF).lineage, V)))
+
+
+@query(sql("visits", rest=whole_clean() + f", ways AS ({WAYS}), corrected AS (" + CORRECTIONS.format(t="kept") + f""") SELECT CAST((SELECT count(*) FROM done) AS BIGINT) AS table_rows, CAST({LINEAGE_SIZE} AS BIGINT) AS lineage_rows, CAST(3 + (SELECT count(*) FROM ways WHERE gaps > 0) AS BIGINT) AS audit_rows,
+(SELECT count(*) FROM done) AS read_rows, (SELECT round(sum(weight), 6) FROM done) AS weight, (SELECT count(*) FROM visits) AS rows_in"""))
+def snk01_published_run(spark, sf_dir):
+    """A clean published as one act: the counts in its manifest, and what a reader finds by it."""
+    path = fresh_path(spark, "published")
+    publish.clean(frame(spark, sf_dir, "visits"), path, "run1", AS_OF, "visits")
+    found = publish.read(spark, path)
+    rows = {f"{name}_rows": F.lit(f["rows"]).cast("long") for name, f in found.manifest["files"].items() if name != "report"}
+    one = found.tables["table"].agg(F.count("*").alias("read_rows"), F.sum("weight").alias("weight"))
+    return rounded(one.withColumns(rows | {"rows_in": F.lit(found.manifest["report"]["rows_in"]).cast("long")}))

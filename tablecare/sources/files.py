@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import normalize_nulls
+from ..functions.storage import names, put
 from .ordering import number_rows
 
 ROW_ID = "_row_id"
+#: Folder of an export with the counts of its appends; readers of data skip it.
+COUNTS = "_counts"
 #: Separators by file ending.
 ENDINGS = {".csv": ",", ".txt": ",", ".tsv": "\t"}
 
@@ -57,11 +62,17 @@ def write_metadata(spark: SparkSession, path: str, source: str, output: str, use
 
 
 def export(df: DataFrame, path: str, kind: str = "parquet", partition_by: str | None = None) -> int:
-    """Append an audit or lineage table and return how many rows the export now has."""
-    writer = df.write.mode("append")
+    """Append an audit or lineage table and return how many rows the export now has.
+
+    Rows are counted as they are written, and every append leaves an empty file with its count in its name beside the
+    data, so that no export is read again.
+    """
+    spark, seen = df.sparkSession, Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append")
     writer = writer.partitionBy(partition_by) if partition_by else writer
     getattr(writer, kind)(path)
-    return getattr(df.sparkSession.read, kind)(path).count()
+    put(spark, f"{path}/{COUNTS}/{uuid.uuid4().hex}-{seen.get['n']}", "")
+    return sum(int(n.rpartition("-")[2]) for n in names(spark, f"{path}/{COUNTS}") if not n.startswith("."))
 
 
 def write_report(report: DataFrame, path: str) -> None:
