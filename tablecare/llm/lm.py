@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, crc_of_id, lower_ascii, materialize, runs, text_pieces, word_codes
+from .common import NON_SPACE, crc_of_id, drop_table, lower_ascii, materialize, runs, text_pieces, word_codes
 
 #: Bytes of the longest context; added to every word count; entries broadcast at most.
 ORDER, SMOOTHING, FREQUENT_KEYS = 5, 0.1, 1_000_000
@@ -110,8 +110,8 @@ def count(docs: DataFrame) -> DataFrame:
     return docs.select("text", "_train").mapInArrow(work, "key long, n long, n_train long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
 
 
-def prices(totals: DataFrame, order: int = ORDER) -> DataFrame:
-    """key, n, value: a byte string's log10 probability, a word's training count.
+def prices(totals: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, n, value: a byte string's log10 probability, a word's training count; the tables that it still reads).
 
     A level's table has every string of its length that ends one of the keys, with its training count. Strings that share
     a context, or all bytes but the first, are 256 at most, so every window here is small and no key is hot.
@@ -126,16 +126,17 @@ def prices(totals: DataFrame, order: int = ORDER) -> DataFrame:
         level = level.groupBy(tail.alias("s")).agg(F.max("shorter").alias("c"))
     # Up: what a context has (occurrences, symbols, and the shorter context's count of those symbols), and what a string
     # that never followed it costs from the next shorter context on.
-    below = None
+    below, used = None, []
     for k in range(order + 1):
         context = W.partitionBy(F.shiftright("s", 8))
         seen = F.col("c") > 0
         stats = {"total": F.sum("c").over(context), "symbols": F.count(F.when(seen, 1)).over(context), "gone": F.coalesce(F.sum(F.when(seen, F.col("shorter"))).over(context), F.lit(0))}
-        rows = tables[order - k].withColumns(stats)
+        rows, done, used = tables[order - k].withColumns(stats), used, [tables[order - k]]
         if below is None:
             rows = rows.withColumn("rest", F.when(~seen, -F.log10(F.greatest(SYMBOLS - F.col("symbols"), F.lit(1)).cast("double"))))
         else:
             rows = materialize(rows, f"context{k}")
+            used += [rows, below]
             one = below.select(F.col("s").alias("t"), F.col("c").alias("less"), F.col("total").alias("all"), F.col("symbols").alias("kinds"), F.col("rest").alias("further"))
             missed = rows.where(~seen).join(one, F.col("s").bitwiseAND(F.lit((1 << 8 * k) - 1)) == F.col("t"), "left")
             fresh = F.col("kinds") - F.col("symbols")
@@ -143,11 +144,13 @@ def prices(totals: DataFrame, order: int = ORDER) -> DataFrame:
             rest = F.when(F.col("less") > 0, F.log10(F.col("less") / room)).otherwise(F.when(fresh > 0, F.log10(fresh / room)).otherwise(0.0) + F.col("further"))
             rows = rows.where(seen).withColumn("rest", F.lit(None).cast("double")).unionByName(missed.withColumn("rest", rest).select(*rows.columns, "rest"))
         below = materialize(rows, f"priced{k}") if k < order else rows
+        for table in done:
+            drop_table(table)
     whole = (F.col("total") + F.col("symbols")).cast("double")
     escape = F.when(F.col("symbols") > 0, F.log10(F.col("symbols") / whole)).otherwise(0.0)
     value = F.when(F.col("c") > 0, F.log10(F.col("c") / whole)).otherwise(escape + F.col("rest"))
     priced = below.select(F.col("s").alias("key"), "n", value.alias("value"))
-    return priced.union(totals.where("key < 0").select("key", "n", F.col("n_train").cast("double")))
+    return priced.union(totals.where("key < 0").select("key", "n", F.col("n_train").cast("double"))), used
 
 
 def frequent(table: DataFrame, most: int = FREQUENT_KEYS) -> int:
@@ -175,7 +178,10 @@ def score(docs: DataFrame, train: object = None, most: int = FREQUENT_KEYS) -> D
     docs = docs.select("doc_id", "text", train.alias("_train"), F.xxhash64("text").alias("_copy"), F.xxhash64("doc_id", "text").alias("_deal"))
     totals = materialize(count(docs), "counts")
     n_train, vocabulary = totals.where("key < 0").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0)).first()
-    table = materialize(prices(totals), "prices")
+    priced, used = prices(totals)
+    table = materialize(priced, "prices")
+    for gone in (*used, totals):
+        drop_table(gone)
     least = frequent(table, most)
     top = table.where(F.col("n") >= least).select("key", "value").toArrow()  # `most` rows at most
     order = np.argsort(top["key"].to_numpy(), kind="stable")

@@ -10,14 +10,18 @@ the first digits of their keys, whatever a source's size.
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, materialize, own_prefix
+from .common import column, drop_table, materialize, own_prefix
 
 #: Most passes over a source against the least repeated one, tokens of a block, halvings of the exponent, key.
 MAX_REPEATS, BLOCK_TOKENS, HALVINGS, SEED = 2.0, 250_000, 40, "mix"
+#: Exponents that a target entropy is tried at in one pass over the sources.
+GRID = 64
 #: Hexadecimal digits of a key that parts of a pass's blocks go by.
 BUCKET_DIGITS = 4
 
@@ -27,38 +31,49 @@ def tokens(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
 
 
-def bisect(logs: Column, max_repeats: float | None, target_entropy: float | None, halvings: int = HALVINGS) -> Column:
-    """The exponent for an array of logarithms of shares."""
-
-    def entropy(a: Column) -> Column:
-        parts = F.transform(logs, lambda x: F.exp(a * x))
-        total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
-        return F.log(total) - a * F.aggregate(F.zip_with(parts, logs, lambda p, x: p * x), F.lit(0.0), lambda s, x: s + x) / total
+def by_repeats(one: DataFrame, max_repeats: float, halvings: int) -> DataFrame:
+    """one (most, least: the largest and smallest logarithm of a share) with the least exponent that keeps within a repetition limit."""
 
     def halve(at: Column, _: Column) -> Column:
         mid = (at["low"] + at["high"]) / 2
-        if target_entropy is None:  # the limit holds from some exponent on: the least
-            holds = F.exp((1 - mid) * (F.array_max(logs) - F.array_min(logs))) <= max_repeats
-            return F.struct(F.when(holds, at["low"]).otherwise(mid).alias("low"), F.when(holds, mid).otherwise(at["high"]).alias("high"))
-        holds = entropy(mid) >= target_entropy  # the entropy is reached up to some exponent: the greatest
-        return F.struct(F.when(holds, mid).otherwise(at["low"]).alias("low"), F.when(holds, at["high"]).otherwise(mid).alias("high"))
+        holds = F.exp((1 - mid) * (F.col("most") - F.col("least"))) <= max_repeats  # the limit holds from some exponent on
+        return F.struct(F.when(holds, at["low"]).otherwise(mid).alias("low"), F.when(holds, mid).otherwise(at["high"]).alias("high"))
 
     start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, halve)["high" if target_entropy is None else "low"]
+    return one.withColumn("exponent", F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, halve)["high"])
+
+
+def by_entropy(logs: DataFrame, one: DataFrame, target_entropy: float, halvings: int) -> DataFrame:
+    """one with the greatest exponent whose weights reach an entropy: logs (a row a source) are summed at GRID exponents a round."""
+    state = one.withColumns({"low": F.lit(0.0), "high": F.lit(1.0)})
+    for _ in range(ceil(halvings / log2(GRID))):
+        at = [F.col("low") + (F.col("high") - F.col("low")) * (i / GRID) for i in range(1, GRID)]
+        sums = [x for i, a in enumerate(at) for x in (F.sum(F.exp(a * F.col("log"))).alias(f"z{i}"), F.sum(F.exp(a * F.col("log")) * F.col("log")).alias(f"s{i}"))]
+        found = logs.crossJoin(F.broadcast(state.select("low", "high"))).groupBy("low", "high").agg(*sums)  # one row
+        entropy = [F.log(F.col(f"z{i}")) - a * F.col(f"s{i}") / F.col(f"z{i}") for i, a in enumerate(at)]
+        reached = sum((F.when(h >= target_entropy, 1).otherwise(0) for h in entropy[1:]), F.when(entropy[0] >= target_entropy, 1).otherwise(0))  # it falls with the exponent
+        width = (F.col("high") - F.col("low")) / GRID
+        found = found.select((F.col("low") + width * reached).alias("new_low"), (F.col("low") + width * (reached + 1)).alias("new_high"))
+        state = one.crossJoin(F.broadcast(found)).withColumnsRenamed({"new_low": "low", "new_high": "high"})  # one row each
+    return state.withColumnRenamed("low", "exponent").drop("high")
 
 
 def weights(sizes: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, halvings: int = HALVINGS) -> DataFrame:
-    """_key, size, exponent, weight, budget, blocks, passes for every source of sizes (_key, size), one row a source."""
-    one = sizes.agg(F.sum("size").alias("all"), F.collect_list(F.struct("_key", "size")).alias("sources"))
-    one = one.withColumn("logs", F.transform("sources", lambda s: F.log(s["size"] / F.col("all"))))
-    one = one.withColumn("exponent", F.when(F.size("logs") > 0, bisect(F.col("logs"), max_repeats, target_entropy, halvings)))
-    scale = F.aggregate(F.transform("logs", lambda x: F.exp(F.col("exponent") * x)), F.lit(0.0), lambda s, x: s + x)
-    each = one.select("all", "exponent", scale.alias("scale"), F.array_max("logs").alias("most"), F.explode(F.arrays_zip("sources", "logs")).alias("s"))
-    weight = F.exp(F.col("exponent") * F.col("s.logs")) / F.col("scale")
+    """_key, size, exponent, weight, budget, blocks, passes for every source of sizes (a table of _key, size), one row a source.
+
+    Sources meet in sums alone, so there may be as many as there are documents.
+    """
+    total = sizes.agg(F.sum("size").alias("all"), F.max("size").alias("largest"), F.min("size").alias("smallest")).where("all IS NOT NULL")
+    share = lambda c: F.log(F.col(c) / F.col("all"))
+    one = total.select("all", share("largest").alias("most"), share("smallest").alias("least"))
+    logs = sizes.crossJoin(F.broadcast(total.select("all"))).withColumn("log", share("size"))  # one row
+    one = by_repeats(one, max_repeats, halvings) if target_entropy is None else by_entropy(logs, one, target_entropy, halvings)
+    scale = logs.crossJoin(F.broadcast(one.select("exponent"))).agg(F.sum(F.exp(F.col("exponent") * F.col("log"))).alias("scale"))  # one row
+    each = logs.drop("all").crossJoin(F.broadcast(one)).crossJoin(F.broadcast(scale))  # one row each
+    weight = F.exp(F.col("exponent") * F.col("log")) / F.col("scale")
     # Without a budget the whole is as large as it takes for each source to be read once at least.
     whole = F.lit(float(total_tokens)) if total_tokens is not None else F.col("all") * F.exp((1 - F.col("exponent")) * F.col("most")) * F.col("scale")
-    size = F.col("s.sources.size")
-    out = each.select(F.col("s.sources._key").alias("_key"), size.alias("size"), "exponent", weight.alias("weight"), F.round(whole * weight).cast("long").alias("budget"))
+    out = each.select("_key", "size", "exponent", weight.alias("weight"), F.round(whole * weight).cast("long").alias("budget"))
     return out.withColumns({"blocks": F.ceil(F.col("size") / block_tokens).cast("long"), "passes": F.ceil(F.col("budget") / F.col("size")).cast("int")})
 
 
@@ -80,7 +95,9 @@ def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy
     dealt = F.conv(F.substring(mark(name), 1, 8), 16, 10).cast("long")
     # What documents weigh and where they are dealt: one pass over the texts, small rows.
     slim = materialize(docs.select(key.alias("_key"), dealt.alias("dealt"), tokens().alias("size")).groupBy("_key", "dealt").agg(F.sum("size").alias("size")), "sizes")
-    plan = materialize(weights(slim.groupBy("_key").agg(F.sum("size").alias("size")), max_repeats, target_entropy, total_tokens, block_tokens), "weights")
+    sources = materialize(slim.groupBy("_key").agg(F.sum("size").alias("size")), "sources")
+    plan = materialize(weights(sources, max_repeats, target_entropy, total_tokens, block_tokens), "weights")
+    drop_table(sources)
 
     held = slim.join(plan.select("_key", "blocks", "passes"), "_key").groupBy("_key", F.pmod("dealt", F.col("blocks")).alias("block")).agg(F.sum("size").alias("held"), F.any_value("passes").alias("passes"))
     held = held.select("_key", "block", "held", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass")).where("pass >= 0")

@@ -176,8 +176,13 @@ def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -
         .groupBy("tile", "part").agg(F.collect_list("fp").alias("members")), "tiles"
     )
     moves = F.array(*[F.lit(sum(d * (32**i) for i, d in enumerate(step))).cast("long") for step in steps])
-    left = packed.select("tile", "part", "members", F.explode(moves).alias("move")).select(F.col("tile").alias("own"), "part", F.col("members").alias("left"), (F.col("tile") + F.col("move")).alias("tile"))
-    pairs = left.join(packed.select("tile", F.col("part").alias("other"), F.col("members").alias("right")), "tile").where((F.col("own") != F.col("tile")) | (F.col("part") <= F.col("other")))
+    # A tile that meets one of many parts is met in several tasks: those parts are dealt out, and it goes to each.
+    moved = lambda df: df.withColumn("move", F.explode(moves)).withColumns({"own": F.col("tile"), "tile": F.col("tile") + F.col("move")}).drop("move")
+    salts = moved(sizes.where(F.col("parts") > ROWS_A_TASK)).groupBy("tile").agg(F.ceil(F.max("parts") / ROWS_A_TASK).alias("salts"))
+    dealt = F.coalesce("salts", F.lit(1))
+    left = moved(packed.withColumnRenamed("members", "left")).join(salts, "tile", "left").withColumn("salt", F.pmod("part", dealt)).drop("salts")
+    right = packed.join(salts, "tile", "left").select("tile", F.col("part").alias("other"), F.col("members").alias("right"), F.explode(F.sequence(F.lit(0).cast("long"), dealt - 1)).alias("salt"))
+    pairs = left.join(right, ["tile", "salt"]).where((F.col("own") != F.col("tile")) | (F.col("part") <= F.col("other")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,10 +302,12 @@ def candidates(prints: DataFrame, similarity: float = NEAR_SIMILARITY, tile_rows
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
         .groupBy("tile", "part").agg(F.flatten(F.collect_list(F.array("node", *words))).alias("members"), F.min("ones").alias("least"), F.max("ones").alias("most")), "tiles"
     )
-    # A large tile's rows meet in several tasks: one side is dealt out, the other goes to each.
-    salts = -(-int(packed.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0] + 1) // ROWS_A_TASK)
-    left = packed.select("tile", "part", F.col("members").alias("left"), "least", "most", F.explode(F.array("tile", F.col("tile") + 1)).alias("meets"), F.pmod("part", F.lit(salts)).cast("int").alias("salt"))
-    right = packed.select(F.col("tile").alias("meets"), F.col("part").alias("other"), F.col("members").alias("right"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    # A tile that meets one of many parts is met in several tasks: those parts are dealt out, and it goes to each.
+    meets = F.explode(F.array("tile", F.col("tile") + 1)).alias("meets")
+    salts = sizes.select("parts", meets).select("meets", F.ceil(F.col("parts") / ROWS_A_TASK).cast("int").alias("salts")).groupBy("meets").agg(F.max("salts").alias("salts"))
+    salts = F.broadcast(salts)  # as sizes
+    left = packed.select("tile", "part", F.col("members").alias("left"), "least", "most", meets).join(salts, "meets").withColumn("salt", F.pmod("part", F.col("salts")).cast("int")).drop("salts")
+    right = packed.select(F.col("tile").alias("meets"), F.col("part").alias("other"), F.col("members").alias("right"), F.col("least").alias("least2"), F.col("most").alias("most2")).join(salts, "meets").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     pairs = left.join(right, ["meets", "salt"]).where(((F.col("tile") != F.col("meets")) | (F.col("part") <= F.col("other"))) & (F.col("least") - F.col("most2") <= FINE_RADIUS) & (F.col("least2") - F.col("most") <= FINE_RADIUS))
     same = (F.col("tile") == F.col("meets")) & (F.col("part") == F.col("other"))
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import xxhash
@@ -62,3 +63,48 @@ def test_links_within_and_across_tiles(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_a_tile_of_many_parts_is_many_tasks_work(spark, monkeypatch):
+    """Most fingerprints in one tile: no task compares all of its parts, and the links stay."""
+    from tablecare.llm import simhash
+
+    monkeypatch.setattr(simhash, "ROWS_A_TASK", 2)
+    rng = random.Random(8)
+    hot = [int("0" * 8 + "1" * 8, 2) * 0x0001000100010001]
+    while len(hot) < 900:  # bits move within a lane: the tile is one
+        x = rng.choice(hot)
+        lane = 16 * rng.randrange(4)
+        ones, zeros = ([b for b in range(16) if x >> lane + b & 1 == v] for v in (1, 0))
+        hot.append(x ^ 1 << lane + rng.choice(ones) ^ 1 << lane + rng.choice(zeros))
+    values = sorted(set(hot) | {x ^ 1 << rng.randrange(64) for x in hot[:80]})
+    df = spark.createDataFrame([(v - (1 << 64) if v >= 1 << 63 else v,) for v in values], "fp long")
+    got = simhash.links(df, 2, tile_rows=32)
+    parent = {v: v for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if (a ^ b).bit_count() <= 2:
+                parent[root(a)] = root(b)
+    want = {}
+    for v in values:
+        want.setdefault(root(v), set()).add(v)
+    found = {v: v for v in values}
+
+    def top(v):
+        while found[v] != v:
+            v = found[v]
+        return v
+
+    for r in got.collect():
+        a, b = r.low % (1 << 64), r.high % (1 << 64)
+        found[top(a)] = top(b)
+    parts = {}
+    for v in values:
+        parts.setdefault(top(v), set()).add(v)
+    assert sorted(map(sorted, parts.values())) == sorted(map(sorted, want.values()))
