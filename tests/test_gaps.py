@@ -150,7 +150,7 @@ def test_rows_without_a_number(spark):
         clean.drop_duplicates(spark.createDataFrame([(1, "a"), (None, "a")], "row_id long, k string"), ["k"])[0].collect()
 
 
-OWN = "_n0 _k0 _r0 _n _place _operation _gaps _stays _hash1 _hash2 _number _gone _there n0 m0 k0 number entries what now v c before held _a _s _l _h".split()
+OWN = "_n0 _k0 _r0 _n _place _operation _hash1 _number _gone _there _dropped n0 number now".split()
 
 
 def test_columns_of_the_operators_own_names(spark):
