@@ -199,19 +199,30 @@ def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -
 
 
 def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """node, root: the smallest node reachable, for every node of edges (low, high). Labels spread and jump until still."""
+    """node, root: the smallest node reachable, for every node of edges (low, high).
+
+    In a round each node goes to the least of itself and its neighbours, and on to where that one goes; then the edges are
+    those between the places gone to, each once. So edges shrink from round to round, and none are left in the end.
+    """
     both = materialize(edges.select(F.col("low").alias("a"), F.col("high").alias("b")).union(edges.select("high", "low")), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
+    labels = None
     for _ in range(max_rounds):
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
-        low = labels.union(heard).groupBy("node").agg(F.min("root").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        moved = low.join(jump, "root", "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"))
-        fresh = materialize(moved, "labels")
-        still = fresh.join(labels.withColumnRenamed("root", "was"), "node").where("root != was").isEmpty()
-        drop_table(labels)
-        labels = fresh
-        if still:
+        hook = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
+        further = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
+        moved = materialize(hook.join(further, "to").select(F.col("a").alias("node"), F.col("next").alias("root")), "moved")
+        before, labels = labels, moved
+        if before is not None:
+            then = moved.select(F.col("node").alias("root"), F.col("root").alias("then"))
+            labels = materialize(before.join(then, "root", "left").select("node", F.coalesce("then", "root").alias("root")), "labels")
+            drop_table(before)
+        ends = [moved.select(F.col("node").alias(x), F.col("root").alias(f"{x}_to")) for x in ("a", "b")]
+        left = both.join(ends[0], "a").join(ends[1], "b").where("a_to != b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct()
+        left = materialize(left, "edges")
+        drop_table(both)
+        if before is not None:
+            drop_table(moved)
+        both = left
+        if both.isEmpty():
             drop_table(both)
             return labels
     raise RuntimeError(f"components not settled after {max_rounds} rounds")

@@ -108,3 +108,22 @@ def test_a_tile_of_many_parts_is_many_tasks_work(spark, monkeypatch):
     for v in values:
         parts.setdefault(top(v), set()).add(v)
     assert sorted(map(sorted, parts.values())) == sorted(map(sorted, want.values()))
+
+
+def test_components_of_chains_stars_and_random_graphs(spark):
+    rng = random.Random(4)
+    names = rng.sample(range(-(10**9), 10**9), 400)
+    edges = [(names[i], names[i + 1]) for i in range(120)] + [(names[150], n) for n in names[151:250]] + [tuple(rng.sample(names[260:], 2)) for _ in range(110)] + [(names[5], names[5])]
+    parent = {n: n for e in edges for n in e}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = simhash.components(spark.createDataFrame(edges, "low long, high long"))
+    assert {r.node: r.root for r in got.collect()} == {n: root(n) for n in parent}
+    assert simhash.components(spark.createDataFrame([], "low long, high long")).count() == 0
