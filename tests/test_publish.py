@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tablecare.operators import clean, pipeline
+from tablecare.operators import pipeline
 from tablecare.plans.fixtures import AS_OF, frame
 from tablecare.sources import files, publish
 
@@ -22,7 +22,7 @@ def test_a_run_shows_all_of_its_files_or_none(spark, sf, tmp_path, monkeypatch):
         with pytest.raises(RuntimeError, match="killed"):
             publish.clean(df, path, "a", AS_OF)
     assert publish.published(spark, path) == [] and os.path.isdir(f"{path}/runs/a/table")
-    shared = {n for n in os.listdir(_shared(spark))}
+    shared = set(os.listdir(_shared(spark)))
     run = publish.clean(df, path, "a", AS_OF, "visits")  # the name is free: nothing was published
     assert {n for n in os.listdir(_shared(spark)) if n.startswith(("fixed", "clean"))} <= shared
     for name, f in run.manifest["files"].items():
@@ -55,4 +55,3 @@ def test_a_closed_clean_keeps_its_table(spark, sf):
     done = pipeline.run(frame(spark, sf, "visits"), AS_OF)
     done.close()
     assert done.table.count() == done.rows["table"] and done.lineage.count() == done.rows["lineage"] and done.scratch == []
-    assert clean.LINEAGE
