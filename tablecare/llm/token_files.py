@@ -10,7 +10,9 @@ and a footer of fixed size:
   footer  offsets and sizes of index and filter, number of entries and of ids, width of an id, crc32 of the index, magic
 
 A key is a byte that is 0 for a null identifier and else 1, the identifier as 8 big-endian bytes with its sign bit
-flipped, so that byte order is numeric order with null first, and a running number of 4 bytes for repeated identifiers. Lookup asks the filter, then searches the index and one block.
+flipped, so that byte order is numeric order with null first, and a running number of 4 bytes for repeated identifiers.
+The manifest holds each file's first and last identifier as key bytes. Lookup takes the files whose range holds a wanted
+identifier, and of each reads footer, filter and index, then the blocks that the index names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ RANGE_BYTES = 16 << 20
 MAGIC = b"IDTABLE2"
 #: Table beside the shard files: their names, entries and ids.
 MANIFEST = "manifest.parquet"
-_MANIFEST_ROW = "file string, part long, number long, entries long, ids long"
+_MANIFEST_ROW = "file string, part long, number long, entries long, ids long, first_key binary, last_key binary"
 _FOOTER = struct.Struct("<QQQQQQII8s")
 #: Neighbouring ranges of identifiers whose files are counted together: the driver holds a number for each group.
 GROUP_PARTS = 1024
@@ -131,15 +134,17 @@ class ShardBuilder:
 
 
 class Shard:
-    """Reads a shard file's bytes."""
+    """A shard file of some size, by read(offset, bytes): its footer, index and filter at once, blocks when asked for."""
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        at, size, bloom, self.bits, self.entries, self.ids, blocks, crc, magic = _FOOTER.unpack_from(self.data, len(data) - _FOOTER.size)
-        index = self.data[at : at + size]
-        if magic != MAGIC or zlib.crc32(index) != crc:
+    def __init__(self, size: int, read: Callable[[int, int], bytes]):
+        self.read = read
+        at, length, bloom, self.bits, self.entries, self.ids, blocks, crc, magic = _FOOTER.unpack(read(size - _FOOTER.size, _FOOTER.size))
+        if magic != MAGIC:
+            raise ValueError("not a whole shard file")
+        tail = memoryview(read(at, size - _FOOTER.size - at))
+        index, self.bloom = tail[:length], tail[bloom - at :]
+        if zlib.crc32(index) != crc:
             raise ValueError("not a whole shard file")
-        self.bloom = self.data[bloom : bloom + -(-self.bits // 8)]
         self.index, at = [], 0
         for _ in range(blocks):
             n, at = _read_varint(index, at)
@@ -149,18 +154,23 @@ class Shard:
             entries, at = _read_varint(index, at)
             self.index.append((key, offset, size, entries))
 
+    @classmethod
+    def of(cls, data: bytes) -> Shard:
+        view = memoryview(data)
+        return cls(len(view), lambda at, n: view[at : at + n])
+
     def block(self, k: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        _, at, size, entries = self.index[k]
-        end, key = at + size, b""
+        _, begin, size, entries = self.index[k]
+        data, at, key = memoryview(self.read(begin, size)), 0, b""
         for _ in range(entries):
-            same, at = _read_varint(self.data, at)
-            rest, at = _read_varint(self.data, at)
-            n, at = _read_varint(self.data, at)
-            key = key[:same] + bytes(self.data[at : at + rest])
+            same, at = _read_varint(data, at)
+            rest, at = _read_varint(data, at)
+            n, at = _read_varint(data, at)
+            key = key[:same] + bytes(data[at : at + rest])
             at += rest
-            yield key, np.frombuffer(self.data[at : at + (n >> 1)], "<u4" if n & 1 else "<u2").astype(np.uint32)
+            yield key, np.frombuffer(data[at : at + (n >> 1)], "<u4" if n & 1 else "<u2").astype(np.uint32)
             at += n >> 1
-        if at != end:
+        if at != size:
             raise ValueError("a block ends in the wrong place")
 
     def __iter__(self) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -219,7 +229,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None) -> str:
             # A name of this attempt's own: the manifest lists the files of attempts that ended, and only those are read.
             name = f"shard-{part:08d}-{files:05d}-{uuid.uuid4().hex}.ids"
             _put(folder, name, shard.finish())
-            row = pa.RecordBatch.from_pydict({"file": [name], "part": [part], "number": [files], "entries": [shard.entries], "ids": [shard.ids]})
+            row = pa.RecordBatch.from_pydict({"file": [name], "part": [part], "number": [files], "entries": [shard.entries], "ids": [shard.ids], "first_key": [shard.keys[0][:ID_BYTES]], "last_key": [shard.keys[-1][:ID_BYTES]]})
             shard, files = ShardBuilder(), files + 1
             return row
 
@@ -247,7 +257,7 @@ def read(spark, folder: str) -> DataFrame:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 keys, sizes_, crcs = [], [], []
-                for key, ids in Shard(data.as_buffer().to_pybytes()):
+                for key, ids in Shard.of(data.as_buffer().to_pybytes()):
                     keys.append(id_of(key))
                     sizes_.append(len(ids))
                     crcs.append(crc_of(ids))
@@ -277,19 +287,32 @@ def _before(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(spark, folder: str, doc_ids: list[int | None]) -> DataFrame:
-    """doc_id and ids of the wanted identifiers, by filter and binary search in every shard file."""
+    """doc_id and ids of every entry of the wanted identifiers; what is not there gives no row, nor do no identifiers.
+
+    The manifest picks the files whose range of identifiers holds a wanted one. Of those only footer, index, filter and
+    the blocks of identifiers that the filter lets through are read.
+    """
+    wanted = {key_of(doc_id)[:ID_BYTES]: doc_id for doc_id in doc_ids}
+    keys = sorted(wanted)
+    kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for data in batch.column("content"):
-                shard = Shard(data.as_buffer().to_pybytes())
-                for doc_id in doc_ids:
-                    if found := shard.get(doc_id):
-                        yield pa.RecordBatch.from_pydict({"doc_id": [doc_id] * len(found), "ids": [x.astype(np.int64).tolist() for x in found]}, schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]))
-
-    known = _manifest(spark, folder).select("file")
-    listed = _files(spark, folder).withColumn("file", F.element_at(F.split("path", "/"), -1)).join(known, "file", "left_semi")
-    return listed.select("content").mapInArrow(work, "doc_id long, ids array<long>")
+            for name, first, last in zip(*(batch.column(c).to_pylist() for c in ("file", "first_key", "last_key")), strict=True):
+                some = keys[bisect_left(keys, first) : bisect_right(keys, last)]
+                if not some:
+                    continue
+                with fs.open_input_file(f"{root}/{name}") as file:
+                    shard = Shard(file.size(), lambda at, n, file=file: file.read_at(n, at))
+                    for key in some:
+                        if found := shard.get(wanted[key]):
+                            yield pa.RecordBatch.from_pydict({"doc_id": [wanted[key]] * len(found), "ids": [x.astype(np.int64).tolist() for x in found]}, schema=kind)
+
+    files = _manifest(spark, folder).select("file", "first_key", "last_key")
+    near = files.where((F.col("last_key") >= F.lit(keys[0])) & (F.col("first_key") <= F.lit(keys[-1]))) if keys else files.limit(0)
+    # A task opens few files, however the manifest is stored.
+    return near.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(work, "doc_id long, ids array<long>")
 
 
 def _files(spark, folder: str) -> DataFrame:

@@ -140,11 +140,43 @@ def test_shard_binary_search():
     keys = [-(2**40), -3, 0, 1, 1, 7, 2**50]
     for i, k in enumerate(keys):
         shard.add(token_files.key_of(k, int(i == 4)), np.arange(70_000 if k == 7 else 40, dtype=np.uint32))
-    read = token_files.Shard(shard.finish())
+    read = token_files.Shard.of(shard.finish())
     assert [token_files.id_of(k) for k, _ in read] == keys and len(read.index) == 3
     assert len(read.get(1)) == 2 and len(read.get(7)[0]) == 70_000 and not read.get(2)
     with pytest.raises(ValueError):
-        token_files.Shard(shard.finish()[:-1] + b"x")
+        token_files.Shard.of(shard.finish()[:-1] + b"x")
+
+
+def test_lookup_reads_only_what_it_needs(spark, monkeypatch):
+    shard = token_files.ShardBuilder(block_bytes=4000)
+    for k in range(0, 2000, 2):
+        shard.add(token_files.key_of(k), np.full(50, k, np.uint32))
+    data, reads = shard.finish(), []
+
+    def read(at, n):
+        reads.append((at, n))
+        return data[at : at + n]
+
+    file = token_files.Shard(len(data), read)
+    opened = len(reads)
+    absent = [k for k in range(1, 2000, 2) if not file.get(k)]
+    assert len(absent) == 1000 and len(reads) - opened < 100  # the filter lets about 1 % through
+    del reads[:]
+    assert [int(x[0]) for x in file.get(1000)] == [1000] and len(reads) <= 2 and sum(n for _, n in reads) < len(data) // 10
+
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 1)
+    texts = [(k, f"text {k}", None, None, 0) for k in range(400)] + [(None, "none", None, None, 0)]
+    folder = token_files.write(frame(spark, texts), tokenizer_path())
+    rows_ = token_files._manifest(spark, folder).collect()
+    assert all(r.first_key <= r.last_key for r in rows_) and sum(r.entries for r in rows_) == 401
+    hit = next(r for r in rows_ if r.first_key <= token_files.key_of(77)[: token_files.ID_BYTES] <= r.last_key)
+    place = folder.removeprefix("file://")
+    for r in rows_:  # files that hold none of the wanted identifiers aren't opened
+        if r.file != hit.file:
+            with open(f"{place}/{r.file}", "wb") as out:
+                out.write(b"broken")
+    assert [(r.doc_id, r.ids) for r in token_files.lookup(spark, folder, [77, 5000, -1]).collect()] == [(77, [*plain("text 77"), 0])]
+    assert token_files.lookup(spark, folder, []).count() == 0
 
 
 def test_files_of_null_identifiers(spark):
