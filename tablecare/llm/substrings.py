@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import NON_SPACE, byte_set, column, drop_table, lower_ascii, materialize, mixed, runs, text_pieces, unused, word_codes
 
 #: Sentences and words of a span at least.
-SENTENCES, WORDS = 3, 25
+SENTENCES, WORDS = 2, 25
 
 _STOP = byte_set((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F))
 _INNER = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))

@@ -442,3 +442,14 @@ def test_contained_detections_are_found_in_n_log_n():
             if not any(k.start <= d.start and d.end <= k.end for k in kept):
                 kept.append(d)
         assert licenses._not_contained(ranked) == kept
+
+
+def test_a_passage_of_two_sentences_goes(spark):
+    rng = random.Random(31)
+    two = f"Ab {distinct(rng, 13)}. Cd {distinct(rng, 13)}."
+    around = lambda: f"Ef {distinct(rng, 20)}."
+    texts = [(around(), around()) for _ in range(4)]
+    data = [(i, f"{a} {two if i < 2 else around()} {b}", "en", "s", 1) for i, (a, b) in enumerate(texts)]
+    got = {r.doc_id: r for r in substrings.remove_repeats(frame(spark, data)).collect()}
+    assert got[1].text.split() == " ".join(texts[1]).split() and got[1].n_removed == 2 and got[1].first_ids == [0]
+    assert all(got[i].text == data[i][1] and got[i].n_removed == 0 for i in (0, 2, 3))
