@@ -11,7 +11,8 @@ priced by Spark; a document's score is the sum over its byte strings.
 Words are told apart by 63 bits of a hash, so word counts are exact up to its collisions.
 
 Prices of the FREQUENT_KEYS most frequent strings and words at most are broadcast; occurrences of all others are
-joined with theirs.
+joined with theirs. Counting and looking up go by a key's place in an array; keys that share a place are kept exactly, by
+sorting.
 """
 
 from __future__ import annotations
@@ -34,30 +35,39 @@ ORDER, SMOOTHING, FREQUENT_KEYS = 5, 0.1, 1_000_000
 BEFORE, END = 0xFE, 0xFF
 #: Symbols: all bytes but BEFORE.
 SYMBOLS = 255
-#: Keys counted in a task before they are given out.
-HELD_KEYS = 800_000
+#: Text is worked on in pieces of so many bytes, whose arrays stay near the processor.
+PIECE_BYTES = 1 << 18
+#: Places for keys in a task's table of counts (a power of two); keys that found theirs taken are given out at so many.
+PLACES, HELD_KEYS = 1 << 21, 800_000
 
 _WORD = np.uint64(1 << 63)  # marks a word's key: negative as a signed number
-_END_KEY = np.uint64(xxhash.xxh64_intdigest(b"")) | _WORD
+_END_KEY = (np.uint64(xxhash.xxh64_intdigest(b"")) | _WORD).view(np.int64)
+_NO_KEY = 1 << 62  # neither a string nor a word
 
 
 def strings(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The string of ORDER + 1 bytes that ends at each symbol (the end included), and the texts' offsets in them."""
-    rows = len(offsets) - 1
-    padded = np.full(len(data) + (order + 1) * rows, BEFORE, np.uint8)
-    padded[np.arange(len(data)) + np.repeat(np.arange(rows) * (order + 1) + order, np.diff(offsets))] = data
-    padded[offsets[1:] + np.arange(rows) * (order + 1) + order] = END
-    code = padded.astype(np.uint64)
-    for k in range(1, order + 1):
-        code[k:] |= padded[:-k].astype(np.uint64) << np.uint64(8 * k)
-    return code[padded != BEFORE].view(np.int64), offsets + np.arange(rows + 1)
-
-
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the distinct words, the word at each place (its index in them) and the place's text."""
+    rows = np.arange(len(offsets) - 1) * (order + 1)
+    symbol = np.ones(len(data) + (order + 1) * len(rows), bool)
+    for k in range(order):
+        symbol[offsets[:-1] + rows + k] = False
+    ends = offsets[1:] + rows + order
+    inner = symbol.copy()
+    inner[ends] = False
+    padded = np.full(len(symbol) + 7, BEFORE, np.uint8)
+    padded[7:][inner] = data
+    padded[7:][ends] = END
+    eight = np.ndarray((len(symbol),), ">u8", padded, strides=(1,))  # the 8 bytes up to each place
+    code = eight.astype(np.uint64)
+    code &= np.uint64((1 << 8 * (order + 1)) - 1)
+    return code[symbol].view(np.int64), offsets + np.arange(len(offsets))
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each place's word, ends of texts last, and the place's text."""
     starts, ends, row = runs(data, offsets, NON_SPACE)
-    keys, at = distinct((word_codes(data, starts, ends) | _WORD).view(np.int64))
-    return keys, at.astype(np.int64), row
+    rows = len(offsets) - 1
+    return np.append((word_codes(data, starts, ends) | _WORD).view(np.int64), np.full(rows, _END_KEY)), np.append(row, np.arange(rows))
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,48 +76,80 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found.dictionary.to_numpy(), found.indices.to_numpy()
 
 
-def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, *(np.bincount(where, weights=np.concatenate([p[i] for p in parts]), minlength=len(keys)).astype(np.int64) for i in (1, 2))
+def places(keys: np.ndarray, among: int) -> np.ndarray:
+    """The place of each key among so many (a power of two)."""
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - among.bit_length())).view(np.int64)
+
+
+class Lookup:
+    """Values of keys, the most wanted keys first: a key whose place an earlier one has is searched for among the others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        at = places(keys, among := 1 << max(2 * len(keys), 2).bit_length())
+        self.keys, self.values = np.full(among, _NO_KEY), np.zeros(among)
+        self.keys[at[::-1]] = keys[::-1]  # of keys with one place the last one written stays
+        own = self.keys[at] == keys
+        self.values[at[own]] = values[own]
+        left = np.flatnonzero(~own)
+        left = left[np.argsort(keys[left])]
+        self.other_keys, self.other_values = np.append(keys[left], _NO_KEY), np.append(values[left], 0.0)
 
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each, 0 for what is not there, and the indexes of what is not there."""
+        at = places(wanted, len(self.keys))
+        found = self.values[at]
+        left = np.flatnonzero(self.keys[at] != wanted)
+        some, which = distinct(wanted[left])
+        at = np.searchsorted(self.other_keys[:-1], some)
+        here = self.other_keys[at] == some
+        found[left] = np.where(here, self.other_values[at], 0.0)[which]
+        return found, left[~here[which]]
 
-def count(docs: DataFrame) -> DataFrame:
-    """key, n, n_train: occurrences of every byte string and word in docs (text, _train), and those in training rows."""
+
+def count(docs: DataFrame, among: int = PLACES) -> DataFrame:
+    """key, n, n_train: occurrences of every byte string and word in docs (text, _train), and those in training rows.
+
+    A task counts a key at its place of `among`, which the first key that comes there keeps; others are sorted now and then.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        kept, counts = np.full(among, _NO_KEY), np.zeros((2, among), np.int64)
+        others: tuple[list[np.ndarray], ...] = ([], [])
 
-        def out() -> pa.RecordBatch:
-            nonlocal size
-            held[:] = [_merge(held)]
-            size = len(held[0][0])
-            return pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), ["key", "n", "n_train"])
+        def out(keys: np.ndarray, n: np.ndarray, n_train: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(list(map(pa.array, (keys, n, n_train))), ["key", "n", "n_train"])
+
+        def given_out() -> Iterator[pa.RecordBatch]:
+            for own, held in enumerate(others):
+                if held:
+                    keys, n = np.unique(np.concatenate(held), return_counts=True)
+                    held.clear()
+                    yield out(keys, n, n * own)
 
         for batch in batches:
-            train = batch.column("_train").to_numpy(zero_copy_only=False).astype(np.int64)
-            for row, to, data, offsets in text_pieces(batch.column("text")):
-                data, own = lower_ascii(data), train[row:to]
-                code, ends = strings(data, offsets)
-                # The lowest bit tells training rows apart, so that one pass counts both.
-                both, at = distinct(code << 1 | np.repeat(own, np.diff(ends)))
-                n = np.bincount(at, minlength=len(both))
-                held.append((both >> 1, n, n * (both & 1)))
-                keys, at, text = words(data, offsets)
-                n = np.bincount(at, minlength=len(keys))
-                held.append((keys, n, np.bincount(at, weights=own[text], minlength=len(keys)).astype(np.int64)))
-                held.append((np.array([_END_KEY]).view(np.int64), np.array([to - row]), np.array([own.sum()])))
-                size += len(both) + len(keys)
-                if size > HELD_KEYS:
-                    made = out()
-                    if size > HELD_KEYS // 2:
-                        yield made
-                        held.clear()
-                        size = 0
-        if held:
-            yield out()
-
-    return docs.select("text", "_train").mapInArrow(work, "key long, n long, n_train long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
+            for own in (0, 1):
+                for _, _, data, offsets in text_pieces(batch.column("text").filter(pc.equal(batch.column("_train"), bool(own))), PIECE_BYTES):
+                    data = lower_ascii(data)
+                    for keys in (strings(data, offsets)[0], words(data, offsets)[0]):
+                        at = places(keys, among)
+                        found = kept[at]
+                        free = np.flatnonzero(found == _NO_KEY)
+                        kept[at[free]] = keys[free]
+                        found[free] = kept[at[free]]
+                        np.add.at(counts[own], at, 1)
+                        left = np.flatnonzero(found != keys)
+                        if len(left):
+                            np.subtract.at(counts[own], at[left], 1)
+                            others[own].append(keys[left])
+            if sum(map(len, others[0])) + sum(map(len, others[1])) > HELD_KEYS:
+                yield from given_out()
+        yield from given_out()
+        at = np.flatnonzero(kept != _NO_KEY)
+        yield out(kept[at], counts[:, at].sum(axis=0), counts[1, at])
+
+    # A task gives out a key once or nearly so: keys are dealt before they are grouped, not grouped twice.
+    given = docs.select("text", "_train").mapInArrow(work, "key long, n long, n_train long")
+    return given.repartition("key").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
 
 
 def prices(totals: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[DataFrame]]:
@@ -173,7 +215,7 @@ def score(docs: DataFrame, train: object = None, most: int = FREQUENT_KEYS) -> D
     base_score is 0. No rows give no rows.
     """
     spark = docs.sparkSession
-    train = F.coalesce(F.pmod(crc_of_id(), F.lit(10)) != 0, F.lit(True)) if train is None else train
+    train = F.coalesce(F.pmod(crc_of_id(), F.lit(10)) != 0, F.lit(True)) if train is None else F.coalesce(train, F.lit(False))
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", train.alias("_train"), F.xxhash64("text").alias("_copy"), F.xxhash64("doc_id", "text").alias("_deal"))
     totals = materialize(count(docs), "counts")
@@ -183,21 +225,12 @@ def score(docs: DataFrame, train: object = None, most: int = FREQUENT_KEYS) -> D
     for gone in (*used, totals):
         drop_table(gone)
     least = frequent(table, most)
-    top = table.where(F.col("n") >= least).select("key", "value").toArrow()  # `most` rows at most
-    order = np.argsort(top["key"].to_numpy(), kind="stable")
+    top = table.where(F.col("n") >= least).select("key", "value", F.floor(F.log2("n")).cast("byte").alias("power")).toArrow()  # `most` rows at most
+    order = np.argsort(-top["power"].to_numpy(), kind="stable")
     shared = spark.sparkContext.broadcast((top["key"].to_numpy()[order], top["value"].to_numpy()[order]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = shared.value
-        low = int(np.searchsorted(keys, 0))  # words come first
-        word_set, gram_set = keys[:low], keys[low:]
-        word_value, gram_value = np.append(values[:low], 0), np.append(values[low:], 0)
-
-        def find(wanted: np.ndarray, among: np.ndarray) -> np.ndarray:
-            """Places in a sorted array; its length for what is not there."""
-            some, which = distinct(wanted)
-            at = np.searchsorted(among, some)
-            return np.where(np.append(among, 0)[at] == some, at, len(among))[which] if len(among) else np.zeros(len(wanted), np.int64)
+        known_prices = Lookup(*shared.value)
 
         def rare(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Distinct (row, key) with how often."""
@@ -206,22 +239,18 @@ def score(docs: DataFrame, train: object = None, most: int = FREQUENT_KEYS) -> D
             return cell // max(len(own), 1), own[cell % max(len(own), 1)], n
 
         for batch in batches:
-            for row, to, data, offsets in text_pieces(batch.column("text")):
+            for row, to, data, offsets in text_pieces(batch.column("text"), PIECE_BYTES):
                 rows, data = to - row, lower_ascii(data)
                 code, ends = strings(data, offsets)
-                owner = np.repeat(np.arange(rows), np.diff(ends))
-                at = find(code, gram_set)
-                total = np.bincount(owner, weights=gram_value[at], minlength=rows)
-                missed = at == len(gram_set)
-                more = [rare(owner[missed], code[missed])]
-                found, place, text = words(data, offsets)
-                found, place, text = np.append(found, np.int64(_END_KEY.view(np.int64))), np.append(place, np.full(rows, len(found))), np.append(text, np.arange(rows))
-                at = find(found, word_set)[place]
-                known = at < len(word_set)
-                c = word_value[at]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    base = np.log10((c + SMOOTHING) / (n_train + SMOOTHING * (vocabulary + 1)))
-                more.append(rare(text[~known], found[place[~known]]))
+                price, missed = known_prices.find(code)
+                total = np.add.reduceat(price, ends[:-1])  # every text has a symbol, its end
+                more = [rare(np.searchsorted(ends, missed, "right") - 1, code[missed])]
+                found, text = words(data, offsets)
+                c, missed = known_prices.find(found)
+                known = np.ones(len(found), bool)
+                known[missed] = False
+                base = np.log10((c + SMOOTHING) / (n_train + SMOOTHING * (vocabulary + 1)))
+                more.append(rare(text[missed], found[missed]))
                 own, key, tf = (np.concatenate(x) for x in zip(*more, strict=True))
                 which = np.concatenate([np.arange(rows), own])
                 pad = lambda x: np.concatenate([x, np.zeros(len(own), x.dtype)])
